@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.functions.columns import table
+from barloom.llm.leakage import leaks
 from barloom.llm.nearest import nearest_match
 
 
@@ -25,8 +26,17 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("settlement_id", "reading_id")
 
 
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with each evaluation passage it repeats, and how much of it."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), doc_id="doc_id", text="text", item_id="item_id", passage="passage")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_leaks(spark, sf_dir).select("item_id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found}
+    return {"p2_found": p2_found, "p7_found": p7_found, "p7_leaks": p7_leaks}
 
 
 P2_SQL = """
