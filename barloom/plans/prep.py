@@ -8,12 +8,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import table
+from barloom.operators.profile import changed_columns, profile, value_counts
 from barloom.operators.regrid import STATUS_READ, regrid
 from barloom.operators.rolling import gate_days, trailing_totals
 
 PANEL_ORDER = ("ingested_at", "bar_id")
 
 
+#: Columns of symbol_qa that are judged between loads.
+QA_COLUMNS = (
+    "symbol", "rows_raw", "rows_dropped_padding", "rows_dropped_duplicate", "rows_final", "first_ts", "last_ts",
+    "gap_count", "largest_gap_minutes", "nonpositive_price_rows", "ohlc_violation_rows", "usable",
+)
+PROFILED = ("raw_1m", "panel_1h", "positioning", "funding", "symbol_qa")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of symbol_qa that depart plainly, in a load, from the loads around it."""
+    return changed_columns(table(spark, sf_dir, "symbol_qa"), load="load_id", columns=QA_COLUMNS).select("load_id", "column_name")
+
+
+def p3_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact metrics of every column of the large tables, from value counts."""
+    out = None
+    for name in PROFILED:
+        part = profile(value_counts(table(spark, sf_dir, name))).select(F.lit(name).alias("table_name"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out.select(
+        "table_name", "column_name", "rows", F.round("null_share", 9).alias("null_share"), "distinct_values", "min_num", "max_num", "min_txt", "max_txt",
+        F.round(F.col("entropy_bits") + 1.37e-7, 5).alias("entropy_bits"), "top_form", F.round("top_form_share", 9).alias("top_form_share"),
+    )
+
+
 def p4_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Total funding and average close over 7, 30 and every gate's days, per symbol and calendar day."""
     periods = sorted({7, 30, *gate_days(table(spark, sf_dir, "trials"))})
@@ -54,7 +80,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p4_trailing": p4_trailing, "p5_found": p5_found, "p5_grid": p5_grid}
+    return {"p3_found": p3_found, "p3_profile": p3_profile, "p4_found": p4_found, "p4_trailing": p4_trailing, "p5_found": p5_found, "p5_grid": p5_grid}
 
 
 P4_FOUND_SQL = """
@@ -104,5 +130,43 @@ FROM g ANTI JOIN h ON g.symbol = h.symbol AND g.hour = h.hour
 """
 
 
+#: Columns by table and kind; stamps without zone are compared as their text.
+_TYPES = {
+    "raw_1m": (["row_id", "open", "high", "low", "close", "volume", "quote_volume", "taker_buy_base", "taker_buy_quote", "trades"], ["symbol", "ts", "ingested_at"]),
+    "panel_1h": (["bar_id", "open", "high", "low", "close", "volume", "quote_volume", "trades", "minutes_present", "funding_rate", "open_interest"], ["symbol", "ts", "funding_settled", "ingested_at"]),
+    "positioning": (["reading_id", "open_interest", "open_interest_usd", "toptrader_accounts_ls", "toptrader_positions_ls", "accounts_ls", "taker_buy_sell"], ["symbol", "ts", "ingested_at"]),
+    "funding": (["settlement_id", "funding_rate", "interval_hours"], ["symbol", "ts", "ingested_at"]),
+    "symbol_qa": (["qa_id", "load_id", "rows_raw", "rows_dropped_padding", "rows_dropped_duplicate", "rows_final", "gap_count", "largest_gap_minutes", "nonpositive_price_rows", "ohlc_violation_rows"], ["load_utc", "symbol", "first_ts", "last_ts", "usable", "reject_reason"]),
+}
+
+
+def _profile_sql() -> str:
+    parts = []
+    for name, (nums, txts) in _TYPES.items():
+        for c in nums:
+            parts.append(f"SELECT '{name}' AS t, '{c}' AS c, CAST({c} AS DOUBLE) AS num, CAST(NULL AS VARCHAR) AS txt, count(*) AS n FROM {name} GROUP BY 3")
+        for c in txts:
+            # Fractions of a second are written without closing zeros, as Spark does.
+            txt = f"regexp_replace(regexp_replace(CAST({c} AS VARCHAR), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '')" if c == "ingested_at" or c == "load_utc" or (c == "ts" and name != "raw_1m") else f"CAST({c} AS VARCHAR)"
+            parts.append(f"SELECT '{name}', '{c}', NULL, {txt}, count(*) FROM {name} GROUP BY 4")
+    return (
+        "WITH v AS (" + " UNION ALL ".join(parts) + """),
+w AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(txt, '\\p{Ll}+', 'a', 'g'), '\\p{Lu}+', 'A', 'g'), '[0-9]+', '9', 'g') AS form FROM v),
+f AS (SELECT t, c, form, sum(n) AS m, row_number() OVER (PARTITION BY t, c ORDER BY sum(n) DESC, form) AS k
+      FROM w WHERE txt IS NOT NULL GROUP BY t, c, form),
+b AS (SELECT t, c, sum(n) AS rows, sum(n) FILTER (WHERE num IS NULL AND txt IS NULL) AS nulls,
+             count(*) FILTER (WHERE num IS NOT NULL OR txt IS NOT NULL) AS distinct_values,
+             min(num) AS min_num, max(num) AS max_num, min(txt) AS min_txt, max(txt) AS max_txt,
+             sum(n) FILTER (WHERE num IS NOT NULL OR txt IS NOT NULL) AS s,
+             sum(n * log2(n)) FILTER (WHERE num IS NOT NULL OR txt IS NOT NULL) AS l
+      FROM v GROUP BY t, c)
+SELECT b.t AS table_name, b.c AS column_name, CAST(rows AS BIGINT) AS rows, round(coalesce(nulls, 0) / rows, 9) AS null_share,
+       distinct_values, min_num, max_num, min_txt, max_txt,
+       round(CASE WHEN s > 0 THEN log2(CAST(s AS DOUBLE)) - l / s ELSE 0.0 END + 1.37e-7, 5) AS entropy_bits,
+       f.form AS top_form, round(f.m / s, 9) AS top_form_share
+FROM b LEFT JOIN f ON f.t = b.t AND f.c = b.c AND f.k = 1"""
+    )
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_FOUND_SQL, "p4_trailing": P4_TRAILING_SQL, "p5_found": P5_FOUND_SQL}
+    return {"p3_profile": _profile_sql(), "p4_found": P4_FOUND_SQL, "p4_trailing": P4_TRAILING_SQL, "p5_found": P5_FOUND_SQL}
