@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from barloom.functions.columns import table
 from barloom.llm.leakage import leaks
 from barloom.llm.nearest import nearest_match
+from barloom.llm.truncation import truncation_scores
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,8 +37,28 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_leaks(spark, sf_dir).select("item_id", "doc_id")
 
 
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much the ending of every document looks cut."""
+    return truncation_scores(table(spark, sf_dir, "documents"), id_col="doc_id", source="source", text="text")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_scores(spark, sf_dir).where(F.col("score") >= 0.5).select("doc_id")
+
+
+def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source truncates."""
+    cut = F.col("score") >= 0.5
+    return (
+        p8_scores(spark, sf_dir)
+        .groupBy("source")
+        .agg(F.count(F.lit(1)).alias("records"), F.count_if(cut).alias("truncated"))
+        .withColumn("share", F.round(F.col("truncated") / F.col("records"), 6))
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p7_found": p7_found, "p7_leaks": p7_leaks}
+    return {"p2_found": p2_found, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_scores": p8_scores, "p8_sources": p8_sources}
 
 
 P2_SQL = """
