@@ -99,11 +99,12 @@ def source_limits(df: DataFrame, *, source: str, text: str, at_least: int = 5, s
     # Counts per length first: what is then left per source is bounded by the number of different lengths.
     c = t.groupBy("__s", "__c").agg(F.count(F.lit(1)).alias("n")).groupBy("__s").agg(F.max(F.struct("__c", "n")).alias("c"), F.sum("n").alias("rows"))
     b = t.groupBy("__s", "__b").agg(F.count(F.lit(1)).alias("n"))
-    top = b.groupBy("__s").agg(F.max("__b").alias("top"))
-    b = b.join(top, b["__s"].eqNullSafe(top["__s"])).where(F.col("__b") >= F.col("top") - 3).groupBy(b["__s"].alias("__s2")).agg(F.max("top").alias("top"), F.sum("n").alias("nb"))
+    top = b.groupBy(F.col("__s").alias("__s1")).agg(F.max("__b").alias("top"))
+    near = b.join(top, F.col("__s").eqNullSafe(F.col("__s1"))).where(F.col("__b") >= F.col("top") - 3)
+    b = near.groupBy(F.col("__s1").alias("__s2")).agg(F.max("top").alias("top"), F.sum("n").alias("nb"))
     need = F.greatest(F.lit(at_least), F.col("rows") * share)
     return (
-        c.join(b, c["__s"].eqNullSafe(b["__s2"]))
+        c.join(b, F.col("__s").eqNullSafe(F.col("__s2")))
         .select(
             F.col("__s").alias(source),
             F.when(F.col("c.n") >= need, F.col("c.__c")).cast("bigint").alias("chars"),
