@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import table
 from barloom.llm.leakage import leaks
 from barloom.llm.nearest import nearest_match
+from barloom.llm.packing import pack, token_counts
 from barloom.llm.truncation import truncation_scores
+from barloom.session import cut
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +30,24 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("settlement_id", "reading_id")
 
 
+def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every document lies when all are packed into the containers of each capacity."""
+    sizes = cut(token_counts(table(spark, sf_dir, "documents"), id_col="doc_id", text="text"))
+    return pack(sizes, table(spark, sf_dir, "pack_capacities"), id_col="doc_id", size="tokens", pack_id="pack_id", capacity="capacity_tokens")
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, tokens and the share of room used, by packing."""
+    caps = table(spark, sf_dir, "pack_capacities").select("pack_id", "capacity_tokens")
+    return (
+        p6_pack(spark, sf_dir)
+        .groupBy("pack_id")
+        .agg(F.count_distinct("container").alias("containers"), F.sum("n_tokens").alias("tokens"))
+        .join(caps, "pack_id")
+        .withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6))
+    )
+
+
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with each evaluation passage it repeats, and how much of it."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), doc_id="doc_id", text="text", item_id="item_id", passage="passage")
@@ -58,7 +78,7 @@ def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_scores": p8_scores, "p8_sources": p8_sources}
+    return {"p2_found": p2_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_scores": p8_scores, "p8_sources": p8_sources}
 
 
 P2_SQL = """
