@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import table
 from barloom.operators.profile import changed_columns, profile, value_counts
 from barloom.operators.regrid import STATUS_READ, regrid
+from barloom.operators.spikes import implausible_bars
 from barloom.operators.rolling import gate_days, trailing_totals
 
 PANEL_ORDER = ("ingested_at", "bar_id")
@@ -23,6 +24,15 @@ QA_COLUMNS = (
 PROFILED = ("raw_1m", "panel_1h", "positioning", "funding", "symbol_qa")
 
 
+def p1_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every implausible delivered bar and what is wrong with it."""
+    return implausible_bars(table(spark, sf_dir, "raw_1m"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_kinds(spark, sf_dir).select("row_id")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns of symbol_qa that depart plainly, in a load, from the loads around it."""
     return changed_columns(table(spark, sf_dir, "symbol_qa"), load="load_id", columns=QA_COLUMNS).select("load_id", "column_name")
@@ -80,7 +90,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p3_profile": p3_profile, "p4_found": p4_found, "p4_trailing": p4_trailing, "p5_found": p5_found, "p5_grid": p5_grid}
+    return {"p1_found": p1_found, "p1_kinds": p1_kinds, "p3_found": p3_found, "p3_profile": p3_profile, "p4_found": p4_found, "p4_trailing": p4_trailing, "p5_found": p5_found, "p5_grid": p5_grid}
 
 
 P4_FOUND_SQL = """
