@@ -93,6 +93,17 @@ def _neighbour_medians(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def _surrounding_median(x: np.ndarray, k: int) -> np.ndarray:
+    """Median of the k values before and the k values after each value together; NaN if there is none."""
+    pad = np.full(k, np.nan)
+    w = np.lib.stride_tricks.sliding_window_view(np.concatenate([pad, x, pad]), 2 * k + 1)
+    s = np.sort(np.delete(w, k, axis=1), axis=1)
+    cnt = np.sum(~np.isnan(s), axis=1)
+    i = np.arange(len(x))
+    mid = 0.5 * (s[i, np.maximum((cnt - 1) // 2, 0)] + s[i, np.minimum(cnt // 2, 2 * k - 1)])
+    return np.where(cnt > 0, mid, np.nan)
+
+
 def _rolling_median(x: np.ndarray, half: int, least: int) -> np.ndarray:
     return pd.Series(x).rolling(2 * half + 1, center=True, min_periods=least).median().to_numpy()
 
@@ -141,10 +152,7 @@ def _judge(pdf: pd.DataFrame, block: int, block_days: int, p: dict) -> pd.DataFr
         level = np.where(broken, np.nan, 0.5 * (lg["open"] + lg["close"]))
         width = np.where(broken | stuck_p | (q["high"] == q["low"]), np.nan, lg["high"] - lg["low"])
         before, after = _neighbour_medians(level, p["around"])
-        wide_b, wide_a = _neighbour_medians(width, p["near"])
-        both = np.concatenate([wide_b[None], wide_a[None]])
-        near = np.where(np.isnan(both).all(axis=0), np.nan, np.nanmean(np.where(np.isnan(both).all(axis=0), 0.0, both), axis=0))
-        scale = np.fmax(_rolling_median(width, p["scale_half"], 5), near)
+        scale = np.fmax(_rolling_median(width, p["scale_half"], 5), _surrounding_median(width, p["near"]))
         lv = np.where(bv > 0, np.log(np.where(bv > 0, bv, 1.0)), np.nan)
         vb, va = _neighbour_medians(lv, p["around_volume"])
         lo, hi = np.minimum(before, after), np.maximum(before, after)
@@ -159,10 +167,12 @@ def _judge(pdf: pd.DataFrame, block: int, block_days: int, p: dict) -> pd.DataFr
         m = np.zeros((len(chan) * len(days), len(minutes)))
         for k, x in enumerate(chan):
             m[k * len(days) + drow, mcol] = np.clip(x, -p["clip"], p["clip"])
-        _, sparse = rpca(m)
+        _, sparse = rpca(m, lam=p["sparse_weight"] / np.sqrt(max(m.shape)))
         hit = np.zeros(n)
         for k in range(len(chan)):
             hit = np.maximum(hit, np.abs(sparse[k * len(days) + drow, mcol]))
+        # A spike may last a few bars, of which the low-rank part can take up some.
+        hit = pd.Series(hit).rolling(2 * p["event_half"] + 1, center=True, min_periods=1).max().to_numpy()
         # Deliveries that differ from their minute's first are judged by themselves.
         other = ~lead & ~(same_prices & (vol == bv[bar]))
         cand = np.where(other, True, (hit > p["sparse_min"])[bar])
@@ -191,7 +201,9 @@ PARAMETERS = {
     "volume_log": 4.0,  # natural logarithm outside the level
     "volume_weight": 2.0,
     "clip": 100.0,
-    "sparse_min": 1.0,
+    "sparse_weight": 0.7,  # of the usual weight of the sparse part
+    "sparse_min": 3.0,
+    "event_half": 3,  # bars on both sides of a sparse entry that belong to the event
 }
 
 
