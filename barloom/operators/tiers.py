@@ -53,15 +53,14 @@ def is_liquidated_long(wallet: Column, qty: Column, entry: Column, mark: Column,
 
 def liquidation_level(side: int, wallet: Column, qty: Column, entry: Column, tier: Column, passes: int = 3) -> Column:
     """Price at which equity meets the maintenance margin, by fixed-point passes from the entry; at least 0."""
-    price = entry
-    for _ in range(passes):
+    def step(price: Column, _) -> Column:
         n = qty * price
         r, c = mmr(n, tier), cum(n, tier)
-        if side > 0:
-            price = F.greatest(F.try_divide(qty * entry - wallet - c, qty * (F.lit(1.0) - r)), F.lit(0.0))
-        else:
-            price = F.greatest(F.try_divide(qty * entry + wallet + c, qty * (F.lit(1.0) + r)), F.lit(0.0))
-    return price
+        level = F.try_divide(qty * entry - wallet - c, qty * (F.lit(1.0) - r)) if side > 0 else F.try_divide(qty * entry + wallet + c, qty * (F.lit(1.0) + r))
+        return F.greatest(level, F.lit(0.0))
+
+    # A fold keeps the expression small: each pass names the last level many times.
+    return F.aggregate(F.sequence(F.lit(1), F.lit(passes)), entry.cast("double"), step)
 
 
 class Tiers:
