@@ -20,11 +20,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.functions.columns import BLANKS
+
 BITS = 16
 TAIL = 240  # characters from the end that any feature looks at; the limit features look at the whole length
 _TERMINAL = ".!?。！？"
 _CLOSERS = ")]}\"'”’»』」|*_`"
 _SENT = re.compile(r"[.!?。！？](?=\s|$)|\n")
+_ID = re.compile(r"^[^\s:]{2,20}: [0-9a-f]+$")
 _OPEN = {"(": ")", "[": "]", "{": "}", "“": "”"}
 
 
@@ -72,6 +75,8 @@ def ending_features(tail: str, at_limit: str) -> list[str]:
         f"head&mark={head[:12]}&{tail_mark}",
         f"shape={shape[:10]}&{shape[-4:]}",
         f"lineshape={shape[:24]}",
+        f"line={line[:60].casefold()}",
+        f"id={bool(_ID.match(line))}&{tail_mark}",
         f"words={min(n_words, 12)}&{tail_mark}",
         f"wordlen={min(len(word), 9)}&{kind}",
         f"wshape={_shape(word)}",
@@ -184,15 +189,19 @@ def fit(samples: list[tuple[list[int], int]], epochs: int = 5, rate: float = 0.2
 def train(rows: list[tuple[str, str]], limits: dict, seed: int = 11, cuts: int = 2, rounds: int = 2) -> Model:
     """rows: (source, text). Originals are taken for intact and their cut copies for cut.
 
-    Some originals are cut themselves. A model of one half of the texts therefore judges the other
-    half, and the originals that look cut to it are left out; after `rounds` of this the final model
-    is fitted on what is left and all the copies.
+    Some originals are cut themselves, so originals that fill their field and end openly are not taken for
+    intact at first. A model of one half of the texts then judges the other half, and the originals that
+    look cut to it are left out; after `rounds` of this the final model is fitted on what is left and
+    all the copies.
     """
     rng = np.random.default_rng(seed)
-    originals, copies = [], []  # (half, features)
+    originals, copies, keep = [], [], []  # (half, features); places of intact originals
     for i, (source, text) in enumerate(rows):
         lim = limits.get(source, (None, None))
-        originals.append((i % 2, _ids(ending_features(text[-TAIL:], _near(len(text), len(text.encode("utf-8", "surrogatepass")), lim)))))
+        near = _near(len(text), len(text.encode("utf-8", "surrogatepass")), lim)
+        originals.append((i % 2, _ids(ending_features(text[-TAIL:], near))))
+        if near != "at" or text.rstrip()[-1:] in _TERMINAL + _CLOSERS:
+            keep.append(i)
         for _ in range(cuts):
             p = cut_points(text, rng)
             if p is None:
@@ -203,7 +212,6 @@ def train(rows: list[tuple[str, str]], limits: dict, seed: int = 11, cuts: int =
             if rng.random() < 0.15:
                 short = short.rstrip() + "…"
             copies.append((i % 2, _ids(ending_features(short[-TAIL:], near))))
-    keep = list(range(len(originals)))
     for k in range(rounds):
         halves = [fit([(originals[i][1], 0) for i in keep if originals[i][0] == h] + [(c, 1) for half, c in copies if half == h], epochs=3, seed=seed + k) for h in (0, 1)]
         keep = [i for i, (h, f) in enumerate(originals) if halves[1 - h].score(f) < 0.5]
@@ -227,7 +235,7 @@ def truncation_scores(df: DataFrame, *, id_col: str, source: str, text: str, sam
     give no row. Repeated ids give a row per occurrence. With fewer than 50 texts to learn from
     every score is null. More than `max_sources` sources raise, as limits are held by every worker.
     """
-    live = df.where(F.length(F.trim(F.col(text))) > 0)
+    live = df.where(F.length(F.trim(F.col(text), F.lit(BLANKS))) > 0)
     found = source_limits(live, source=source, text=text).limit(max_sources + 1).collect()
     if len(found) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
