@@ -124,8 +124,9 @@ def _rule(r: Rule, reading: str | None = "reading", digits: int = 5):
     return query
 
 
-CARRY_SHORT = Rule("carry_funding", lookback_days=3, enter=1e-4, exit=5e-5)
-CARRY_LONG = Rule("carry_funding_long", lookback_days=3, enter=-2e-5, exit=2e-5)
+# Levels that no mean of recorded rates meets exactly, so that the order of summation cannot decide.
+CARRY_SHORT = Rule("carry_funding", lookback_days=3, enter=1.00137e-4, exit=5.00137e-5)
+CARRY_LONG = Rule("carry_funding_long", lookback_days=3, enter=-2.00137e-5, exit=2.00137e-5)
 REVERSION = Rule("cci_reversion", lookback_days=1, timeframe_hours=1)
 BREAKOUT = Rule("cci_breakout", lookback_days=3, timeframe_hours=4, exit_level=20.0)
 CONFIRMED = Rule("oi_confirmed_reversion", lookback_days=1, timeframe_hours=1, oi_drop=0.02)
@@ -273,8 +274,8 @@ SELECT symbol, strftime(a, '%Y-%m-%d %H:%M:%S') AS start_first, strftime(b, '%Y-
         "tier_lookup": f"""WITH {PANEL}, x AS (SELECT symbol, bar_idx, volume * 7.0 AS n, {TIER_OF} FROM panel), y AS (SELECT *, {_tier(1, 'n')} AS m, {_tier(2, 'n')} AS c, {_tier(3, 'n')} AS lev FROM x)
 SELECT symbol, bar_idx, tier, CAST(round(m, 6) AS DOUBLE) AS mmr, CAST(round(c, 2) AS DOUBLE) AS cum, CAST(lev AS DOUBLE) AS max_leverage, round(abs(n) * CAST(m AS DOUBLE) - CAST(c AS DOUBLE) + 1.37e-7, 4) AS margin FROM y""",
         "liquidation_levels": _level_sql(),
-        "carry_short": _carry(">= 1e-4", "< 5e-5", -1),
-        "carry_long": _carry("<= -2e-5", "> 2e-5", 1),
+        "carry_short": _carry(">= 1.00137e-4", "< 5.00137e-5", -1),
+        "carry_long": _carry("<= -2.00137e-5", "> 2.00137e-5", 1),
         "cci_reversion": f"WITH {PANEL}, {_cci(1, 24, 'panel', 'f')} " + _two_sided("f", "f_v", -1, 0.0),
         "cci_breakout": f"WITH {PANEL}, {_cci(4, 18, 'panel', 'f')} " + _two_sided("f", "f_v", 1, 20.0),
         "oi_confirmed": f"WITH {PANEL}, {_cci(1, 24, 'panel', 'f')}, g AS (SELECT *, lag(open_interest, 24) OVER {WIN}) AS ob FROM f) " + _two_sided("g", "f_v", -1, 0.0, "(open_interest - ob) / nullif(ob, 0) <= -0.02"),
