@@ -196,7 +196,8 @@ def _departures(pdf: pd.DataFrame, load: str, around: int, floor: float) -> pd.D
     at = {v: i for i, v in enumerate(loads)}
     out: dict[tuple[int, str], float] = {}
     pdf = pdf.assign(__i=pdf[load].map(at))
-    near = [np.array([j for j in sorted(range(len(loads)), key=lambda j: (abs(j - i), j)) if j != i][: 2 * around]) for i in range(len(loads))]
+    reach = range(-2 * around, 2 * around + 1)
+    near = [np.array([i + d for d in sorted(reach, key=lambda d: (abs(d), d)) if d and 0 <= i + d < len(loads)][: 2 * around], dtype=int) for i in range(len(loads))]
     for feature, part in pdf.groupby("feature"):
         if feature == "stamp":
             # Stamps move on from load to load: judge the spread around the load's middle, and the middle by its steps.

@@ -417,8 +417,9 @@ WINDOW w AS (PARTITION BY symbol, bar_idx % {k} ORDER BY bar_idx ROWS BETWEEN CU
 
 SURFACE = "surf AS (SELECT symbol, cell, stride_ord, n_ord, round(quantile_cont(tm, 0.05), 9) AS v FROM outcomes GROUP BY ALL)"
 PEAK = "peak AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY v DESC, cell) AS k FROM surf)"
-SPLITS = """mat AS (SELECT o.* FROM outcomes o JOIN (SELECT symbol, start_idx FROM outcomes WHERE stride_ord = 1 GROUP BY 1, 2 HAVING count(DISTINCT cell) = 3) c USING (symbol, start_idx) WHERE stride_ord = 1),
-cnt AS (SELECT symbol, count(DISTINCT cell) AS g FROM outcomes WHERE stride_ord = 1 GROUP BY 1),
+SPLITS = """cnt AS (SELECT symbol, count(DISTINCT cell) AS g FROM outcomes WHERE stride_ord = 1 GROUP BY 1),
+com AS (SELECT o.symbol, start_idx FROM outcomes o JOIN cnt USING (symbol) WHERE stride_ord = 1 GROUP BY o.symbol, start_idx, cnt.g HAVING count(DISTINCT cell) = cnt.g),
+mat AS (SELECT o.* FROM outcomes o JOIN com USING (symbol, start_idx) WHERE stride_ord = 1),
 rws AS (SELECT symbol, start_idx, ntile(10) OVER (PARTITION BY symbol ORDER BY start_idx) - 1 AS b FROM (SELECT DISTINCT symbol, start_idx FROM mat)),
 blk AS (SELECT symbol, cell, b, sum(tm) AS s, count(*) AS n FROM mat JOIN rws USING (symbol, start_idx) GROUP BY ALL),
 spl AS (SELECT i AS split FROM range(1024) r(i) WHERE bit_count(i::INTEGER) = 5),
