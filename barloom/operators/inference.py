@@ -135,12 +135,12 @@ def best_of_grid(null_scores: DataFrame, observed: DataFrame, *, value: str, by:
     return a.select(*by, "observed", "paths_scored", "at_least", p.alias("p_value"), status.alias("status"))
 
 
-def null_scores(paths: DataFrame, cells: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]], *, source: str = "symbol") -> DataFrame:
-    """(source, path_id, cell, value): every cell's scorer on every path; a scorer maps panels keyed by a path to values."""
+def null_scores(paths: DataFrame, scorer: Callable[[DataFrame], DataFrame], *, source: str = "symbol") -> DataFrame:
+    """(source, path_id, cell, value): a grid's scorer on every path.
+
+    The scorer maps a panel (symbol, bar_idx, close, high, low) to (symbol, cell, value); each path of each source
+    is a symbol of its own to it, so all paths are scored in one job.
+    """
     keyed = paths.select(F.concat_ws("\u0001", source, F.col("path_id").cast("string")).alias("symbol"), "bar_idx", "close", F.col("close").alias("high"), F.col("close").alias("low"))
-    out = None
-    for name, scorer in cells:
-        part = scorer(keyed).select("symbol", F.lit(name).alias("cell"), "value")
-        out = part if out is None else out.unionByName(part)
     k = F.split("symbol", "\u0001")
-    return out.select(k[0].alias(source), k[1].cast("int").alias("path_id"), "cell", "value")
+    return scorer(keyed).select(k[0].alias(source), k[1].cast("int").alias("path_id"), "cell", "value")

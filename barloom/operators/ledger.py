@@ -52,7 +52,8 @@ class Ledger:
             raise FileNotFoundError(f"no ledger at {folder}")
 
     def trials(self) -> DataFrame | None:
-        return self.spark.read.parquet(self.folder) if self._there() else None
+        """All rows; parts written before a column was added show null in it."""
+        return self.spark.read.option("mergeSchema", True).parquet(self.folder) if self._there() else None
 
     def record(self, batch: DataFrame) -> int:
         """Append what is new and say how many rows that were; identities held already keep their first row."""

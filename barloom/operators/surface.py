@@ -28,24 +28,21 @@ def plateau(surface: DataFrame, value: str, cell: str, ordinal_axes: Sequence[st
     Neighbours differ by one step on one ordinal axis. A peak at or under 0 is UNMEASURABLE; fewer than
     three cells or no neighbour give no ratio (NONE). Over 0.9 is a PLATEAU, over 0.7 a SLOPE, else a SPIKE.
     """
-    ok = surface.where(F.col(value).isNotNull() & ~F.isnan(value))
-    peak = best_cell(ok, value, cell, by)
     axes = [*ordinal_axes, *other_axes]
-    p = peak.select(*by, F.col(value).alias("__peak"), F.col(cell).alias("__cell"), *[F.col(a).alias(f"__{a}") for a in axes])
-    sizes = surface.groupBy(*by).agg(F.count(F.lit(1)).alias("cells"))
-    step = F.lit(0)
+    v = F.nanvl(F.col(value), F.lit(None).cast("double"))
+    # The peak is carried to every cell of its source by a window, so the surface is read once.
+    top = F.min_by(F.struct(v.alias("__peak"), *[F.col(a).alias(f"__{a}") for a in axes]), F.when(v.isNotNull(), F.struct((-v).alias("v"), F.col(cell).alias("c"))))
+    d = surface.withColumn("__v", v).withColumn("__t", top.over(Window.partitionBy(*by))).select(*by, "__v", *axes, "__t.*")
+    step, same = F.lit(0), F.col("__v").isNotNull()
     for a in ordinal_axes:
         step = step + F.abs(F.col(a) - F.col(f"__{a}"))
-    same = F.lit(True)
     for a in other_axes:
         same = same & F.col(a).eqNullSafe(F.col(f"__{a}"))
-    near = ok.join(p, list(by)).groupBy(*by).agg(
-        F.max("__peak").alias("peak"), F.count_if((step == 1) & same).alias("neighbours"), F.avg(F.when((step == 1) & same, F.col(value))).alias("neighbour_mean")
-    )
-    out = sizes.join(near, list(by), "left")
+    near = F.coalesce((step == 1) & same, F.lit(False))
+    out = d.groupBy(*by).agg(F.count(F.lit(1)).alias("cells"), F.max("__peak").alias("peak"), F.count_if(near).alias("neighbours"), F.avg(F.when(near, F.col("__v"))).alias("neighbour_mean"))
     ratio = F.when((F.col("peak") > 0) & (F.col("cells") >= 3), F.try_divide(F.col("neighbour_mean"), F.col("peak")))
     shape = F.when(F.col("peak") <= 0, "UNMEASURABLE").when(ratio.isNull(), "NONE").when(ratio > K.PLATEAU_ABOVE, "PLATEAU").when(ratio > K.SLOPE_ABOVE, "SLOPE").otherwise("SPIKE")
-    return out.select(*by, "cells", "peak", F.coalesce("neighbours", F.lit(0)).alias("neighbours"), "neighbour_mean", ratio.alias("ratio"), shape.alias("shape"))
+    return out.select(*by, "cells", "peak", "neighbours", "neighbour_mean", ratio.alias("ratio"), shape.alias("shape"))
 
 
 def target_met(cagr: Column, drawdown: Column) -> Column:

@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import canon_symbol, table
-from barloom.operators import analytic, grid, inference, ledger, metrics, ops, robustness, rules, signal, surface, verdict
+from barloom.operators import analytic, grid, inference, ledger, metrics, ops, robustness, rules, runner, signal, surface, verdict
 from barloom.operators.analytic import Plan
 from barloom.operators.cleaning import clean_bars, development
 from barloom.operators.panel import build_panel
 from barloom.operators.rules import Rule
 from barloom.operators.signal import Account
 from barloom.plans.shared import PANEL, WIN, panel, rnd
+from barloom.session import cut
 from barloom.sources import readers
 
 # Cells of the demonstration grid: stride in hours, deposits. The horizons differ.
@@ -125,18 +126,22 @@ def grid_expand(spark, sf):
     return grid.expand_relational(s, GRID).select("symbol", F.col("stride").cast("bigint").alias("stride"), F.col("n").cast("bigint").alias("n"))
 
 
-def _grid_outcomes(spark, sf) -> DataFrame:
-    """(symbol, cell, stride_ord, n_ord, start_idx, tm) of every cell of the grid and every start."""
-    p, out, cell = panel(spark, sf), None, 0
-    for j, n in enumerate(GRID["n"]):
-        for i, k in enumerate(GRID["stride"]):
-            plan = Plan(stride=k, n=n, hold=48)
-            d = analytic.evaluate(p, plan).select("symbol", F.lit(cell).alias("cell"), F.lit(i).alias("stride_ord"), F.lit(j).alias("n_ord"), F.lit(plan.horizon).alias("horizon"), "start_idx", F.col("terminal_multiple").alias("tm"))
-            out, cell = d if out is None else out.unionByName(d), cell + 1
-    return out
+PLANS = [Plan(stride=k, n=n, hold=48) for n in GRID["n"] for k in GRID["stride"]]
+
+
+def _grid_outcomes(spark, sf, keep=lambda i: True) -> DataFrame:
+    """(symbol, cell, stride_ord, n_ord, horizon, start_idx, tm) of the grid's cells and every start, in one pass."""
+    wide = len(GRID["stride"])
+    kept = [i for i in range(len(PLANS)) if keep(i)]
+    d = analytic.evaluate_many(panel(spark, sf), [PLANS[i] for i in kept])
+    cell = F.element_at(F.array(*[F.lit(i) for i in kept]), F.col("cell") + 1)
+    return d.select(
+        "symbol", cell.alias("cell"), (cell % wide).alias("stride_ord"), F.floor(cell / wide).cast("int").alias("n_ord"), "horizon", "start_idx", F.col("terminal_multiple").alias("tm")
+    )
 
 
 def _surface(spark, sf) -> DataFrame:
+    """The 5 % quantile of every cell's outcomes."""
     return _grid_outcomes(spark, sf).groupBy("symbol", "cell", "stride_ord", "n_ord").agg(F.percentile("tm", 0.05).alias("tm_q05"))
 
 
@@ -158,8 +163,8 @@ def modal_horizon(spark, sf):
 
 
 def _shared_matrix(spark, sf) -> DataFrame:
-    """Cells of one stride on the starts that all of them have."""
-    d = _grid_outcomes(spark, sf).where(F.col("stride_ord") == 1)
+    """Cells of one stride on the starts that all of them have; read several times, so it is written once."""
+    d = cut(_grid_outcomes(spark, sf, lambda i: i % len(GRID["stride"]) == 1).select("symbol", "cell", "start_idx", "tm"))
     return d.join(inference.common_starts(d, "cell", "start_idx", ["symbol"]), ["symbol", "start_idx"])
 
 
@@ -173,6 +178,39 @@ def overfitting(spark, sf):
     return d.select("symbol", "splits", "configurations", rnd("pbo", 6), rnd("degraded_fraction", 6), rnd("median_logit", 6), "verdict")
 
 
+def overfitting_signals(spark, sf):
+    """The same validation for a signal rule: rows are bars, performance is the account's log return."""
+    p, out = panel(spark, sf), None
+    for i, level in enumerate(RULE_LEVELS):
+        d = _rule_equity(p, rule=replace(RULE, enter_level=level)).select("symbol", "bar_idx", F.lit(i).alias("cell"), "equity")
+        out = d if out is None else out.unionByName(d)
+    w = Window.partitionBy("symbol", "cell").orderBy("bar_idx")
+    x = F.log(F.greatest(F.col("equity"), F.lit(1e-12)))
+    perf = cut(out.withColumn("r", F.coalesce(x - F.lag(x).over(w), F.lit(0.0))).select("symbol", "bar_idx", "cell", "r"))
+    return inference.overfitting(inference.split_scores(perf, row="bar_idx", cfg="cell", value="r", by=["symbol"]), cfg="cell", by=["symbol"])
+
+
+DCA_CELLS = [
+    {"stride_days": 1.0, "n_contributions": 5, "hold_days": 2.0, "include_funding": False},
+    {"stride_days": 2.0, "n_contributions": 5, "hold_days": 2.0, "include_funding": False},
+    {"stride_days": 1.0, "n_contributions": 5, "hold_days": 2.0},
+    {"stride_days": 1.0, "n_contributions": 5, "hold_days": 2.0, "gate": "dip:0.05:7"},
+    {"stride_days": 1.0, "n_contributions": 5, "hold_days": 2.0, "leverage": 3.0, "gate": "SMA:7", "stop_loss": 0.5},
+    {"stride_days": 0.01, "n_contributions": 5},
+    {"gate": "moon:1"},
+]
+SIGNAL_CELLS = [{"rule": "carry_funding", "lookback_days": 3.0, "enter_rate": 1e-4}, {"rule": "cci_reversion", "lookback_days": 1.0, "stop_loss": 0.2}, {"rule": "cci_mtf", "lookback_days": 1.0, "filter_hours": 4, "filter_lookback_days": 3.0}]
+
+
+def dca_trials(spark, sf):
+    """Metrics of a small grid of accumulation plans, routed to the closed form or the simulator."""
+    return runner.run_dca(panel(spark, sf), DCA_CELLS)[0].select("symbol", "cell", "evaluator", "n_starts", "tm_q05", "tm_q50", "mwrr_q05", "mwrr_q50", "dd_q50", "funding_frac_q50", "liquidation_rate")
+
+
+def signal_trials(spark, sf):
+    return runner.run_signals(panel(spark, sf), SIGNAL_CELLS)[0]
+
+
 def synthetic_paths(spark, sf):
     return inference.synthetic_paths(spark, panel(spark, sf), paths=20)
 
@@ -187,15 +225,14 @@ def best_of_grid(spark, sf):
     """p-values of the best accumulation cell against the same search on resampled daily prices, 199 paths."""
     daily = _daily(panel(spark, sf))
 
-    def scorer(plan: Plan):
-        return lambda p: analytic.evaluate(p.withColumn("ts", F.lit(None).cast("timestamp_ntz")), plan).groupBy("symbol").agg(F.percentile("terminal_multiple", 0.05).alias("value"))
+    plans = [Plan(stride=k, n=n, hold=2) for k in (1, 2) for n in (3, 5)]
+
+    def scores(p: DataFrame) -> DataFrame:
+        d = analytic.evaluate_many(p.withColumn("ts", F.lit(None).cast("timestamp_ntz")), plans)
+        return d.groupBy("symbol", "cell").agg(F.percentile("terminal_multiple", 0.05).alias("value"))
 
-    cells = [(f"{k}x{n}", scorer(Plan(stride=k, n=n, hold=2))) for k in (1, 2) for n in (3, 5)]
-    seen = None
-    for _, s in cells:
-        d = s(daily)
-        seen = d if seen is None else seen.unionByName(d)
-    return inference.best_of_grid(inference.null_scores(inference.synthetic_paths(spark, daily), cells), seen.groupBy("symbol").agg(F.max("value").alias("value")), value="value")
+    seen = scores(daily).groupBy("symbol").agg(F.max("value").alias("value"))
+    return inference.best_of_grid(inference.null_scores(inference.synthetic_paths(spark, daily), scores), seen, value="value")
 
 
 # Robustness of a signal rule
@@ -381,7 +418,7 @@ def development_rows(spark, sf):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = [
         ledger_first, ledger_union, ledger_new, ledger_attributions, ledger_families, ledger_runs, ledger_best, ledger_revisions, newest_per_cell, pending_pairs, measured_symbols,
-        symbol_sets, uses_closed_form, skip_reasons, grid_expand, surface_best, plateau, common_starts, modal_horizon, split_scores, overfitting, synthetic_paths, best_of_grid,
+        symbol_sets, uses_closed_form, skip_reasons, grid_expand, surface_best, plateau, common_starts, modal_horizon, split_scores, overfitting, overfitting_signals, dca_trials, signal_trials, synthetic_paths, best_of_grid,
         cost_stress, walk_forward, regime_consistency, clock_drift, disqualifiers, target_candidates, best_within_limit, vote_tally, duty_cycle, merged_timeline, findings,
         survivorship, hashed_sample, listed_symbols, merged_settlements, complete_days, missing_days, resumed_ingest, lifecycle, development_rows,
     ]

@@ -251,3 +251,35 @@ def test_funding_statistics_and_samples(spark):
     pick = lambda d: [r.symbol for r in ops.hashed_sample(d, "symbol", 5, 1).collect()]
     assert pick(s) == pick(s.repartition(7)) and len(set(pick(s))) == 5
     assert list(itertools.islice(inference.half_splits(4), 6)) == [3, 5, 6, 9, 10, 12]
+
+
+# Trials
+
+
+def test_routing_and_recording(spark, tmp_path):
+    from barloom.operators import analytic, runner
+    from barloom.operators.cleaning import panel_hash
+    from tests.test_tracks import market, panel
+
+    p = panel(spark, A=market(400, 1), B=market(60, 2))
+    cells = [
+        {"stride_days": 1.0, "n_contributions": 4, "include_funding": False},
+        {"stride_days": 1.0, "n_contributions": 4, "include_funding": False, "symbol": "A", "contribution": 7.0},
+        {"stride_days": 1.0, "n_contributions": 4, "gate": "dip:0.01:2", "leverage": 2.0},
+        {"gate": "moon"},
+        {"stride_days": 0.001},
+    ]
+    d, skipped = runner.run_dca(p, cells)
+    got = {(r.symbol, r.cell): r for r in d.collect()}
+    assert skipped == [(3, "gate_not_understood(moon)"), (4, "stride_under_one_bar")]
+    assert set(got) == {("A", 0), ("A", 1), ("A", 2)}  # B is shorter than the horizon
+    assert got[("A", 0)].evaluator == "analytic" and got[("A", 2)].evaluator == "simulate"
+    assert got[("A", 0)].tm_q50 == pytest.approx(got[("A", 1)].tm_q50) and got[("A", 0)].mwrr_q50 == pytest.approx(got[("A", 1)].mwrr_q50)
+    want = [r.terminal_multiple for r in analytic.evaluate(p, analytic.Plan(stride=24, n=4)).where("symbol = 'A'").collect()]
+    assert got[("A", 0)].tm_q50 == pytest.approx(np.median(want)) and got[("A", 0)].n_starts == len(want)
+    rows = runner.as_trials(d, cells, run_id="r", family="f", hypothesis_id="H", panel_hashes=panel_hash(p, ["close"]), code_hash="c", created_utc="2024-01-01")
+    book = ledger.Ledger(spark, f"file://{tmp_path}/runs", create=True)
+    assert book.record(rows) == 3 and book.record(rows) == 0
+    assert ledger.best(book.trials(), "tm_q50", 1).count() == 1
+    s, skipped = runner.run_signals(p, [{"rule": "cci_reversion", "lookback_days": 1.0}, {"rule": "none"}, {"rule": "cci_reversion", "lookback_days": 1.0, "leverage": 60.0}])
+    assert skipped[0][0] == 1 and {r.cell for r in s.collect()} == {0}

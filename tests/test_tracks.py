@@ -358,3 +358,12 @@ def test_curve_metrics(spark):
         b = of(bad)
         assert b.cagr is b.max_drawdown is b.calmar is b.sharpe is None
     assert of([100, 101, 102, 103, 104]).calmar is None
+
+
+@pytest.mark.parametrize("funding", [False, True])
+def test_a_grid_in_one_pass_is_its_plans(spark, funding):
+    p = panel(spark, A=market(150, 1), B=market(40, 2))
+    plans = [Plan(stride=k, n=n, hold=h) for k in (3, 7) for n in (2, 5) for h in (0, 6)] + [Plan(stride=200, n=3)]
+    got = {(r.symbol, r.cell, r.start_idx): r.terminal_value for r in A.evaluate_many(p, plans, funding).collect()}
+    want = {(r.symbol, i, r.start_idx): r.terminal_value for i, q in enumerate(plans) for r in A.evaluate(p, q, funding).collect()}
+    assert got == pytest.approx(want)
