@@ -36,3 +36,13 @@ def days_to_bars(days: float, bars_per_day: float) -> int:
 
 def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def pick(df, keys, order, largest: bool = False):
+    """One row per key: the first in `order` (or the last). An aggregation, so copies of a key merge before
+    the shuffle and no key is sorted in one task. Null keys are keys; null comes first in an order."""
+    keys, order = list(keys), list(order)
+    rest = [c for c in df.columns if c not in keys]
+    by = F.max_by if largest else F.min_by
+    # A struct is never null, so rows whose order values are null still count.
+    return df.groupBy(*keys).agg(by(F.struct(*rest), F.struct(*order)).alias("__m")).select(*keys, "__m.*").select(*df.columns)

@@ -32,34 +32,40 @@ def _violates() -> Column:
 
 
 def staged(raw: DataFrame, *, source: str = "symbol", order: str = "row_id", stamp: Column | None = None) -> DataFrame:
-    """raw with its cleaning stage: stamp, __padding, __rank (1 is kept of each source and stamp), __ok.
+    """(source, stamp, __first, __rows, __padding, __alive, __kept): one row per source and stamp.
 
-    Nothing is filtered, so that the quality record and the clean bars come from one pass. Of several bars
-    of a stamp the first delivered is kept. A bar whose padding test is null is lost, as is one whose
-    stamp is unreadable.
+    __first holds the first delivered bar of the stamp that is readable and no padding, __alive how many there
+    are. The quality record and the clean bars come from this one aggregation, which merges repeats before
+    the shuffle; unreadable stamps only count. A bar whose padding test is null is lost.
     """
-    at = stamp if stamp is not None else lenient_stamp("ts")
-    df = raw.withColumn("stamp", at).withColumn("__padding", is_padding())
-    alive = F.col("stamp").isNotNull() & (F.col("__padding") == F.lit(False))
-    w = Window.partitionBy(source, "stamp", "__alive").orderBy(order)
-    return (
-        df.withColumn("__alive", F.coalesce(alive, F.lit(False)))
-        .withColumn("__rank", F.row_number().over(w))
-        .withColumn("__kept", F.col("__alive") & (F.col("__rank") == 1))
-        .withColumn("__positive", F.coalesce(_positive(), F.lit(False)))
+    df = raw.withColumn("stamp", stamp if stamp is not None else lenient_stamp("ts"))
+    padding = F.coalesce(F.col("stamp").isNotNull() & is_padding(), F.lit(False))
+    alive = F.col("stamp").isNotNull() & (is_padding() == F.lit(False))
+    rest = [c for c in raw.columns if c not in (source, "ts", "stamp")]
+    g = df.groupBy(source, "stamp").agg(
+        F.min_by(F.struct(*rest), F.when(alive, F.col(order))).alias("__first"),
+        F.count(F.lit(1)).alias("__rows"),
+        F.count_if(padding).alias("__padding"),
+        F.count_if(F.coalesce(alive, F.lit(False))).alias("__alive"),
     )
+    return g.withColumn("__kept", F.col("__alive") > 0)
+
+
+def _of_first(c: Column) -> Column:
+    return F.coalesce(c, F.lit(False))
 
 
 def clean_bars(raw: DataFrame, *, source: str = "symbol", order: str = "row_id", stamp: Column | None = None) -> DataFrame:
     """Readable, unpadded, first-delivered bars with positive prices. Bars that violate high and low are kept."""
-    s = staged(raw, source=source, order=order, stamp=stamp)
-    return s.where(F.col("__kept") & F.col("__positive")).select(source, F.col("stamp").alias("ts"), *[c for c in raw.columns if c not in (source, "ts", "stamp")])
+    s = staged(raw, source=source, order=order, stamp=stamp).where("__kept")
+    return s.select(source, F.col("stamp").alias("ts"), "__first.*").where(_positive())
 
 
 def quality_report(raw: DataFrame, *, source: str = "symbol", order: str = "row_id", stamp: Column | None = None, min_bars: int = K.MIN_BARS, seal: str = str(K.SEAL)) -> DataFrame:
     """One record per source: what the cleaning dropped, gaps, violations, and whether the source is usable."""
     s = staged(raw, source=source, order=order, stamp=stamp)
-    final = F.col("__kept") & F.col("__positive")
+    s = s.select(source, "stamp", "__rows", "__padding", "__alive", "__kept", *[F.col(f"__first.{c}").alias(c) for c in ("open", "high", "low", "close")])
+    final = F.col("__kept") & _of_first(_positive())
     w = Window.partitionBy(source, "__final").orderBy("stamp")
     g = s.withColumn("__final", final).withColumn(
         "__gap", F.when(final, F.greatest((epoch_us("stamp") - F.lag(epoch_us("stamp")).over(w)) / F.lit(60_000_000) - 1, F.lit(0.0)).cast("bigint"))
@@ -67,9 +73,9 @@ def quality_report(raw: DataFrame, *, source: str = "symbol", order: str = "row_
     iff = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     nonpos = (F.col("open") <= 0) | (F.col("high") <= 0) | (F.col("low") <= 0) | (F.col("close") <= 0)
     agg = g.groupBy(source).agg(
-        F.count(F.lit(1)).alias("rows_raw"),
-        iff(F.col("stamp").isNotNull() & F.col("__padding")).alias("rows_dropped_padding"),
-        iff(F.col("__alive") & (F.col("__rank") > 1)).alias("rows_dropped_duplicate"),
+        F.sum("__rows").alias("rows_raw"),
+        F.sum("__padding").alias("rows_dropped_padding"),
+        F.sum(F.greatest(F.col("__alive") - 1, F.lit(0))).alias("rows_dropped_duplicate"),
         iff(final).alias("rows_final"),
         F.min(F.when(final, F.col("stamp"))).alias("__first"),
         F.max(F.when(final, F.col("stamp"))).alias("__last"),
@@ -90,11 +96,6 @@ def quality_report(raw: DataFrame, *, source: str = "symbol", order: str = "row_
     )
 
 
-def slot(ts: str, minutes: int) -> Column:
-    """Start of the epoch-aligned slot of a zone-free stamp."""
-    return F.window(F.col(ts), f"{minutes} minutes").start
-
-
 def tumble(bars: DataFrame, minutes: int = 60, *, source: str = "symbol", ts: str = "ts") -> DataFrame:
     """First, highest, lowest and last price and totals per slot, labelled by its start; empty slots do not appear."""
     step = f"make_dt_interval(0, 0, 0, CAST(pmod(timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{ts}`), {minutes * 60}) AS DECIMAL(18, 6)))"

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.functions.columns import pick
+
 IDENTITY = ("config_hash", "symbol", "evaluator", "panel_hash", "code_hash")
 
 
@@ -16,8 +18,7 @@ def json_number(column: str, key: str) -> Column:
 
 def first_of_identity(trials: DataFrame, order: Sequence[str] = ("created_utc", "trial_id"), identity: Sequence[str] = IDENTITY) -> DataFrame:
     """One row per identity, the first written. Identities with null parts are identities of their own rows' nulls."""
-    w = Window.partitionBy(*identity).orderBy(*order)
-    return trials.withColumn("__k", F.row_number().over(w)).where(F.col("__k") == 1).drop("__k")
+    return pick(trials, identity, order)
 
 
 def new_rows(held: DataFrame, batch: DataFrame, **kw) -> DataFrame:
@@ -96,14 +97,12 @@ def best(trials: DataFrame, metric: str, k: int, family: str | None = None) -> D
 
 
 def newest_per_cell(trials: DataFrame, cell: Sequence[str] = ("hypothesis_id", "symbol", "config_hash")) -> DataFrame:
-    w = Window.partitionBy(*cell).orderBy(F.desc("created_utc"), F.desc("trial_id"))
-    return trials.withColumn("__k", F.row_number().over(w)).where(F.col("__k") == 1).drop("__k")
+    return pick(trials, cell, ("created_utc", "trial_id"), largest=True)
 
 
 def latest_of(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Upsert view: the newest entry of each key."""
-    w = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order])
-    return df.withColumn("__k", F.row_number().over(w)).where(F.col("__k") == 1).drop("__k")
+    return pick(df, key, order, largest=True)
 
 
 def revisions(trials: DataFrame) -> DataFrame:

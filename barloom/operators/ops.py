@@ -10,18 +10,26 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import epoch_us
 
 
+def _islands(d: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys..., a, b, n, g): overlapping spans merged; g is the gap before an island."""
+    w = Window.partitionBy(*keys).orderBy("a", "b")
+    d = d.withColumn("__seen", F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    d = d.withColumn("__new", (F.col("__seen").isNull() | (F.col("a") > F.col("__seen"))).cast("int"))
+    d = d.withColumn("__g", F.when((F.col("__new") == 1) & F.col("__seen").isNotNull(), F.col("a") - F.col("__seen")))
+    d = d.withColumn("__isle", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return d.groupBy(*keys, "__isle").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("n").alias("n"), F.max("__g").alias("g")).drop("__isle")
+
+
 def duty_cycle(spans: DataFrame, *, by: Sequence[str], begin: str, end: str) -> DataFrame:
     """(by..., spans, islands, busy_s, window_s, duty, largest_gap_s): overlapping spans count once.
 
-    begin and end are zone-free stamps; spans that end before they begin are left out.
+    begin and end are zone-free stamps; spans that end before they begin are left out. Equal spans are
+    counted first and spans that begin on one day are merged first, so a busy key is spread over its days and
+    only its islands meet in one task.
     """
     d = spans.select(*by, epoch_us(begin).alias("a"), epoch_us(end).alias("b")).where(F.col("a") <= F.col("b"))
-    w = Window.partitionBy(*by).orderBy("a", "b")
-    seen = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    d = d.withColumn("__seen", seen).withColumn("__new", (F.col("__seen").isNull() | (F.col("a") > F.col("__seen"))).cast("int"))
-    d = d.withColumn("__gap", F.when((F.col("__new") == 1) & F.col("__seen").isNotNull(), F.col("a") - F.col("__seen")))
-    d = d.withColumn("__isle", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    isles = d.groupBy(*by, "__isle").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.count(F.lit(1)).alias("n"), F.max("__gap").alias("g"))
+    d = d.groupBy(*by, "a", "b").agg(F.count(F.lit(1)).alias("n")).withColumn("__day", F.floor(F.col("a") / F.lit(86_400_000_000)))
+    isles = _islands(_islands(d, [*by, "__day"]).drop("g", "__day"), list(by))
     s = lambda c: c / F.lit(1_000_000.0)
     return isles.groupBy(*by).agg(
         F.sum("n").alias("spans"), F.count(F.lit(1)).alias("islands"), s(F.sum(F.col("b") - F.col("a"))).alias("busy_s"), s(F.max("b") - F.min("a")).alias("window_s"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom import constants as K
+from barloom.functions.columns import pick
 
 
 def dense_surface(cells: DataFrame, measured: DataFrame, key: Sequence[str], value: str) -> DataFrame:
@@ -17,9 +18,8 @@ def dense_surface(cells: DataFrame, measured: DataFrame, key: Sequence[str], val
 
 def best_cell(surface: DataFrame, value: str, ordinal: str, by: Sequence[str] = ("symbol",)) -> DataFrame:
     """The first cell in grid order among those of the greatest value; sources without a value have none."""
-    ok = surface.where(F.col(value).isNotNull() & ~F.isnan(value))
-    w = Window.partitionBy(*by).orderBy(F.desc(value), F.asc(ordinal))
-    return ok.withColumn("__k", F.row_number().over(w)).where(F.col("__k") == 1).drop("__k")
+    ok = surface.where(F.col(value).isNotNull() & ~F.isnan(value)).withColumn("__o", -F.col(value))
+    return pick(ok, by, ("__o", ordinal)).drop("__o")
 
 
 def plateau(surface: DataFrame, value: str, cell: str, ordinal_axes: Sequence[str], other_axes: Sequence[str] = (), by: Sequence[str] = ("symbol",)) -> DataFrame:

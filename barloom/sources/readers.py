@@ -7,10 +7,11 @@ import zipfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom import constants as K
+from barloom.functions.columns import pick
 
 RAW_BARS = "ts string, open double, high double, low double, close double, volume double, quote_volume double, taker_buy_base double, taker_buy_quote double, trades bigint"
 
@@ -81,8 +82,7 @@ def settlements(parts: Sequence[DataFrame], *, ms: str = "calc_time", rate: str
     for k, p in enumerate(parts):
         p = p.select(F.col(ms).cast("bigint").alias("__ms"), F.col(rate).cast("double").alias("funding_rate"), F.col(hours).cast("bigint").alias("interval_hours"), F.lit(k).alias("__part"))
         d = p if d is None else d.unionByName(p)
-    w = Window.partitionBy("__ms").orderBy("__part", "funding_rate")
-    return d.where(F.col("__ms").isNotNull()).withColumn("__k", F.row_number().over(w)).where(F.col("__k") == 1).select(
+    return pick(d.where(F.col("__ms").isNotNull()), ["__ms"], ["__part", "funding_rate"]).select(
         F.timestamp_millis("__ms").cast("timestamp_ntz").alias("ts"), "funding_rate", "interval_hours"
     )
 
@@ -103,8 +103,7 @@ def missing_days(wanted: DataFrame, held: DataFrame, *, source: str = "symbol",
 def resumed(held: DataFrame, fetched: DataFrame, *, key: Sequence[str] = ("symbol", "ts")) -> DataFrame:
     """Held and fetched readings; of each stamp the last fetched is kept."""
     both = held.withColumn("__g", F.lit(0)).unionByName(fetched.withColumn("__g", F.lit(1)))
-    w = Window.partitionBy(*key).orderBy(F.desc("__g"))
-    return both.withColumn("__k", F.row_number().over(w)).where(F.col("__k") == 1).drop("__k", "__g")
+    return pick(both, key, ["__g"], largest=True).drop("__g")
 
 
 def lifecycle(months: DataFrame, live: DataFrame, *, source: str = "symbol", month: str = "month") -> DataFrame:
