@@ -197,7 +197,7 @@ PARAMETERS = {
     "around_volume": 15,
     "near": 4,  # bars before and after that can make a stretch wide
     "scale_half": 30,  # bars on both sides that give the restlessness
-    "price_times": 5.0,  # times the restlessness outside the level
+    "price_times": 6.5,  # times the restlessness outside the level
     "volume_log": 4.0,  # natural logarithm outside the level
     "volume_weight": 2.0,
     "clip": 100.0,
