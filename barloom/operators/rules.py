@@ -47,14 +47,14 @@ def carry_funding(panel: DataFrame, r: Rule) -> DataFrame:
     """Short while the mean settlement pays enough; a missing mean neither enters nor exits."""
     if r.enter < r.exit:
         raise ValueError("entry level under exit level")
-    d = panel.withColumn("reading", settlement_mean(days_to_bars(r.lookback_days, 24.0 / r.step_hours)))
+    d = settlement_mean(panel, days_to_bars(r.lookback_days, 24.0 / r.step_hours), "reading")
     return _signals(d, F.lit(False), F.col("reading") >= r.enter, F.col("reading") < r.exit)
 
 
 def carry_funding_long(panel: DataFrame, r: Rule) -> DataFrame:
     if r.enter > r.exit:
         raise ValueError("entry level over exit level")
-    d = panel.withColumn("reading", settlement_mean(days_to_bars(r.lookback_days, 24.0 / r.step_hours)))
+    d = settlement_mean(panel, days_to_bars(r.lookback_days, 24.0 / r.step_hours), "reading")
     return _signals(d, F.col("reading") <= r.enter, F.lit(False), F.col("reading") > r.exit)
 
 

@@ -104,9 +104,9 @@ def run_dca(panel: DataFrame, configs: Sequence[Mapping]) -> tuple[DataFrame | N
             continue
         p = panel if cfg.get("symbol") is None else panel.where(F.col("symbol") == cfg["symbol"])
         look = days_to_bars(gate[2], per_day)
-        col = {"dip": lambda: gate_dip(gate[1], look), "sma": lambda: gate_sma(look)}.get(gate[0])
-        p = p if col is None else p.withColumn("gate", col())
-        d = simulate_panel(p, path, gate=None if col is None else "gate", step=max(1, days_to_bars(SIM_STRIDE_DAYS, per_day)))
+        if gate[0] != "none":
+            p = gate_dip(p, gate[1], look, "gate") if gate[0] == "dip" else gate_sma(p, look, "gate")
+        d = simulate_panel(p, path, gate=None if gate[0] == "none" else "gate", step=max(1, days_to_bars(SIM_STRIDE_DAYS, per_day)))
         real = F.greatest(F.round(F.col("invested") / path.plan.amount), F.lit(1.0))
         d = _rates(d, path.plan, per_day, "terminal_equity", real, F.col("exit_bar").cast("double"))
         d = d.withColumns({"cell": F.lit(i), "evaluator": F.lit("simulate"), "funding_frac": F.col("funding_paid") / F.greatest(F.col("invested"), F.lit(1e-9)), "dd": F.col("max_dd_total")})

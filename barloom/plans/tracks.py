@@ -70,7 +70,7 @@ def simulate_levered(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def simulate_gated(spark: SparkSession, sf: str) -> DataFrame:
-    p = panel(spark, sf).withColumn("gate", gate_dip(0.05, 168))
+    p = gate_dip(panel(spark, sf), 0.05, 168, "gate")
     return _sim(simulate_panel(p, PathPlan(PLAN), gate="gate", step=24))
 
 

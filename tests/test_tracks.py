@@ -327,7 +327,9 @@ def test_rule_registry(spark):
 
 def test_gates_look_back_only(spark):
     m = market(120, 3, sigma=0.02)
-    d = panel(spark, A=m).select("bar_idx", W.gate_dip(0.05, 10).alias("d"), W.gate_dip(0.05, 0).alias("e"), W.gate_sma(10).alias("s")).orderBy("bar_idx").collect()
+    p = W.gate_sma(W.gate_dip(W.gate_dip(panel(spark, A=m), 0.05, 10, "d"), 0.05, 0, "e"), 10, "s")
+    assert not any(r.d or r.s for r in W.gate_sma(W.gate_dip(panel(spark, A=m), 0.05, 120, "d"), 120, "s").collect())
+    d = p.select("bar_idx", "d", "e", "s").orderBy("bar_idx").collect()
     c = m["close"]
     for i, r in enumerate(d):
         assert r.d == (i >= 9 and c[i] <= max(c[max(0, i - 10):i]) * 0.95)
