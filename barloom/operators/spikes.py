@@ -236,7 +236,9 @@ def implausible_bars(
         F.col(arrived).alias("__at"),
         impossible().alias("__no"),
     )
-    rows = rows.withColumn("h", F.xxhash64(*value))
+    # A hash skips nulls, so which values are null is hashed too.
+    gone = sum((F.when(F.col(c).isNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(value)), F.lit(0))
+    rows = rows.withColumn("h", F.xxhash64(*value, gone))
     sources = rows.where(F.col("minute").isNotNull() & F.col("__src").isNotNull())
     span = block_days * DAY
     touched = F.sequence(F.floor((F.col("minute") - margin_minutes) / span).cast("bigint"), F.floor((F.col("minute") + margin_minutes) / span).cast("bigint"))

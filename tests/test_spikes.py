@@ -118,6 +118,14 @@ def test_empty_single_and_null_rows(spark):
     assert found(spark, [dict(blank, row_id=1), dict(blank, row_id=2, symbol="A", ts="2024-01-01 00:00:00")]) == {}
 
 
+def test_deliveries_that_differ_in_what_is_null(spark):
+    rows = walk(300, seed=4)
+    x = rows[150]["high"] * 1.3
+    rows.append(dict(rows[150], row_id=7000, open=None, high=None, low=None, close=x, ingested_at=T0 + dt.timedelta(days=1)))
+    rows.append(dict(rows[150], row_id=7001, open=x, high=None, low=None, close=None, ingested_at=T0 + dt.timedelta(days=2)))
+    assert set(found(spark, rows)) == {7000, 7001}
+
+
 def test_blocks_of_other_lengths_agree(spark):
     rows = walk(6000, seed=8)
     for i in (100, 1440, 2879, 2880, 4000):
