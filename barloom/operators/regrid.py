@@ -21,7 +21,7 @@ from barloom.functions.columns import epoch_us, present
 STATUS_READ, STATUS_FILLED, STATUS_MARKED = "read", "filled", "marked"
 
 
-def ssa_fill(values: np.ndarray, window: int = 24, rank: int = 3, tol: float = 1e-5, max_iter: int = 40) -> np.ndarray:
+def ssa_fill(values: np.ndarray, window: int = 24, rank: int = 8, tol: float = 1e-5, max_iter: int = 40) -> np.ndarray:
     """Complete the NaN entries of a series; observed entries are returned unchanged.
 
     Starts from linear interpolation, then alternates the rank-limited reconstruction of the
@@ -100,7 +100,7 @@ def regrid(
     block: int = 720,
     margin: int = 96,
     window: int = 24,
-    rank: int = 3,
+    rank: int = 8,
     min_seen: float = 0.2,
 ) -> DataFrame:
     """(source, slot_start, value, status): one row per source and slot from its first to its last reading.
