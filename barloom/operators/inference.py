@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -144,3 +145,48 @@ def null_scores(paths: DataFrame, scorer: Callable[[DataFrame], DataFrame], *, s
     keyed = paths.select(F.concat_ws("\u0001", source, F.col("path_id").cast("string")).alias("symbol"), "bar_idx", "close", F.col("close").alias("high"), F.col("close").alias("low"))
     k = F.split("symbol", "\u0001")
     return scorer(keyed).select(k[0].alias(source), k[1].cast("int").alias("path_id"), "cell", "value")
+
+
+def path_scores(
+    panel: DataFrame,
+    scorer: Callable[[np.ndarray], np.ndarray],
+    *,
+    paths: int = K.BOOTSTRAP_PATHS,
+    block: int = K.BOOTSTRAP_BLOCK,
+    seed: int = K.SEED,
+    source: str = "symbol",
+    per_task: int = 25,
+) -> DataFrame:
+    """(source, path_id, cell, value): a grid's scorer on every path of synthetic_paths, and on the observed closes as path -1.
+
+    The scorer maps the closes of all bars in their order to one value per cell. A path is made, scored and dropped
+    inside a task: only the observed closes and the starts of blocks are shuffled, once per `per_task` paths. A
+    source's closes are one array in a worker. A source of one bar has no returns and no rows.
+    """
+    bars = F.array_sort(F.collect_list(F.struct("bar_idx", "close")))
+    series = panel.groupBy(source).agg(bars.alias("__b")).select(source, F.col("__b.close").alias("__c")).where(F.size("__c") > 1)
+    parts = series.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(paths // per_task))))
+    n = F.size("__c") - 1
+    ids = F.sequence(F.greatest(F.col("__part") * per_task - 1, F.lit(-1)), F.least(F.col("__part") * per_task + per_task - 2, F.lit(paths - 1)))
+    ks = F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / block).cast("bigint"))
+    # The starts that synthetic_paths draws.
+    starts = F.transform(F.col("__ids"), lambda p: F.transform(ks, lambda k: F.pmod(F.xxhash64(F.lit(seed), F.col(source), p, k), n).cast("int")))
+    rows = parts.withColumn("__ids", ids).withColumn("__starts", starts)
+    kind = panel.schema[source].dataType.simpleString()
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for key, close, path_ids, drawn in zip(pdf[source], pdf["__c"], pdf["__ids"], pdf["__starts"]):
+            close = np.asarray(close, dtype=float)
+            r = np.diff(np.log(close))
+            for path, first in zip(path_ids, drawn):
+                c = close
+                if path >= 0:
+                    at = (np.asarray(first, dtype=np.int64)[:, None] + np.arange(block)).ravel()[: len(r)] % len(r)
+                    c = np.concatenate([close[:1], close[0] * np.exp(np.cumsum(r[at]))])
+                v = np.asarray(scorer(c), dtype=float)
+                out.append(pd.DataFrame({source: np.full(len(v), key, dtype=object), "path_id": path, "cell": np.arange(len(v)), "value": v}))
+        return pd.concat(out)
+
+    scored = rows.groupBy(source, "__part").applyInPandas(score, schema=f"`{source}` {kind}, path_id int, cell int, value double")
+    return scored.where(F.col("value").isNotNull() & ~F.isnan("value"))

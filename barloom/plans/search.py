@@ -215,24 +215,12 @@ def synthetic_paths(spark, sf):
     return inference.synthetic_paths(spark, panel(spark, sf), paths=20)
 
 
-def _daily(p: DataFrame) -> DataFrame:
-    """One bar a day, numbered anew, for the searches on many paths."""
-    d = p.where(F.col("bar_idx") % 24 == 0)
-    return d.withColumn("bar_idx", (F.col("bar_idx") / 24).cast("bigint"))
-
-
 def best_of_grid(spark, sf):
-    """p-values of the best accumulation cell against the same search on resampled daily prices, 199 paths."""
-    daily = _daily(panel(spark, sf))
-
-    plans = [Plan(stride=k, n=n, hold=2) for k in (1, 2) for n in (3, 5)]
-
-    def scores(p: DataFrame) -> DataFrame:
-        d = analytic.evaluate_many(p.withColumn("ts", F.lit(None).cast("timestamp_ntz")), plans)
-        return d.groupBy("symbol", "cell").agg(F.percentile("terminal_multiple", 0.05).alias("value"))
-
-    seen = scores(daily).groupBy("symbol").agg(F.max("value").alias("value"))
-    return inference.best_of_grid(inference.null_scores(inference.synthetic_paths(spark, daily), scores), seen, value="value")
+    """p-values of the best accumulation cell against the same search on resampled hourly closes, 199 paths."""
+    plans = PLANS
+    d = cut(inference.path_scores(panel(spark, sf), lambda close: analytic.grid_quantiles(close, plans, 0.05)))
+    seen = d.where(F.col("path_id") < 0).groupBy("symbol").agg(F.max("value").alias("value"))
+    return inference.best_of_grid(d.where(F.col("path_id") >= 0), seen, value="value")
 
 
 # Robustness of a signal rule

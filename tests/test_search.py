@@ -6,9 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.operators import grid, inference, ledger, ops, robustness, surface, verdict
+from barloom.operators import analytic, grid, inference, ledger, ops, robustness, surface, verdict
+from barloom.operators.analytic import Plan
 from barloom.operators.grid import Hypothesis
 from barloom.operators.signal import Account
+from barloom.plans import search
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -182,6 +184,32 @@ def test_p_values(spark):
     assert inference.best_of_grid(null, obs(None), value="v", paths=99).first().status == "no observation"
 
 
+def test_best_of_grid_searches_the_whole_grid_on_every_hour(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {r.symbol: r for r in search.best_of_grid(spark, sf).collect()}
+    want = {r.symbol: r.tm_q05 for r in search.surface_best(spark, sf).collect()}
+    assert set(got) == set(want) and all(got[s].observed == pytest.approx(want[s], abs=1e-6) for s in want)
+    assert all(r.paths_scored == 199 for r in got.values())
+
+
+def test_path_scores_are_those_of_the_written_paths(spark):
+    rng = np.random.default_rng(3)
+    rows = [(s, i, float(x)) for s, n in (("A", 90), ("B", 61), ("C", 1)) for i, x in enumerate(np.exp(np.cumsum(rng.normal(scale=0.05, size=n))))]
+    p = spark.createDataFrame(rows, "symbol string, bar_idx bigint, close double")
+    plans = [Plan(stride=k, n=n, hold=4) for n in (2, 3) for k in (5, 8)]
+
+    def scores(d):
+        d = analytic.evaluate_many(d.withColumn("ts", F.lit(None).cast("timestamp_ntz")), plans)
+        return d.groupBy("symbol", "cell").agg(F.percentile("terminal_multiple", 0.05).alias("value"))
+
+    key = ["symbol", "path_id", "cell"]
+    want = inference.null_scores(inference.synthetic_paths(spark, p, paths=9, block=7), scores).union(scores(p).selectExpr("symbol", "-1", "cell", "value"))
+    want = want.toPandas().sort_values(key)
+    got = inference.path_scores(p, lambda c: analytic.grid_quantiles(c, plans, 0.05), paths=9, block=7, per_task=4).toPandas().sort_values(key)
+    assert len(got) == 2 * 10 * 4 and got[key].to_numpy().tolist() == want[key].to_numpy().tolist()
+    assert np.allclose(got.value, want.value, rtol=1e-12)
+
+
 # Verdicts
 
 
