@@ -21,47 +21,63 @@ from barloom.functions.columns import epoch_us, present
 STATUS_READ, STATUS_FILLED, STATUS_MARKED = "read", "filled", "marked"
 
 
-def ssa_fill(values: np.ndarray, window: int = 24, rank: int = 8, tol: float = 1e-5, max_iter: int = 40) -> np.ndarray:
-    """Complete the NaN entries of a series; observed entries are returned unchanged.
+def ssa_impute(values: np.ndarray, window: int = 24, rank: int = 8, tol: float = 1e-5, max_iter: int = 2000, memory: int = 15) -> tuple[np.ndarray, bool]:
+    """Complete the NaN entries of a series, and whether they stand still; observed entries are returned unchanged.
 
     Starts from linear interpolation, then alternates the rank-limited reconstruction of the
-    trajectory matrix with resetting the observed entries, until the largest change of a
-    missing entry falls under tol times the series' spread. With fewer than two observed
-    entries, or a series no longer than the window, the interpolation stands.
+    trajectory matrix with resetting the observed entries, until a pass changes no missing entry by
+    more than tol times the series' spread. Plain passes need thousands, so each starts from the
+    combination of the last `memory` ones whose changes cancel best (Anderson acceleration); what a
+    pass leaves alone is the same. With fewer than two observed entries, or a series no longer than
+    two windows, the interpolation stands.
     """
     x = np.asarray(values, dtype=float)
     gap = ~np.isfinite(x)
     n, seen = len(x), int((~gap).sum())
     if seen == 0 or seen == n:
-        return x.copy()
+        return x.copy(), True
     idx = np.arange(n)
     y = x.copy()
     y[gap] = np.interp(idx[gap], idx[~gap], x[~gap])
     spread = float(np.std(x[~gap]))
     if seen < 2 or n <= 2 * window or spread == 0.0:
-        return y
+        return y, True
     mean = float(np.mean(x[~gap]))
     k = n - window + 1
     rank = min(rank, window)
     counts = np.convolve(np.ones(window), np.ones(k))
+    found: list[np.ndarray] = []
+    steps: list[np.ndarray] = []
     for _ in range(max_iter):
         z = y - mean
         traj = np.lib.stride_tricks.sliding_window_view(z, k)  # window x k, no copy
         _, vecs = np.linalg.eigh(traj @ traj.T)
         u = vecs[:, -rank:]
-        scores = u.T @ traj  # rank x k
+        low = u @ (u.T @ traj)
         rec = np.zeros(n)
-        for j in range(rank):
-            rec += np.convolve(u[:, j], scores[j])  # sums the anti-diagonals of a rank-one matrix
-        new = rec / counts + mean
-        step = float(np.max(np.abs(new[gap] - y[gap])))
-        y[gap] = new[gap]
-        if step <= tol * spread:
-            break
-    return y
+        for i in range(window):
+            rec[i : i + k] += low[i]  # sums the anti-diagonals
+        new = (rec / counts + mean)[gap]
+        step = new - y[gap]
+        y[gap] = new
+        if float(np.max(np.abs(step))) <= tol * spread:
+            return y, True
+        if steps and np.linalg.norm(step) > 2 * np.linalg.norm(steps[-1]):
+            found, steps = [], []  # the leading vectors changed: what was learned does not hold
+        found, steps = [*found, new][-memory - 1 :], [*steps, step][-memory - 1 :]
+        if len(steps) > 1:
+            mix = np.linalg.lstsq(np.diff(np.array(steps), axis=0).T, step, rcond=1e-10)[0]
+            y[gap] = new - np.diff(np.array(found), axis=0).T @ mix
+    y[gap] = new
+    return y, False
 
 
-def _complete(batches: Iterator[pd.DataFrame], block: int, margin: int, window: int, rank: int, min_seen: float) -> Iterator[pd.DataFrame]:
+def ssa_fill(values: np.ndarray, window: int = 24, rank: int = 8, tol: float = 1e-5, max_iter: int = 2000) -> np.ndarray:
+    """The series of ssa_impute, whether or not its missing entries stand still."""
+    return ssa_impute(values, window, rank, tol, max_iter)[0]
+
+
+def _complete(batches: Iterator[pd.DataFrame], block: int, margin: int, window: int, rank: int, min_seen: float, tol: float, max_iter: int) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         src, slots, vals, status, n_read = [], [], [], [], []
         for key, chunk, lo, hi, ss, vv in zip(pdf["__src"], pdf["__chunk"], pdf["__lo"], pdf["__hi"], pdf["__slots"], pdf["__vals"]):
@@ -72,7 +88,9 @@ def _complete(batches: Iterator[pd.DataFrame], block: int, margin: int, window:
             read = np.isfinite(x)
             own = slice(max(chunk * block, lo) - start, min((chunk + 1) * block - 1, hi) - start + 1)
             if not read[own].all() and read.sum() >= max(2, min_seen * len(x)):
-                y = ssa_fill(x, window, rank)
+                y, stood = ssa_impute(x, window, rank, tol, max_iter)
+                if not stood:
+                    y[~read] = np.nan
                 # Nothing outside the readings of this block is extrapolated.
                 first, last = np.flatnonzero(read)[[0, -1]]
                 y[:first] = np.nan
@@ -102,11 +120,14 @@ def regrid(
     window: int = 24,
     rank: int = 8,
     min_seen: float = 0.2,
+    tol: float = 1e-5,
+    max_iter: int = 2000,
 ) -> DataFrame:
     """(source, slot_start, value, status): one row per source and slot from its first to its last reading.
 
     status is `read`, `filled` (completed from the readings around it) or `marked` (the value is
-    null: fewer than min_seen of the block's slots were read, or no reading lies on one side).
+    null: fewer than min_seen of the block's slots were read, no reading lies on one side, or the
+    block's missing entries still moved by more than tol spreads after max_iter passes).
     Rows with a null source or stamp, or a null or NaN value, do not exist. In a slot the last
     reading counts, then the greatest `tie`. Empty tables give no rows; a single reading gives
     one row. Other columns, whatever their names, are ignored.
@@ -136,6 +157,6 @@ def regrid(
         .select("__src", "__chunk", "__lo", "__hi", F.col("__ps.__slot").alias("__slots"), F.col("__ps.__v").alias("__vals"))
     )
     kind = readings.schema[source].dataType.simpleString()
-    done = blocks.mapInPandas(lambda it: _complete(it, block, margin, window, rank, min_seen), schema=f"src {kind}, slot bigint, value double, status string")
+    done = blocks.mapInPandas(lambda it: _complete(it, block, margin, window, rank, min_seen, tol, max_iter), schema=f"src {kind}, slot bigint, value double, status string")
     start = F.expr(f"TIMESTAMP_NTZ'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, slot * {slot_s})")
     return done.select(F.col("src").alias(source), start.alias("slot_start"), F.when(F.col("status") != STATUS_MARKED, F.col("value")).alias("value"), "status")

@@ -128,6 +128,38 @@ def test_imputation_recovers_a_seasonal_series():
     assert (got[~miss] == y[~miss]).all()
 
 
+def walk_with_gaps(seed=5):
+    rng = np.random.default_rng(seed)
+    x = 100 * np.exp(np.cumsum(rng.normal(scale=0.005, size=400)))
+    x[60:75] = np.nan
+    x[150:190] = np.nan
+    x[rng.choice(np.arange(200, 390), 30, replace=False)] = np.nan
+    return x
+
+
+def test_imputation_goes_on_until_the_missing_entries_stand_still():
+    x = walk_with_gaps()
+    gap = np.isnan(x)
+    y = G.ssa_fill(x)
+    # One more plain pass, written out, changes nothing beyond the tolerance.
+    m, k = np.mean(x[~gap]), len(x) - 23
+    h = np.array([y[i : i + k] - m for i in range(24)])
+    u, s, v = np.linalg.svd(h, full_matrices=False)
+    low = (u[:, :8] * s[:8]) @ v[:8]
+    again = np.array([np.mean([low[i, t - i] for i in range(24) if 0 <= t - i < k]) for t in range(len(x))]) + m
+    assert np.abs(again - y)[gap].max() <= 1.5e-5 * np.std(x[~gap])
+
+
+def test_slots_of_a_block_that_does_not_stand_still_are_marked(spark):
+    x = walk_with_gaps()
+    data = [("A", T0 + dt.timedelta(hours=i), float(v), i) for i, v in enumerate(x) if np.isfinite(v)]
+    d = spark.createDataFrame(data, "symbol string, ts timestamp_ntz, close double, bar_id bigint")
+    f = lambda n: G.regrid(d, source="symbol", ts="ts", value="close", tie="bar_id", block=10_000, max_iter=n).groupBy("status").count().collect()
+    gaps = int(np.isnan(x).sum())
+    assert {r.status: r["count"] for r in f(3)} == {"read": 400 - gaps, "marked": gaps}
+    assert {r.status: r["count"] for r in f(2000)} == {"read": 400 - gaps, "filled": gaps}
+
+
 def test_imputation_of_degenerate_series():
     nan = float("nan")
     assert np.isnan(G.ssa_fill(np.array([nan, nan]))).all()
