@@ -189,6 +189,26 @@ def load_features(counts: DataFrame, load: str) -> DataFrame:
     return binned.groupBy(*keys, "feature", "bin").agg(F.sum("n").alias("n"))
 
 
+#: Features that are one number a load, between 0 and 1, kept in millionths.
+SCALARS = ("top", "distinct", "entropy")
+
+
+def load_spread(counts: DataFrame, load: str) -> DataFrame:
+    """(load, column_name, feature, bin, n): how the values of each column spread over its rows, from deltas per load.
+
+    `top` is the share of the most frequent value, `distinct` and `entropy` the logarithm of the distinct count and the
+    entropy as shares of what as many different values would have. Nulls are left out; n are the rows with a value.
+    """
+    # Not a filter, which would be pushed under the counting and keep its shuffle from being shared with load_features.
+    n = F.when(F.col("num").isNotNull() | F.col("txt").isNotNull(), F.col("n"))
+    nd = n.cast("double")
+    a = counts.groupBy(load, "column_name").agg(F.sum(n).alias("n"), F.max(nd).alias("__m"), F.count(n).alias("__d"), F.sum(nd * F.log2(nd)).alias("__l"))
+    most = F.log2(F.col("n").cast("double"))
+    value = {"top": F.col("__m") / F.col("n"), "distinct": F.log2(F.col("__d").cast("double")) / most, "entropy": (most - F.col("__l") / F.col("n")) / most}
+    parts = [F.struct(F.lit(f).alias("feature"), F.round(value[f] * 1e6).cast("bigint").alias("bin")) for f in SCALARS]
+    return a.where(F.col("n") > 1).select(load, "column_name", F.explode(F.array(*parts)).alias("p"), "n").select(load, "column_name", "p.feature", "p.bin", "n")
+
+
 def _departures(pdf: pd.DataFrame, load: str, around: int, floor: float) -> pd.DataFrame:
     """One column of all loads: distances of each load from the loads around it, by feature."""
     col = pdf["column_name"].iloc[0]
@@ -199,6 +219,17 @@ def _departures(pdf: pd.DataFrame, load: str, around: int, floor: float) -> pd.D
     reach = range(-2 * around, 2 * around + 1)
     near = [np.array([i + d for d in sorted(reach, key=lambda d: (abs(d), d)) if d and 0 <= i + d < len(loads)][: 2 * around], dtype=int) for i in range(len(loads))]
     for feature, part in pdf.groupby("feature"):
+        if feature in SCALARS:
+            x, rows = np.full(len(loads), np.nan), np.full(len(loads), np.nan)
+            x[part["__i"]], rows[part["__i"]] = part["bin"] / 1e6, part["n"]
+            for i in range(len(loads)):
+                nb = near[i][np.isfinite(x[near[i]])]
+                if np.isfinite(x[i]) and len(nb) >= 2:
+                    mid = np.median(x[nb])
+                    # Less than what the neighbours differ among themselves, or few rows let expect, is no departure.
+                    usual = 6 * np.median(np.abs(x[nb] - mid)) + 1.5 / np.sqrt(min(rows[i], np.median(rows[nb])))
+                    out[(i, str(feature))] = float(abs(x[i] - mid) - usual)
+            continue
         if feature == "stamp":
             # Stamps move on from load to load: judge the spread around the load's middle, and the middle by its steps.
             mids = np.full(len(loads), np.nan)
@@ -238,7 +269,8 @@ def _departures(pdf: pd.DataFrame, load: str, around: int, floor: float) -> pd.D
 def changed_columns(table: DataFrame, *, load: str, columns: Sequence[str], around: int = 5, floor: float = 0.12) -> DataFrame:
     """(load, column_name, features, distance): columns that depart plainly from the loads around it.
 
-    A load's null share, value forms, sizes and stamps are compared with each of the 2 * around nearest loads;
+    A load's null share, value forms, sizes and stamps are compared with each of the 2 * around nearest loads,
+    and the share of its most frequent value, its distinct count and its entropy with their median there;
     the median of those distances (half the summed difference of shares), less what the number of
     rows lets expect by chance, must exceed `floor`. A median is unmoved by single bad loads among
     the neighbours. Rows without a load do not count. With fewer than three loads nothing is judged.
@@ -246,7 +278,7 @@ def changed_columns(table: DataFrame, *, load: str, columns: Sequence[str], arou
     deltas = value_counts(table.where(F.col(load).isNotNull()), columns, by=[load])
     kind = table.schema[load].dataType.simpleString()
     # One row per load, column and bin is left: its number does not grow with the rows.
-    found = load_features(deltas, load).groupBy("column_name").applyInPandas(
+    found = load_features(deltas, load).unionByName(load_spread(deltas, load)).groupBy("column_name").applyInPandas(
         lambda pdf: _departures(pdf, load, around, floor), schema=f"{load} {kind}, column_name string, feature string, distance double"
     )
     return found.groupBy(load, "column_name").agg(F.array_join(F.array_sort(F.collect_set("feature")), ",").alias("features"), F.max("distance").alias("distance"))

@@ -112,6 +112,20 @@ def test_departures_come_out(spark):
     assert changed(spark, data) == {(3, "n"), (4, "x"), (6, "stamp"), (7, "symbol"), (9, "flag"), (10, "stamp")}
 
 
+def test_texts_that_collapse_to_few_values_come_out(spark):
+    def bend(r):
+        ld, s = r[0], r[1]
+        if ld == 4:
+            s = "S7"
+        if ld == 8:
+            s = f"S{int(s[1:]) % 4 + 20}"
+        return (ld, s, *r[2:])
+
+    plain = [(r[0], f"S{i % 120 + 100}", *r[2:]) for i, r in enumerate(rows(5, loads=12))]
+    assert changed(spark, plain) == set()
+    assert changed(spark, [bend(r) for r in plain]) == {(4, "symbol"), (8, "symbol")}
+
+
 def test_few_loads_and_empty_tables(spark):
     assert changed(spark, rows(1, loads=2)) == set()
     assert changed(spark, []) == set()
