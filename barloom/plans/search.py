@@ -8,6 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barloom import constants as K
 from barloom.functions.columns import canon_symbol, table
 from barloom.operators import analytic, grid, inference, ledger, metrics, ops, robustness, rules, runner, signal, surface, verdict
 from barloom.operators.analytic import Plan
@@ -178,6 +179,26 @@ def overfitting(spark, sf):
     return d.select("symbol", "splits", "configurations", rnd("pbo", 6), rnd("degraded_fraction", 6), rnd("median_logit", 6), "verdict")
 
 
+def overfitting_best(spark, sf):
+    """Split validation of each symbol's best cell of all, among the cells of the grid that share its horizon.
+
+    A multiple grows with the horizon, so cells of other horizons are no columns of the same matrix. A symbol whose
+    best cell shares its horizon with none, or whose starts span less than a horizon or blocks of ten, gets the reason.
+    """
+    d = cut(_grid_outcomes(spark, sf).select("symbol", "cell", "stride_ord", "n_ord", "horizon", "start_idx", "tm"))
+    q = d.groupBy("symbol", "cell", "horizon").agg(F.round(F.percentile("tm", 0.05), 9).alias("v"))
+    best = surface.best_cell(q, "v", "cell").select("symbol", F.col("cell").alias("best"), "horizon")
+    same = d.join(best, ["symbol", "horizon"])
+    shared = same.join(inference.common_starts(same, "cell", "start_idx", ["symbol"]), ["symbol", "start_idx"])
+    size = shared.groupBy("symbol", "best", "horizon").agg(F.count_distinct("cell").alias("cells"), F.count_distinct("start_idx").alias("starts"))
+    reason = F.when(F.col("cells") < 2, "fewer than two share a horizon").when((F.col("starts") < 10 * K.CSCV_BLOCKS) | (F.col("starts") < F.col("horizon")), "too few common starts")
+    size = size.withColumn("status", F.coalesce(reason, F.lit("ok")))
+    good = shared.join(size.where(F.col("status") == "ok").select("symbol"), "symbol", "left_semi")
+    v = inference.overfitting(inference.split_scores(good, row="start_idx", cfg="cell", value="tm", by=["symbol"]), cfg="cell", by=["symbol"])
+    j = size.join(v, "symbol", "left")
+    return j.select("symbol", "best", "horizon", "cells", "status", rnd("pbo", 6), rnd("degraded_fraction", 6), rnd("median_logit", 6), "verdict")
+
+
 def overfitting_signals(spark, sf):
     """The same validation for a signal rule: rows are bars, performance is the account's log return."""
     p, out = panel(spark, sf), None
@@ -406,7 +427,7 @@ def development_rows(spark, sf):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = [
         ledger_first, ledger_union, ledger_new, ledger_attributions, ledger_families, ledger_runs, ledger_best, ledger_revisions, newest_per_cell, pending_pairs, measured_symbols,
-        symbol_sets, uses_closed_form, skip_reasons, grid_expand, surface_best, plateau, common_starts, modal_horizon, split_scores, overfitting, overfitting_signals, dca_trials, signal_trials, synthetic_paths, best_of_grid,
+        symbol_sets, uses_closed_form, skip_reasons, grid_expand, surface_best, plateau, common_starts, modal_horizon, split_scores, overfitting, overfitting_best, overfitting_signals, dca_trials, signal_trials, synthetic_paths, best_of_grid,
         cost_stress, walk_forward, regime_consistency, clock_drift, disqualifiers, target_candidates, best_within_limit, vote_tally, duty_cycle, merged_timeline, findings,
         survivorship, hashed_sample, listed_symbols, merged_settlements, complete_days, missing_days, resumed_ingest, lifecycle, development_rows,
     ]
@@ -498,6 +519,16 @@ SELECT symbol, cells, round(peak, 7) AS peak, CAST(neighbours AS BIGINT) AS neig
         "modal_horizon": f"""{g}, c AS (SELECT symbol, horizon, count(*) AS n, row_number() OVER (PARTITION BY symbol ORDER BY count(*) DESC, min(cell)) AS k FROM outcomes GROUP BY 1, 2)
 SELECT symbol, CAST(horizon AS INTEGER) AS horizon, n FROM c WHERE k = 1""",
         "split_scores": f"{g}, {SPLITS} SELECT symbol, split, CAST(cell AS INTEGER) AS cell, round(inside, 9) AS inside, round(outside, 9) AS outside FROM sc",
+        "overfitting_best": f"""{g}, {SURFACE}, {PEAK}, bst AS (SELECT p.symbol, p.cell AS best, h.horizon FROM peak p JOIN (SELECT DISTINCT symbol, cell, horizon FROM outcomes) h ON p.symbol = h.symbol AND p.cell = h.cell WHERE p.k = 1),
+same AS (SELECT o.*, b.best FROM outcomes o JOIN bst b ON o.symbol = b.symbol AND o.horizon = b.horizon),
+siz AS (SELECT symbol, best, horizon, count(DISTINCT cell) AS cells, count(DISTINCT start_idx) AS starts FROM same GROUP BY ALL),
+sta AS (SELECT *, CASE WHEN cells < 2 THEN 'fewer than two share a horizon' WHEN starts < 100 OR starts < horizon THEN 'too few common starts' ELSE 'ok' END AS status FROM siz),
+mat AS (SELECT o.* FROM same o JOIN sta USING (symbol) WHERE status = 'ok'),
+{SPLITS[SPLITS.index("rws AS"):]}, rk AS (SELECT *, row_number() OVER (PARTITION BY symbol, split ORDER BY inside DESC, cell) AS i, row_number() OVER (PARTITION BY symbol, split ORDER BY outside, cell) AS o,
+  count(*) OVER (PARTITION BY symbol, split) AS g FROM sc), w AS (SELECT *, ln((o / (g + 1)) / (1 - o / (g + 1))) AS l FROM rk WHERE i = 1),
+a AS (SELECT symbol, avg((l <= 0)::INT) AS pbo, avg((outside < inside)::INT) AS deg, quantile_cont(l, 0.5) AS ml FROM w GROUP BY symbol)
+SELECT sta.symbol, CAST(best AS INTEGER) AS best, CAST(horizon AS INTEGER) AS horizon, cells, status, round(pbo, 6) AS pbo, round(deg, 6) AS degraded_fraction, round(ml, 6) + 0.0 AS median_logit,
+  CASE WHEN pbo >= 0.5 THEN 'NOISE' WHEN pbo >= 0.25 THEN 'WEAK' WHEN pbo IS NOT NULL THEN 'INFORMATIVE' END AS verdict FROM sta LEFT JOIN a USING (symbol)""",
         "overfitting": f"""{g}, {SPLITS}, rk AS (SELECT *, row_number() OVER (PARTITION BY symbol, split ORDER BY inside DESC, cell) AS i, row_number() OVER (PARTITION BY symbol, split ORDER BY outside, cell) AS o,
   count(*) OVER (PARTITION BY symbol, split) AS g FROM sc), w AS (SELECT *, ln((o / (g + 1)) / (1 - o / (g + 1))) AS l FROM rk WHERE i = 1 AND g >= 2),
 a AS (SELECT symbol, count(*) AS splits, max(g) AS configurations, avg((l <= 0)::INT) AS pbo, avg((outside < inside)::INT) AS deg, quantile_cont(l, 0.5) AS ml FROM w GROUP BY symbol)

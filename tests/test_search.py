@@ -192,6 +192,14 @@ def test_best_of_grid_searches_the_whole_grid_on_every_hour(spark):
     assert all(r.paths_scored == 199 for r in got.values())
 
 
+def test_split_validation_judges_the_best_cell_of_the_whole_grid(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {r.symbol: r for r in search.overfitting_best(spark, sf).collect()}
+    assert {s: r.best for s, r in got.items()} == {r.symbol: r.cell for r in search.surface_best(spark, sf).collect()}
+    share = [sum(p.horizon == search.PLANS[r.best].horizon for p in search.PLANS) for r in got.values()]
+    assert all(r.cells == n and (r.verdict is not None) == (r.status == "ok") and (r.status == "ok" or n < 2 or r.verdict is None) for r, n in zip(got.values(), share))
+
+
 def test_path_scores_are_those_of_the_written_paths(spark):
     rng = np.random.default_rng(3)
     rows = [(s, i, float(x)) for s, n in (("A", 90), ("B", 61), ("C", 1)) for i, x in enumerate(np.exp(np.cumsum(rng.normal(scale=0.05, size=n))))]
