@@ -390,6 +390,15 @@ def merged_settlements(spark, sf):
     return d.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS").alias("ts"))
 
 
+def merged_settlements_all(spark, sf):
+    """The merge of merged_settlements over every symbol, with rate and interval."""
+    f = table(spark, sf, "funding").withColumn("symbol", canon_symbol("symbol")).where(F.col("symbol").isNotNull() & F.col("ts").isNotNull())
+    f = f.withColumn("ms", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000))
+    cut = F.lit("2019-09-01").cast("timestamp_ntz")
+    d = readers.settlements([f.where(F.col("ts") < cut), f.where(F.col("ts") >= cut)], ms="ms", rate="funding_rate", hours="interval_hours", source="symbol")
+    return d.select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS").alias("ts"), "funding_rate", F.col("interval_hours").cast("double").alias("interval_hours"))
+
+
 def complete_days(spark, sf):
     d = table(spark, sf, "positioning").withColumn("symbol", canon_symbol("symbol")).where(F.col("symbol").isNotNull())
     return readers.complete_days(d, per_day=130).select("reading_id", "symbol")
@@ -429,7 +438,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ledger_first, ledger_union, ledger_new, ledger_attributions, ledger_families, ledger_runs, ledger_best, ledger_revisions, newest_per_cell, pending_pairs, measured_symbols,
         symbol_sets, uses_closed_form, skip_reasons, grid_expand, surface_best, plateau, common_starts, modal_horizon, split_scores, overfitting, overfitting_best, overfitting_signals, dca_trials, signal_trials, synthetic_paths, best_of_grid,
         cost_stress, walk_forward, regime_consistency, clock_drift, disqualifiers, target_candidates, best_within_limit, vote_tally, duty_cycle, merged_timeline, findings,
-        survivorship, hashed_sample, listed_symbols, merged_settlements, complete_days, missing_days, resumed_ingest, lifecycle, development_rows,
+        survivorship, hashed_sample, listed_symbols, merged_settlements, merged_settlements_all, complete_days, missing_days, resumed_ingest, lifecycle, development_rows,
     ]
     return {f.__name__: f for f in names}
 
@@ -559,6 +568,10 @@ SELECT substr(sha256(concat_ws('|', file, what)), 1, 12) AS finding_id, file, wh
 SELECT z >= (SELECT max(z) FROM e) - INTERVAL 7 DAY AS alive, count(tm) AS n, round(quantile_cont(tm, 0.5), 8) AS median FROM t JOIN e USING (symbol) GROUP BY 1""",
         "listed_symbols": "SELECT DISTINCT symbol FROM raw_1m WHERE symbol IS NOT NULL",
         "merged_settlements": "SELECT DISTINCT strftime(date_trunc('millisecond', ts), '%Y-%m-%d %H:%M:%S.%g') AS ts FROM funding WHERE upper(trim(symbol)) = 'VORXUSDT' AND ts IS NOT NULL",
+        "merged_settlements_all": """WITH f AS (SELECT upper(trim(symbol)) AS symbol, date_trunc('millisecond', ts) AS t, funding_rate, interval_hours, ts >= TIMESTAMP '2019-09-01' AS part FROM funding
+  WHERE symbol IS NOT NULL AND ts IS NOT NULL),
+k AS (SELECT *, row_number() OVER (PARTITION BY symbol, t ORDER BY part, funding_rate NULLS FIRST, interval_hours NULLS FIRST) AS k FROM f)
+SELECT symbol, strftime(t, '%Y-%m-%d %H:%M:%S.%g') AS ts, funding_rate, CAST(interval_hours AS DOUBLE) AS interval_hours FROM k WHERE k = 1""",
         "complete_days": f"""WITH {pos}, o AS (SELECT * FROM pos WHERE open_interest IS NOT NULL), g AS (SELECT s, CAST(ts AS DATE) AS d FROM o GROUP BY 1, 2 HAVING count(*) >= 97.5)
 SELECT reading_id, o.s AS symbol FROM o JOIN g ON o.s = g.s AND CAST(o.ts AS DATE) = g.d""",
         "missing_days": f"""WITH {pos}, q AS (SELECT s, CAST(ts AS DATE) AS d FROM pos WHERE ts IS NOT NULL), w AS (SELECT s, CAST(unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS DATE) AS d FROM q GROUP BY s)

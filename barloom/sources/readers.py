@@ -76,14 +76,17 @@ def zipped_csv(spark: SparkSession, glob: str, columns: Sequence[str], schema: s
     return raw.select(*[F.expr(f"try_cast(`{n}` AS {kinds[n]})").alias(n) for n in names], "path")
 
 
-def settlements(parts: Sequence[DataFrame], *, ms: str = "calc_time", rate: str = "last_funding_rate", hours: str = "funding_interval_hours") -> DataFrame:
-    """Monthly parts to one table of (ts, funding_rate, interval_hours): the first of each stamp is kept."""
-    d = None
+def settlements(parts: Sequence[DataFrame], *, ms: str = "calc_time", rate: str = "last_funding_rate", hours: str = "funding_interval_hours", source: str | None = None) -> DataFrame:
+    """Monthly parts to one table of (source, ts, funding_rate, interval_hours): the first of each source and stamp is kept.
+
+    Without `source` the parts are those of one source. Ties inside a part go to the smaller rate, then interval.
+    """
+    d, keys = None, [source] if source else []
     for k, p in enumerate(parts):
-        p = p.select(F.col(ms).cast("bigint").alias("__ms"), F.col(rate).cast("double").alias("funding_rate"), F.col(hours).cast("bigint").alias("interval_hours"), F.lit(k).alias("__part"))
+        p = p.select(*keys, F.col(ms).cast("bigint").alias("__ms"), F.col(rate).cast("double").alias("funding_rate"), F.col(hours).cast("bigint").alias("interval_hours"), F.lit(k).alias("__part"))
         d = p if d is None else d.unionByName(p)
-    return pick(d.where(F.col("__ms").isNotNull()), ["__ms"], ["__part", "funding_rate"]).select(
-        F.timestamp_millis("__ms").cast("timestamp_ntz").alias("ts"), "funding_rate", "interval_hours"
+    return pick(d.where(F.col("__ms").isNotNull()), [*keys, "__ms"], ["__part", "funding_rate", "interval_hours"]).select(
+        *keys, F.timestamp_millis("__ms").cast("timestamp_ntz").alias("ts"), "funding_rate", "interval_hours"
     )
 
 

@@ -37,6 +37,12 @@ def test_zipped_files_with_and_without_header(spark, tmp_path):
     assert [r.ts for r in s] == [T0, T0 + dt.timedelta(hours=8), T0 + dt.timedelta(hours=16)]
 
 
+def test_settlements_of_different_symbols_stay_apart(spark):
+    d = spark.createDataFrame([("A", 1704067200000, 0.1, 8), ("A", 1704067200000, 0.2, 8), ("B", 1704067200000, 0.3, 4)], "symbol string, ms bigint, rate double, hours bigint")
+    s = readers.settlements([d], ms="ms", rate="rate", hours="hours", source="symbol").collect()
+    assert sorted((r.symbol, r.ts, r.funding_rate, r.interval_hours) for r in s) == [("A", T0, 0.1, 8), ("B", T0, 0.3, 4)]
+
+
 def test_json_sources(spark, tmp_path):
     (tmp_path / "log.jsonl").write_text('{"at": "2", "n": 1}\nbroken\n[1]\n{"at": "9", "n": 2}\n{"at": "5"}\n')
     rows = readers.json_lines(spark, f"{tmp_path}/log.jsonl", "at string, n int", "at", 2).collect()
