@@ -22,6 +22,8 @@ QA_COLUMNS = (
     "gap_count", "largest_gap_minutes", "nonpositive_price_rows", "ohlc_violation_rows", "usable",
 )
 PROFILED = ("raw_1m", "panel_1h", "positioning", "funding", "symbol_qa")
+#: The ledger and the texts; p3_profile's SQL names the tables of numbers only, so they have a query of their own.
+PROFILED_TEXTS = ("trials", "documents")
 
 
 def p1_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,9 +41,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact metrics of every column of the large tables, from value counts."""
+    """Exact metrics of every column of the large tables of numbers, from value counts; p3_profile_texts has the others."""
+    return _profiles(spark, sf_dir, PROFILED)
+
+
+def p3_profile_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics of p3_profile for every column of the ledger and of the documents, of whole values."""
+    return _profiles(spark, sf_dir, PROFILED_TEXTS)
+
+
+def _profiles(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> DataFrame:
     out = None
-    for name in PROFILED:
+    for name in names:
         part = profile(value_counts(table(spark, sf_dir, name))).select(F.lit(name).alias("table_name"), "*")
         out = part if out is None else out.unionByName(part)
     return out.select(
@@ -90,7 +101,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_kinds": p1_kinds, "p3_found": p3_found, "p3_profile": p3_profile, "p4_found": p4_found, "p4_trailing": p4_trailing, "p5_found": p5_found, "p5_grid": p5_grid}
+    return {"p1_found": p1_found, "p1_kinds": p1_kinds, "p3_found": p3_found, "p3_profile": p3_profile, "p3_profile_texts": p3_profile_texts, "p4_found": p4_found, "p4_trailing": p4_trailing, "p5_found": p5_found, "p5_grid": p5_grid}
 
 
 P4_FOUND_SQL = """
@@ -150,14 +161,20 @@ _TYPES = {
 }
 
 
-def _profile_sql() -> str:
+_TEXT_TYPES = {
+    "trials": (["trial_id", "n_starts"], ["created_utc", "run_id", "family", "hypothesis_id", "symbol", "evaluator", "config_hash", "config_json", "code_hash", "panel_hash", "holdout_state", "metrics_json"]),
+    "documents": (["doc_id", "n_chars"], ["text", "lang", "source", "hypothesis_id", "family", "symbol", "created_utc"]),
+}
+
+
+def _profile_sql(types: dict = _TYPES) -> str:
     parts = []
-    for name, (nums, txts) in _TYPES.items():
+    for name, (nums, txts) in types.items():
         for c in nums:
             parts.append(f"SELECT '{name}' AS t, '{c}' AS c, CAST({c} AS DOUBLE) AS num, CAST(NULL AS VARCHAR) AS txt, count(*) AS n FROM {name} GROUP BY 3")
         for c in txts:
             # Fractions of a second are written without closing zeros, as Spark does.
-            txt = f"regexp_replace(regexp_replace(CAST({c} AS VARCHAR), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '')" if c == "ingested_at" or c == "load_utc" or (c == "ts" and name != "raw_1m") else f"CAST({c} AS VARCHAR)"
+            txt = f"regexp_replace(regexp_replace(CAST({c} AS VARCHAR), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '')" if c == "ingested_at" or c == "load_utc" or (c == "ts" and name != "raw_1m") or (c == "created_utc" and name == "documents") else f"CAST({c} AS VARCHAR)"
             parts.append(f"SELECT '{name}', '{c}', NULL, {txt}, count(*) FROM {name} GROUP BY 4")
     return (
         "WITH v AS (" + " UNION ALL ".join(parts) + """),
@@ -179,4 +196,4 @@ FROM b LEFT JOIN f ON f.t = b.t AND f.c = b.c AND f.k = 1"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_profile": _profile_sql(), "p4_found": P4_FOUND_SQL, "p4_trailing": P4_TRAILING_SQL, "p5_found": P5_FOUND_SQL}
+    return {"p3_profile": _profile_sql(), "p3_profile_texts": _profile_sql(_TEXT_TYPES), "p4_found": P4_FOUND_SQL, "p4_trailing": P4_TRAILING_SQL, "p5_found": P5_FOUND_SQL}

@@ -4,7 +4,9 @@ import random
 
 import pytest
 
+from barloom.functions.columns import table
 from barloom.operators import profile as P
+from barloom.plans import prep
 
 SCHEMA = "load_id bigint, symbol string, n bigint, x double, flag boolean, stamp string, column_name string, num string"
 
@@ -130,3 +132,11 @@ def test_few_loads_and_empty_tables(spark):
     assert changed(spark, rows(1, loads=2)) == set()
     assert changed(spark, []) == set()
     assert changed(spark, [(None, "a", 1, 1.0, True, "x", "", "")] * 5) == set()
+
+
+def test_every_column_of_the_large_tables_is_profiled(spark):
+    names = (*prep.PROFILED, *prep.PROFILED_TEXTS)
+    assert set(names) == {"raw_1m", "panel_1h", "positioning", "funding", "symbol_qa", "trials", "documents"}
+    sf = "/root/testdata/sf0.001"
+    got = {(r[0], r[1]) for r in prep.p3_profile(spark, sf).union(prep.p3_profile_texts(spark, sf)).select("table_name", "column_name").collect()}
+    assert got == {(n, c) for n in names for c in table(spark, sf, n).columns}
