@@ -233,7 +233,7 @@ def signal_trials(spark, sf):
 
 
 def synthetic_paths(spark, sf):
-    return inference.synthetic_paths(spark, panel(spark, sf), paths=20)
+    return inference.synthetic_paths(spark, panel(spark, sf))
 
 
 def best_of_grid(spark, sf):

@@ -192,6 +192,11 @@ def test_best_of_grid_searches_the_whole_grid_on_every_hour(spark):
     assert all(r.paths_scored == 199 for r in got.values())
 
 
+def test_synthetic_paths_are_as_many_as_the_search_needs(spark):
+    d = search.synthetic_paths(spark, "/root/testdata/sf0.001").groupBy("symbol").agg(F.count_distinct("path_id").alias("n")).collect()
+    assert d and {r.n for r in d} == {199}
+
+
 def test_split_validation_judges_the_best_cell_of_the_whole_grid(spark):
     sf = "/root/testdata/sf0.001"
     got = {r.symbol: r for r in search.overfitting_best(spark, sf).collect()}
