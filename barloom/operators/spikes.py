@@ -1,37 +1,44 @@
 """Implausible readings: impossible values, stuck values and spikes, each source by its own behaviour.
 
-Impossible values are a predicate of the row. Stuck values and spikes need the bars around a row:
-a source's history is cut into blocks of days with a margin on both sides, so a source of any length
-is spread over many tasks, and repeated deliveries are merged before the shuffle, so copies do not
-pile up in one. In a block the deviations of all bars from their local level, in units of the local
-restlessness, form daily profile matrices (one row per day and channel, one column per minute of the
-day). Robust principal components split them into a low-rank part, the source's normal behaviour, and a
-sparse part; bars with an entry in the sparse part are the candidates, and a candidate is a spike if
-it stands outside what the bars before and after it show, by many times their restlessness. A move
-that later bars keep lies inside the two, and wide stretches raise the restlessness.
+Impossible values are a predicate of the row. Stuck values and spikes need the bars around a row, so the
+first delivery of every minute stands for it, and a source's minutes are cut into blocks of so many bars with
+a margin of bars on both sides: a source of any length is spread over many tasks, and an outage on
+an edge takes no bar's neighbours away. In a block, how far each bar reaches (the logarithm of its distance from
+the bars around it and of its own range) and the logarithm of its volume form daily profile matrices, one row
+per day and channel and one column per minute of the day, over weeks of the source. Robust principal components
+split them into a low-rank part, the source's normal behaviour with its restless and its quiet
+times, and a sparse part. A reading is a spike if its entry in the sparse part is large, that is, if it reaches many
+times further than the low-rank part lets expect there; a second look then keeps only those that
+also stand outside what the bars before and after show, so that a move that later bars keep is none. Every
+delivery, repeats and corrections included, is judged by its own values against its minute.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PRICES = ("open", "high", "low", "close")
-_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd HH:mm", "yyyy-MM-dd HH:mm", "yyyy/MM/dd HH:mm:ss")
 DAY = 1440
+_STAMP = r"^[0-9]{4}(-[0-9]{2}-|/[0-9]{2}/)[0-9]{2}[ T][0-9]{2}:[0-9]{2}(:[0-9]{2})?$"
 
 
 def readable_minute(ts: str) -> Column:
     """Minutes since 1970 of a text stamp in any of its spellings, null if it is unreadable.
 
-    Zone-free spellings, a closing Z, outer blanks, and 13-digit milliseconds or 10-digit seconds are read.
+    Zone-free spellings with dashes or slashes, a closing Z, outer blanks, and 13-digit milliseconds or 10-digit seconds are read.
     """
     t = F.regexp_replace(F.trim(F.col(ts)), "Z$", "")
-    at = F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in _FORMATS])
-    return F.when(t.rlike("^[0-9]{13}$"), F.floor(t.try_cast("bigint") / 60000)).when(t.rlike("^[0-9]{10}$"), F.floor(t.try_cast("bigint") / 60)).otherwise(
-        F.timestamp_diff("MINUTE", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), at.cast("timestamp_ntz"))
+    # A cast of one spelling reads no text twice and raises nothing inside.
+    at = F.translate(t, "/T", "- ").try_cast("timestamp_ntz")
+    return (
+        F.when(t.rlike("^[0-9]{13}$"), F.floor(t.try_cast("bigint") / 60000))
+        .when(t.rlike("^[0-9]{10}$"), F.floor(t.try_cast("bigint") / 60))
+        .when(t.rlike(_STAMP), F.timestamp_diff("MINUTE", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), at))
     ).cast("bigint")
 
 
@@ -115,19 +122,67 @@ def _run_lengths(same: np.ndarray) -> np.ndarray:
     return np.repeat(size, size)
 
 
-def _judge(pdf: pd.DataFrame, block: int, block_days: int, p: dict) -> pd.DataFrame:
-    """Stuck and spiking deliveries of one source and block, margin bars excluded from the result."""
-    empty = pd.DataFrame({"minute": np.zeros(0, np.int64), "h": np.zeros(0, np.int64), "kind": np.zeros(0, object)})
-    pdf = pdf.sort_values(["minute", "first_at", "first_id"], kind="stable", na_position="last")
+PARAMETERS = {
+    "stuck_run": 6,  # bars
+    "around": 9,  # bars before and after that give the level
+    "around_volume": 15,
+    "near": 4,  # bars before and after that can make a stretch wide
+    "scale_half": 30,  # bars on both sides that give the restlessness
+    "profile_days": 28,  # days with bars in a profile matrix
+    "range_share": 0.3,  # of a bar's own range in its reach
+    "recurring": 1.0,  # a minute of day whose median over two weeks or more lies beyond this is usual by so much
+    "sparse_price": 2.2,  # entry of the sparse part, natural logarithm: nine times the usual reach
+    "sparse_volume": 4.0,
+    "price_times": 5.0,  # second look: times the restlessness outside the level
+    "volume_log": 3.0,  # second look: natural logarithm outside the level
+}
+
+
+def usual(day: np.ndarray, minute: np.ndarray, channels: list[np.ndarray], p: dict) -> list[np.ndarray]:
+    """What the low-rank part of the daily profile matrices says of each channel at each bar.
+
+    NaN entries take the middle of their day and channel. A matrix holds at most profile_days days with bars.
+    """
+    out = [np.full(len(day), np.nan) for _ in channels]
+    days, drow = np.unique(day, return_inverse=True)
+    with np.errstate(invalid="ignore"), warnings.catch_warnings():
+        warnings.simplefilter("ignore", RuntimeWarning)  # rows and columns without an entry
+        for first in range(0, len(days), p["profile_days"]):
+            at = np.flatnonzero((drow >= first) & (drow < first + p["profile_days"]))
+            rows, r = np.unique(drow[at], return_inverse=True)
+            minutes, m = np.unique(minute[at], return_inverse=True)
+            parts, base = [], []
+            for x in channels:
+                mat = np.full((len(rows), len(minutes)), np.nan)
+                mat[r, m] = x[at]
+                mid = np.nan_to_num(np.nanmedian(mat))
+                mat -= mid
+                # Too few days for the components to see one minute of every day: what recurs is taken off before.
+                often = np.nan_to_num(np.nanmedian(mat, axis=0)) if len(rows) >= 14 else np.zeros(len(minutes))
+                often = np.sign(often) * np.maximum(np.abs(often) - p["recurring"], 0.0)
+                mat -= often
+                own = np.nan_to_num(np.nanmedian(mat, axis=1))[:, None]
+                parts.append(np.where(np.isnan(mat), own, mat))
+                base.append(mid + often)
+            low, _ = rpca(np.concatenate(parts))
+            for k, b in enumerate(base):
+                out[k][at] = (low[k * len(rows) : (k + 1) * len(rows)] + b)[r, m]
+    return out
+
+
+CONTEXT = (
+    "minute bigint, lo double, hi double, scale double, usual_reach double, flat_reach double, vlo double, vhi double, usual_volume double, "
+    "stuck_p boolean, stuck_v boolean, q_open double, q_high double, q_low double, q_close double, q_volume double"
+)
+
+
+def _context(pdf: pd.DataFrame, block: int, p: dict) -> pd.DataFrame:
+    """What the minutes of one source and block show, for those where some delivery may be stuck or a spike."""
+    pdf = pdf.sort_values("minute", kind="stable")
     t = pdf["minute"].to_numpy(np.int64)
-    prices = {c: pdf[c].to_numpy(float) for c in PRICES}
-    vol = pdf["volume"].to_numpy(float)
-    lead = np.ones(len(t), bool)
-    lead[1:] = t[1:] != t[:-1]  # the first delivery of each minute stands for it
-    bar = np.cumsum(lead) - 1  # minute of each delivery
-    q = {c: v[lead] for c, v in prices.items()}
-    bv, bt = vol[lead], t[lead]
-    n = len(bt)
+    q = {c: pdf[c].to_numpy(float) for c in PRICES}
+    bv = pdf["volume"].to_numpy(float)
+    n = len(t)
 
     def repeats(*cols: np.ndarray) -> np.ndarray:
         s = np.ones(n, bool)
@@ -138,12 +193,6 @@ def _judge(pdf: pd.DataFrame, block: int, block_days: int, p: dict) -> pd.DataFr
 
     stuck_p = _run_lengths(repeats(*q.values())) >= p["stuck_run"]
     stuck_v = (_run_lengths(repeats(bv)) >= p["stuck_run"]) & (bv > 0)
-    own = (t >= block * block_days * DAY) & (t < (block + 1) * block_days * DAY)
-    same_prices = np.ones(len(t), bool)
-    for c in PRICES:
-        same_prices &= prices[c] == q[c][bar]
-    stuck = (stuck_p[bar] & same_prices) | (stuck_v[bar] & (vol == bv[bar]))
-
     # What the bars around a bar show. Impossible bars show nothing, stuck bars no restlessness.
     with np.errstate(invalid="ignore", divide="ignore"):
         lg = {c: np.log(np.where(v > 0, v, np.nan)) for c, v in q.items()}
@@ -157,54 +206,40 @@ def _judge(pdf: pd.DataFrame, block: int, block_days: int, p: dict) -> pd.DataFr
         vb, va = _neighbour_medians(lv, p["around_volume"])
         lo, hi = np.minimum(before, after), np.maximum(before, after)
         vlo, vhi = np.minimum(vb, va), np.maximum(vb, va)
-
-        # Daily profile matrices of the deliveries that stand for their minutes.
-        mid = 0.5 * (before + after)
-        chan = [np.nan_to_num((lg[c] - mid) / scale, nan=0.0, posinf=0.0, neginf=0.0) for c in PRICES]
-        chan.append(np.nan_to_num(lv - 0.5 * (vb + va), nan=0.0) * p["volume_weight"])
-        days, drow = np.unique(bt // DAY, return_inverse=True)
-        minutes, mcol = np.unique(bt % DAY, return_inverse=True)
-        m = np.zeros((len(chan) * len(days), len(minutes)))
-        for k, x in enumerate(chan):
-            m[k * len(days) + drow, mcol] = np.clip(x, -p["clip"], p["clip"])
-        _, sparse = rpca(m, lam=p["sparse_weight"] / np.sqrt(max(m.shape)))
-        hit = np.zeros(n)
-        for k in range(len(chan)):
-            hit = np.maximum(hit, np.abs(sparse[k * len(days) + drow, mcol]))
-        # A spike may last a few bars, of which the low-rank part can take up some.
-        hit = pd.Series(hit).rolling(2 * p["event_half"] + 1, center=True, min_periods=1).max().to_numpy()
-        # Deliveries that differ from their minute's first are judged by themselves.
-        other = ~lead & ~(same_prices & (vol == bv[bar]))
-        cand = np.where(other, True, (hit > p["sparse_min"])[bar])
-
-        far = np.zeros(len(t), bool)
-        b = bar
+        out = np.zeros(n)
         for c in PRICES:
-            x = np.log(np.where(prices[c] > 0, prices[c], np.nan))
-            far |= np.maximum(lo[b] - x, x - hi[b]) > p["price_times"] * scale[b]
-        x = np.where(vol > 0, np.log(np.where(vol > 0, vol, 1.0)), np.nan)
-        far |= np.maximum(vlo[b] - x, x - vhi[b]) > p["volume_log"]
-    spike = cand & far
-    keep = own & (stuck | spike)
-    if not keep.any():
-        return empty
-    return pd.DataFrame({"minute": t[keep], "h": pdf["h"].to_numpy(np.int64)[keep], "kind": np.where(stuck, "stuck", "spike")[keep]})
-
-
-PARAMETERS = {
-    "stuck_run": 6,  # bars
-    "around": 9,  # bars before and after that give the level
-    "around_volume": 15,
-    "near": 4,  # bars before and after that can make a stretch wide
-    "scale_half": 30,  # bars on both sides that give the restlessness
-    "price_times": 6.5,  # times the restlessness outside the level
-    "volume_log": 4.0,  # natural logarithm outside the level
-    "volume_weight": 2.0,
-    "clip": 100.0,
-    "sparse_weight": 0.7,  # of the usual weight of the sparse part
-    "sparse_min": 3.0,
-    "event_half": 3,  # bars on both sides of a sparse entry that belong to the event
-}
+            out = np.fmax(out, np.fmax(lo - lg[c], lg[c] - hi))
+        seen = width[np.isfinite(width)]
+        flat = p["range_share"] * (float(np.median(seen)) if len(seen) else 1e-9)
+        own = p["range_share"] * (lg["high"] - lg["low"])
+        reach = np.log(np.where(np.isfinite(own) & (own > 0), out + own, np.maximum(out, flat)))
+        usual_reach, usual_volume = usual(t // DAY, t % DAY, [np.where(broken, np.nan, reach), np.where(stuck_v, np.nan, lv)], p)
+        # The rest is decided for every delivery alike; a little slack keeps the two computations from disagreeing.
+        may = (reach - usual_reach > p["sparse_price"] - 0.01) | (np.abs(lv - usual_volume) > p["sparse_volume"] - 0.01) | stuck_p | stuck_v
+    keep = (pdf["own_block"].to_numpy(np.int64) == block) & (may | pdf["differ"].to_numpy(bool))
+    cols = {
+        "minute": t, "lo": lo, "hi": hi, "scale": scale, "usual_reach": usual_reach, "flat_reach": np.full(n, flat), "vlo": vlo, "vhi": vhi, "usual_volume": usual_volume,
+        "stuck_p": stuck_p, "stuck_v": stuck_v, "q_open": q["open"], "q_high": q["high"], "q_low": q["low"], "q_close": q["close"], "q_volume": bv,
+    }
+    return pd.DataFrame({k: v[keep] for k, v in cols.items()})
+
+
+def _verdict(p: dict) -> Column:
+    """`stuck`, `spike` or null, of a delivery beside the context of its minute. NaN stands for null on both sides."""
+    ok = lambda c: c.isNotNull() & ~F.isnan(c)
+    same = lambda c: F.col(c).eqNullSafe(F.col(f"q_{c}"))
+    prices = same("open") & same("high") & same("low") & same("close")
+    stuck = (F.col("stuck_p") & prices) | (F.col("stuck_v") & same("volume"))
+    lg = {c: F.when(F.col(c) > 0, F.log(c)) for c in (*PRICES, "volume")}
+    lo, hi = F.col("lo"), F.col("hi")
+    out = F.greatest(F.lit(0.0), *[lo - lg[c] for c in PRICES], *[lg[c] - hi for c in PRICES])  # skips nulls
+    own = F.lit(p["range_share"]) * (lg["high"] - lg["low"])
+    reach = F.log(F.when(own > 0, out + own).otherwise(F.greatest(out, F.col("flat_reach"))))
+    price = ok(lo) & ok(F.col("scale")) & (reach - F.col("usual_reach") > p["sparse_price"]) & (out > F.lit(p["price_times"]) * F.col("scale"))
+    beyond = F.greatest(F.col("vlo") - lg["volume"], lg["volume"] - F.col("vhi"))
+    volume = ok(F.col("vlo")) & (F.abs(lg["volume"] - F.col("usual_volume")) > p["sparse_volume"]) & (beyond > p["volume_log"])
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return F.when(yes(stuck), F.lit("stuck")).when(yes(price) | yes(volume), F.lit("spike"))
 
 
 def implausible_bars(
@@ -214,19 +249,21 @@ def implausible_bars(
     source: str = "symbol",
     ts: str = "ts",
     arrived: str = "ingested_at",
-    block_days: int = 7,
-    margin_minutes: int = 360,
+    block_bars: int = 28 * DAY,
+    margin_bars: int = 64,
     parameters: dict | None = None,
 ) -> DataFrame:
     """(row_id, kind): every delivered row that is `impossible`, `stuck` or a `spike`; one kind per row, in this order.
 
     Rows with an unreadable stamp or a null source can only be impossible. Rows with a null price or
     volume can be neither stuck nor a spike in that value. Of several deliveries of a minute the first
-    to arrive stands for it (ties: smallest id); repeats share the verdict of their values. An empty
-    table gives no rows. Sources with fewer than three bars on either side of a bar show no level for
-    it, so it is no spike. Columns other than the bar's own are ignored.
+    to arrive stands for it (ties: smallest id); every delivery is judged by its own values. An empty
+    table gives no rows. A bar with fewer than three bars on either side has no level, so it is no
+    spike. Columns other than the bar's own are ignored.
     """
     p = PARAMETERS | (parameters or {})
+    if margin_bars < max(p["around"], p["around_volume"], p["scale_half"], p["stuck_run"]):
+        raise ValueError("the margin is narrower than what a bar is compared with")
     value = [*PRICES, "volume"]
     rows = bars.select(
         F.col(row_id).alias("__id"),
@@ -238,25 +275,32 @@ def implausible_bars(
     )
     # A hash skips nulls, so which values are null is hashed too.
     gone = sum((F.when(F.col(c).isNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(value)), F.lit(0))
-    rows = rows.withColumn("h", F.xxhash64(*value, gone))
-    sources = rows.where(F.col("minute").isNotNull() & F.col("__src").isNotNull())
-    span = block_days * DAY
-    touched = F.sequence(F.floor((F.col("minute") - margin_minutes) / span).cast("bigint"), F.floor((F.col("minute") + margin_minutes) / span).cast("bigint"))
-    distinct = sources.groupBy("__src", "minute", "h").agg(
-        *[F.first(c).alias(c) for c in value], F.min("__at").alias("first_at"), F.min("__id").alias("first_id")
-    )
-    blocks = distinct.withColumn("__block", F.explode(touched)).groupBy("__src", "__block")
+    known = rows.where(F.col("minute").isNotNull() & F.col("__src").isNotNull()).withColumn("h", F.xxhash64(*value, gone))
+    # Deliveries of a minute merge before the shuffle, so copies do not pile up.
+    lead = known.groupBy("__src", "minute").agg(F.min_by(F.struct(*value), F.struct("__at", "__id")).alias("v"), (F.min("h") != F.max("h")).alias("differ"))
+    lead = lead.select("__src", "minute", "v.*", "differ", F.floor(F.col("minute") / 60).cast("bigint").alias("__hour"))
+    # Minutes of an hour as bits: bars are numbered from counts per hour, one small row each.
+    hours = lead.groupBy("__src", "__hour").agg(F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("minute", F.lit(60)).cast("int")))).alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy("__src").orderBy("__hour"))
+    block = lambda c: F.floor(c / F.lit(block_bars)).cast("bigint")
+    hours = hours.withColumn("__to", upto).select(
+        "__src", "__hour", block(F.col("__to") - F.col("__n")).alias("own_block"),
+        # The last hour of a block reaches up to 60 bars over its edge.
+        F.sequence(F.greatest(block(F.col("__to") - F.col("__n") - margin_bars - 60), F.lit(0).cast("bigint")), block(F.col("__to") + margin_bars)).alias("__blocks"),
+    )
+    blocks = lead.join(hours, ["__src", "__hour"]).withColumn("__block", F.explode("__blocks")).select("__src", "__block", "own_block", "minute", *value, "differ").groupBy("__src", "__block")
     kind = bars.schema[source].dataType.simpleString()
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = _judge(pdf, int(key[1]), block_days, p)
+        out = _context(pdf, int(key[1]), p)
         out.insert(0, "__src", key[0])
         return out
 
-    found = blocks.applyInPandas(run, schema=f"__src {kind}, minute bigint, h bigint, kind string")
+    context = blocks.applyInPandas(run, schema=f"__src {kind}, {CONTEXT}")
     return (
-        rows.select("__id", "__src", "minute", "h", "__no")
-        .join(found, ["__src", "minute", "h"], "left")
-        .where(F.col("__no") | F.col("kind").isNotNull())
-        .select(F.col("__id").alias(row_id), F.when(F.col("__no"), F.lit("impossible")).otherwise(F.col("kind")).alias("kind"))
+        rows.select("__id", "__src", "minute", *value, "__no")
+        .join(context, ["__src", "minute"], "left")
+        .withColumn("kind", F.when(F.col("__no"), F.lit("impossible")).otherwise(_verdict(p)))
+        .where(F.col("kind").isNotNull())
+        .select(F.col("__id").alias(row_id), "kind")
     )

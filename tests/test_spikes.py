@@ -1,6 +1,7 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
 from barloom.operators import spikes as S
 
@@ -64,14 +65,13 @@ def test_stuck_prices_and_volumes(spark):
 
 
 def test_stuck_across_a_block_edge_and_with_repeats(spark):
-    edge = 7 * 1440
-    first = (edge - (int((T0 - dt.datetime(1970, 1, 1)).total_seconds() // 60) % edge)) % edge
+    first = 1440
     rows = walk(first + 200)
     for i in range(first - 3, first + 4):
         for c in S.PRICES:
             rows[i][c] = rows[first - 3][c]
     again = dict(rows[first - 1], row_id=900_000, ingested_at=T0 + dt.timedelta(days=30))
-    got = found(spark, rows + [again])
+    got = found(spark, rows + [again], block_bars=1440)
     assert {k for k, v in got.items() if v == "stuck"} == set(range(first - 3, first + 4)) | {900_000}
 
 
@@ -131,7 +131,7 @@ def test_blocks_of_other_lengths_agree(spark):
     for i in (100, 1440, 2879, 2880, 4000):
         rows[i]["high"] *= 1.1
     want = {100, 1440, 2879, 2880, 4000}
-    assert set(found(spark, rows)) == set(found(spark, rows, block_days=1)) == set(found(spark, rows, block_days=30)) == want
+    assert set(found(spark, rows)) == set(found(spark, rows, block_bars=1440)) == set(found(spark, rows, block_bars=777)) == want
 
 
 def test_principal_components_separate_sparse_from_low_rank():
@@ -144,3 +144,86 @@ def test_principal_components_separate_sparse_from_low_rank():
     assert np.linalg.norm(l - low) / np.linalg.norm(low) < 1e-2
     assert set(np.flatnonzero(np.abs(s) > 5)) == set(at)
     assert not S.rpca(np.zeros((3, 4)))[1].any()
+
+
+def outage(rows, at, hours):
+    """The bars from `at` on come so many hours later."""
+    for r in rows[at:]:
+        t = dt.datetime.strptime(r["ts"], "%Y-%m-%d %H:%M:%S") + dt.timedelta(hours=hours)
+        r["ts"] = t.strftime("%Y-%m-%d %H:%M:%S")
+    return rows
+
+
+@pytest.mark.parametrize("block", [1000, 960, 100_000])
+def test_margins_count_bars_so_outages_hide_nothing(spark, block):
+    rows = walk(2000, seed=6)
+    for i in range(957, 963):  # a stuck run of six bars around the outage
+        for c in S.PRICES:
+            rows[i][c] = rows[957][c]
+    rows[1003]["low"] *= 0.95  # a spike three bars after another
+    rows = outage(outage(rows, 960, 13), 1000, 50)
+    assert set(found(spark, rows, block_bars=block)) == {*range(957, 963), 1003}
+
+
+def regimes(days=6, seed=1):
+    """Whole days that are twelve times as restless as the others, as days go by turns."""
+    rng = np.random.default_rng(seed)
+    n = days * 1440
+    sd = np.where(np.arange(n) // 1440 % 2 == 0, 0.0002, 0.0024)
+    rows = walk(n, seed=seed)
+    c = 100 * np.exp(np.cumsum(rng.normal(0, 1, n) * sd))
+    o = np.concatenate([[100.0], c[:-1]])
+    h, l = np.maximum(o, c) * (1 + rng.random(n) * sd), np.minimum(o, c) * (1 - rng.random(n) * sd)
+    for r, *v in zip(rows, o, h, l, c):
+        r.update(zip(("open", "high", "low", "close"), map(float, v)))
+    return rows, sd
+
+
+def test_the_components_decide(spark, monkeypatch):
+    rows, sd = regimes()
+    want = set()
+    for i in range(400, len(rows), 1440):  # twelve times the restlessness of its day
+        rows[i]["low"] *= 1 - 20 * sd[i]
+        want.add(i)
+    assert set(found(spark, rows)) == want
+    pdf = pd.DataFrame([{**{c: r[c] for c in (*S.PRICES, "volume")}, "minute": i, "own_block": 0, "differ": False} for i, r in enumerate(rows)])
+    assert want <= set(S._context(pdf, 0, S.PARAMETERS)["minute"])
+    monkeypatch.setattr(S, "rpca", lambda m, **_: (np.zeros_like(m), m))
+    # Without the low-rank part the quiet days' spikes are lost, and restless days' bars come up in numbers.
+    got = set(S._context(pdf, 0, S.PARAMETERS)["minute"])
+    assert not want <= got
+    monkeypatch.setattr(S, "rpca", lambda m, **_: (m, np.zeros_like(m)))
+    assert len(S._context(pdf, 0, S.PARAMETERS)) == 0
+
+
+def test_what_recurs_every_day_is_normal(spark):
+    rows = walk(20 * 1440, seed=12)
+    for i in range(600, len(rows), 1440):  # every day at ten
+        rows[i]["high"] *= 1.012
+    rows[9 * 1440 + 900]["high"] *= 1.02
+    assert set(found(spark, rows)) == {9 * 1440 + 900}
+
+
+@pytest.mark.parametrize("seed", [101, 202])
+def test_graded_plants(spark, seed):
+    """Spikes of every strength in sources of other restlessness: found from some ten times the usual range on, none below five."""
+    rng = np.random.default_rng(seed)
+    rows, strength = [], {}
+    for s in range(4):
+        part = walk(4000, seed=seed + s, symbol=f"S{s}", price=10.0 ** (s - 1))
+        for i in range(60, 3940, 40):
+            k = float(rng.choice([2.0, 3.0, 14.0, 20.0, 40.0]))
+            width = np.median([np.log(r["high"] / r["low"]) for r in part[i - 30 : i + 30]])
+            if rng.random() < 0.5:
+                part[i]["low"] = min(part[i]["low"], part[i]["close"] * np.exp(-k * width))
+            else:
+                for c in S.PRICES:
+                    part[i][c] *= np.exp(k * width)
+            strength[len(rows) + i] = k
+        rows += part
+    for i, r in enumerate(rows):
+        r["row_id"] = i
+    got = found(spark, rows)
+    far = {i for i, k in strength.items() if k >= 14}
+    assert len(far & set(got)) >= 0.9 * len(far)
+    assert len([i for i in got if i not in far]) <= 0.1 * len(got)
