@@ -279,8 +279,10 @@ def implausible_bars(
     # Deliveries of a minute merge before the shuffle, so copies do not pile up.
     lead = known.groupBy("__src", "minute").agg(F.min_by(F.struct(*value), F.struct("__at", "__id")).alias("v"), (F.min("h") != F.max("h")).alias("differ"))
     lead = lead.select("__src", "minute", "v.*", "differ", F.floor(F.col("minute") / 60).cast("bigint").alias("__hour"))
-    # Minutes of an hour as bits: bars are numbered from counts per hour, one small row each.
-    hours = lead.groupBy("__src", "__hour").agg(F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("minute", F.lit(60)).cast("int")))).alias("__n"))
+    # Minutes of an hour as bits: bars are numbered from counts per hour, one small row each, of two columns of the table.
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("minute", F.lit(60)).cast("int"))
+    placed = bars.select(F.col(source).alias("__src"), readable_minute(ts).alias("minute")).where(F.col("minute").isNotNull() & F.col("__src").isNotNull())
+    hours = placed.groupBy("__src", F.floor(F.col("minute") / 60).cast("bigint").alias("__hour")).agg(F.bit_count(F.bit_or(bit)).alias("__n"))
     upto = F.sum("__n").over(Window.partitionBy("__src").orderBy("__hour"))
     block = lambda c: F.floor(c / F.lit(block_bars)).cast("bigint")
     hours = hours.withColumn("__to", upto).select(
