@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import table
-from barloom.operators.profile import changed_columns, profile, value_counts
+from barloom.operators.profile import CountStore, changed_columns, profile, value_counts
 from barloom.operators.regrid import STATUS_READ, regrid
 from barloom.operators.spikes import implausible_bars
 from barloom.operators.rolling import gate_days, trailing_totals
+from barloom.session import work_folder
 
 PANEL_ORDER = ("ingested_at", "bar_id")
 
@@ -35,13 +36,32 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_kinds(spark, sf_dir).select("row_id")
 
 
+#: What names the load of a row, by table; archive loads of symbol_qa, elsewhere the month in which a row came in.
+LOADS = {"symbol_qa": "load_id", "trials": "created_utc", "documents": "created_utc"}
+
+
+def kept_counts(spark: SparkSession, sf_dir: str, name: str, columns: tuple[str, ...] | None = None) -> CountStore:
+    """The value counts of a table in a store: its loads as signed deltas, the newest withdrawn and added once more."""
+    df = table(spark, sf_dir, name)
+    by = LOADS.get(name, "ingested_at")
+    load = F.col(by) if by == "load_id" else F.coalesce(F.substring(F.col(by).cast("string"), 1, 7), F.lit("none"))
+    store = CountStore(spark, work_folder(spark, f"counts-{name}"))
+    loads = store.add_loads(value_counts(df.withColumn("__load", load), columns or df.columns, by=["__load"]), "__load")
+    if len(loads) > 1:
+        store.add(loads[-1], store.withdraw(loads[-1]))
+    return store
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns of symbol_qa that depart plainly, in a load, from the loads around it."""
-    return changed_columns(table(spark, sf_dir, "symbol_qa"), load="load_id", columns=QA_COLUMNS).select("load_id", "column_name")
+    """Columns of symbol_qa that depart plainly, in a load, from the loads around it; judged from the kept counts."""
+    deltas = kept_counts(spark, sf_dir, "symbol_qa", QA_COLUMNS).by_load()
+    if deltas is None:
+        return spark.createDataFrame([], "load_id bigint, column_name string")
+    return changed_columns(deltas).select(F.col("load").alias("load_id"), "column_name")
 
 
 def p3_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact metrics of every column of the large tables of numbers, from value counts; p3_profile_texts has the others."""
+    """Exact metrics of every column of the large tables of numbers, from kept counts; p3_profile_texts has the others."""
     return _profiles(spark, sf_dir, PROFILED)
 
 
@@ -50,12 +70,28 @@ def p3_profile_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _profiles(spark, sf_dir, PROFILED_TEXTS)
 
 
+def p3_withdrawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile of symbol_qa after its newest load is withdrawn from the kept counts."""
+    store = kept_counts(spark, sf_dir, "symbol_qa")
+    loads = store.loads()
+    if len(loads) > 1:
+        store.withdraw(max(loads))
+    return _rounded(profile(store.counts()).select(F.lit("symbol_qa").alias("table_name"), "*"))
+
+
 def _profiles(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> DataFrame:
     out = None
     for name in names:
-        part = profile(value_counts(table(spark, sf_dir, name))).select(F.lit(name).alias("table_name"), "*")
+        counts = kept_counts(spark, sf_dir, name).counts()
+        if counts is None:
+            continue
+        part = profile(counts).select(F.lit(name).alias("table_name"), "*")
         out = part if out is None else out.unionByName(part)
-    return out.select(
+    return _rounded(out)
+
+
+def _rounded(d: DataFrame) -> DataFrame:
+    return d.select(
         "table_name", "column_name", "rows", F.round("null_share", 9).alias("null_share"), "distinct_values", "min_num", "max_num", "min_txt", "max_txt",
         F.round(F.col("entropy_bits") + 1.37e-7, 5).alias("entropy_bits"), "top_form", F.round("top_form_share", 9).alias("top_form_share"),
     )
@@ -101,7 +137,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_kinds": p1_kinds, "p3_found": p3_found, "p3_profile": p3_profile, "p3_profile_texts": p3_profile_texts, "p4_found": p4_found, "p4_trailing": p4_trailing, "p5_found": p5_found, "p5_grid": p5_grid}
+    return {"p1_found": p1_found, "p1_kinds": p1_kinds, "p3_found": p3_found, "p3_profile": p3_profile, "p3_profile_texts": p3_profile_texts, "p3_withdrawn": p3_withdrawn, "p4_found": p4_found, "p4_trailing": p4_trailing, "p5_found": p5_found, "p5_grid": p5_grid}
 
 
 P4_FOUND_SQL = """
@@ -195,5 +231,10 @@ FROM b LEFT JOIN f ON f.t = b.t AND f.c = b.c AND f.k = 1"""
     )
 
 
+def _withdrawn_sql() -> str:
+    sql = _profile_sql({"symbol_qa": _TYPES["symbol_qa"]}).replace("FROM symbol_qa", "FROM q")
+    return "WITH q AS (SELECT * FROM symbol_qa WHERE load_id < (SELECT max(load_id) FROM symbol_qa)),\n" + sql.removeprefix("WITH ")
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p3_profile": _profile_sql(), "p3_profile_texts": _profile_sql(_TEXT_TYPES), "p4_found": P4_FOUND_SQL, "p4_trailing": P4_TRAILING_SQL, "p5_found": P5_FOUND_SQL}
+    return {"p3_profile": _profile_sql(), "p3_profile_texts": _profile_sql(_TEXT_TYPES), "p3_withdrawn": _withdrawn_sql(), "p4_found": P4_FOUND_SQL, "p4_trailing": P4_TRAILING_SQL, "p5_found": P5_FOUND_SQL}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +22,7 @@ def build_session(app: str = "barloom", cpus: int | str = "*", partitions: int =
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -40,6 +43,21 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), f"barloom-checkpoints-{os.getuid()}")
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared one, for tables a query keeps while it is read; deleted when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/barloom-{name}-{uuid.uuid4().hex}"
+
+    def delete() -> None:
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001, the session has ended before
+            pass
+
+    atexit.register(delete)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared folder and continue from there (survives lost executors)."""
     sc = df.sparkSession.sparkContext

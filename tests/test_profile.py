@@ -61,20 +61,62 @@ def test_profile_metrics(spark):
     assert empty.count() == 0
 
 
-def test_store_keeps_versions_and_refuses_repeats(spark, tmp_path):
+def key(d):
+    return {tuple(r) for r in d.select("column_name", "num", "txt", "n").collect()}
+
+
+def test_store_keeps_signed_deltas_and_refuses_repeats(spark, tmp_path):
     store = P.CountStore(spark, f"file://{tmp_path}/counts")
     assert store.counts() is None and store.loads() == set()
     one, two = (P.value_counts(spark.createDataFrame(rows(s), SCHEMA)) for s in (1, 2))
-    store.apply("one", one)
-    store.apply("two", two)
+    store.add("one", one)
+    files = len(list((tmp_path / "counts").glob("d-*")))
+    store.add("two", two)
+    # A load adds its own files and rewrites no others.
+    assert files == 1 and len(list((tmp_path / "counts").glob("d-*"))) == 2
     assert store.loads() == {"one", "two"}
+    assert key(store.counts()) == key(P.apply_delta(one, two))
     with pytest.raises(ValueError):
-        store.apply("one", one)
-    after = store.apply("two", two, -1)
-    key = lambda d: {tuple(r) for r in d.select("column_name", "num", "txt", "n").collect()}
-    assert key(after) == key(one) and store.loads() == {"one"}
+        store.add("one", one)
+    taken = store.withdraw("two")
+    assert key(taken) == key(two)
+    assert key(store.counts()) == key(one) and store.loads() == {"one"}
     with pytest.raises(ValueError):
-        store.apply("two", two, -1)
+        store.withdraw("two")
+    store.add("two", taken)
+    before = key(store.counts())
+    store.compact()
+    assert key(store.counts()) == before == key(P.apply_delta(one, two)) and store.loads() == {"one", "two"}
+    store.sweep()
+    assert len(list((tmp_path / "counts").glob("d-*"))) == 1 and key(store.counts()) == before
+    store.withdraw("one")
+    assert key(P.CountStore(spark, f"file://{tmp_path}/counts").counts()) == key(two)
+
+
+def test_of_two_writers_none_is_lost(spark, tmp_path, monkeypatch):
+    a, b = (P.CountStore(spark, f"file://{tmp_path}/counts") for _ in range(2))
+    one, two = (P.value_counts(spark.createDataFrame(rows(s), SCHEMA)) for s in (1, 2))
+    real, late = a._commit, []
+
+    def commit(*args):
+        if not late:  # another writer is faster
+            late.append(1)
+            b.add("two", two)
+        return real(*args)
+
+    monkeypatch.setattr(a, "_commit", commit)
+    a.add("one", one)
+    assert a.loads() == {"one", "two"} and key(a.counts()) == key(P.apply_delta(one, two))
+
+
+def test_many_loads_in_one_write(spark, tmp_path):
+    df = spark.createDataFrame(rows(7) + [(None, "x", 1, 1.0, True, "s", "c", "z")], SCHEMA)
+    store = P.CountStore(spark, f"file://{tmp_path}/counts")
+    assert store.add_loads(P.value_counts(df, ["symbol", "n", "x"], by=["load_id"]), "load_id") == list(range(1, 9))
+    store.withdraw(8)
+    want = P.value_counts(df.where("load_id < 8"), ["symbol", "n", "x"])
+    assert key(store.counts()) == key(want)
+    assert store.by_load().select("load").distinct().count() == 7
 
 
 COLS = ("symbol", "n", "x", "flag", "stamp")
@@ -82,7 +124,7 @@ COLS = ("symbol", "n", "x", "flag", "stamp")
 
 def changed(spark, data):
     df = spark.createDataFrame(data, SCHEMA)
-    return {(r.load_id, r.column_name) for r in P.changed_columns(df, load="load_id", columns=COLS).collect()}
+    return {(r.load_id, r.column_name) for r in P.changed_columns(P.value_counts(df, COLS, by=["load_id"]), load="load_id").collect()}
 
 
 def test_slow_growth_scattered_values_and_missing_symbols_are_no_changes(spark):
@@ -128,6 +170,40 @@ def test_texts_that_collapse_to_few_values_come_out(spark):
     assert changed(spark, [bend(r) for r in plain]) == {(4, "symbol"), (8, "symbol")}
 
 
+def test_a_long_run_of_bad_loads_comes_out(spark):
+    data = [(*r[:5], r[5] if not 20 <= r[0] < 32 else r[5].replace("-", "/"), *r[6:]) for r in rows(6, loads=90, size=60)]
+    assert changed(spark, data) == {(i, "stamp") for i in range(20, 32)}
+
+
+def test_ranges_of_loads_are_judged_alike(spark, monkeypatch):
+    data = [(*r[:2], r[2] * (50 if r[0] in (3, 9, 17) else 1), *r[3:]) for r in rows(8, loads=20, size=60)]
+    want = {(3, "n"), (9, "n"), (17, "n")}
+    assert changed(spark, data) == want
+    monkeypatch.setattr(P, "LOADS_PER_TASK", 4)
+    assert changed(spark, data) == want
+
+
+def test_a_new_form_hides_in_no_old_one(spark, monkeypatch):
+    monkeypatch.setattr(P, "FORM_BUCKETS", 1)  # every form collides with every other
+    data = [(*r[:2], *r[2:5], r[5] if r[0] != 5 else "1704103200000", *r[6:]) for r in rows(9, loads=12)]
+    assert changed(spark, data) == {(5, "stamp")}
+
+
+@pytest.mark.parametrize("seed", [31, 32])
+def test_graded_changes(spark, seed):
+    """Nulls in a growing share of a load's rows: from a quarter on they come out, a twentieth is no change."""
+    shares = {4: 0.05, 8: 0.25, 12: 0.4, 16: 0.8}
+    rng = random.Random(seed)
+    data = [(*r[:3], None if rng.random() < shares.get(r[0], 0.0) else 1.5 + r[2] % 3, *r[4:]) for r in rows(seed, loads=20, size=200)]
+    assert changed(spark, data) == {(8, "x"), (12, "x"), (16, "x")}
+
+
+def test_stamps_in_any_spelling(spark):
+    texts = ["2024-03-01 10:00:00", "2024-03-01T10:00:00Z", "2024/03/01 10:00", "01.03.2024 10:00", "2024-03-01", "1709287200000", "1709287200", "2024", "12", "x", "", None, "2024-13-01"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(P.stamp_days(P.F.col("t"))).collect()]
+    assert [None if g is None else round(g) for g in got] == [19783] * 7 + [None] * 6
+
+
 def test_few_loads_and_empty_tables(spark):
     assert changed(spark, rows(1, loads=2)) == set()
     assert changed(spark, []) == set()
