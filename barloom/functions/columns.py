@@ -18,6 +18,16 @@ def epoch_us(col: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(`{col}` AS TIMESTAMP_NTZ))")
 
 
+def stamp_of(t: Column, date_only: bool = False) -> Column:
+    """The zone-free timestamp that a text spells with dashes or slashes and a blank or T, else null.
+
+    One pattern and one cast instead of several formats, which throw inside: this runs once per value of a table.
+    """
+    day, time = "^[0-9]{4}(-[0-9]{2}-|/[0-9]{2}/)[0-9]{2}", "[ T][0-9]{2}:[0-9]{2}(:[0-9]{2})?"
+    form = f"{day}({time})?$" if date_only else f"{day}{time}$"
+    return F.when(t.rlike(form), F.replace(t, F.lit("/"), F.lit("-")).try_cast("timestamp_ntz"))
+
+
 def present(col: str | Column) -> Column:
     """Neither null nor NaN."""
     c = F.col(col) if isinstance(col, str) else col

@@ -18,6 +18,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.columns import stamp_of
+from barloom.session import cut
+
 NUMERIC = {"tinyint", "smallint", "int", "bigint", "float", "double"}
 KEYS = ("column_name", "num", "txt")
 
@@ -170,9 +173,12 @@ class CountStore:
         """The deltas of the loads that are in; withdrawn ones cancel out."""
         entries = self._entries()
         d = self.deltas()
-        if d is None or all(e["kind"] == "add" for e in entries):
+        gone = sorted({n for e in entries if e["kind"] == "withdraw" for n in e["loads"]})
+        if d is None or not gone:
             return d
-        return d.groupBy("load", *KEYS).agg(F.sum("n").alias("n")).where(F.col("n") != 0)
+        # Only what was ever withdrawn has more than one sign.
+        net = d.where(F.col("load").isin(gone)).groupBy("load", *KEYS).agg(F.sum("n").alias("n")).where(F.col("n") != 0)
+        return d.where(~F.col("load").isin(gone)).unionByName(net)
 
     def counts(self) -> DataFrame | None:
         """(column_name, num, txt, n) over all loads that are in."""
@@ -263,15 +269,14 @@ FORM_BUCKETS = 4096
 LOADS_PER_TASK = 64
 
 
-def stamp_days(txt: Column) -> Column:
-    """Days since 1970 of a text that spells a stamp, else null; 13 digits are milliseconds, 10 seconds."""
-    t = F.rtrim(F.regexp_replace(txt, "Z$", ""))
-    iso = F.when(t.rlike(r"^[0-9]{4}(-[0-9]{2}-|/[0-9]{2}/)[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2})?)?$"), F.translate(t, "/T", "- "))
-    dotted = F.when(t.rlike(r"^[0-9]{2}\.[0-9]{2}\.[0-9]{4} [0-9]{2}:[0-9]{2}$"), F.regexp_replace(t, r"^(..)\.(..)\.(....)", "$3-$2-$1"))
-    # Casts of one spelling raise nothing inside, unlike trying one format after the other.
-    seconds = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.coalesce(iso, dotted).try_cast("timestamp_ntz"))
-    digits = F.when(t.rlike("^[0-9]{13}$"), t.try_cast("double") / 1000.0).when(t.rlike("^[0-9]{10}$"), t.try_cast("double"))
-    return F.coalesce(digits, seconds.cast("double")) / 86400.0
+def stamp_days(t: Column) -> Column:
+    """Days since 1970 of a text that spells a stamp, without closing Z and blanks, else null; 13 digits are milliseconds, 10 seconds."""
+    part = lambda i, n: F.substring(t, i, n)
+    dotted = F.when((F.length(t) == 16) & (part(3, 1) == ".") & (part(6, 1) == "."), stamp_of(F.concat(part(7, 4), F.lit("-"), part(4, 2), F.lit("-"), part(1, 2), part(11, 6))))
+    seconds = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.coalesce(stamp_of(t, date_only=True), dotted)).cast("double")
+    number = F.when(F.length(t).isin(10, 13), t.try_cast("bigint")).cast("double")
+    digits = F.when(number > 0, F.when(F.length(t) == 13, number / 1000.0).otherwise(number))
+    return F.when(F.substring(t, 1, 1).between("0", "9"), F.coalesce(digits, seconds)) / 86400.0
 
 
 def load_features(counts: DataFrame, load: str) -> DataFrame:
@@ -289,7 +294,7 @@ def load_features(counts: DataFrame, load: str) -> DataFrame:
     part = lambda feature, bin_, bucket=None: F.struct(F.lit(feature).alias("feature"), (bin_ if bucket is None else bucket).cast("bigint").alias("bucket"), bin_.cast("bigint").alias("bin"))
     text = F.col("num").isNull() & F.col("txt").isNotNull()
     form = F.xxhash64(value_form(F.col("txt")))
-    day = F.round(stamp_days(F.col("txt")))
+    day = F.round(stamp_days(F.col("__t")))
     parts = F.array(
         part("null", null.cast("int")),
         F.when(F.col("num").isNotNull(), part("size", size)),
@@ -297,7 +302,8 @@ def load_features(counts: DataFrame, load: str) -> DataFrame:
         F.when(text & F.col("txt").isin("true", "false"), part("size", (F.col("txt") == "true").cast("int"))),
         F.when(text, part("stamp", day)),
     )
-    binned = counts.select(load, "column_name", "n", F.explode(F.array_compact(parts)).alias("p")).select(load, "column_name", "p.*", "n")
+    ready = counts.withColumn("__t", F.rtrim(F.col("txt"), F.lit(" Z")))
+    binned = ready.select(load, "column_name", "n", F.explode(F.array_compact(parts)).alias("p")).select(load, "column_name", "p.*", "n")
     bins = binned.where(F.col("bin").isNotNull()).groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
     tops = bins.groupBy(*keys).agg(F.sum("n").alias("n"), F.max("n").alias("m"), F.max_by("bin", F.struct("n", "bin")).alias("top"))
     rest = F.when(F.col("n") > F.col("m"), F.struct(F.col("bucket").alias("bin"), (F.col("n") - F.col("m")).alias("n")))
@@ -408,7 +414,7 @@ def changed_columns(deltas: DataFrame, *, load: str = "load", around: int = 5, f
     d = deltas.where(F.col(load).isNotNull())
     kind = d.schema[load].dataType.simpleString()
     # One row per load, column and bin is left: its number does not grow with the rows.
-    feats = load_features(d, load).unionByName(load_spread(d, load))
+    feats = cut(load_features(d, load).unionByName(load_spread(d, load)))
     # The loads themselves, one small row each, are numbered in one task.
     order = feats.select(load).distinct().select(load, (F.row_number().over(Window.orderBy(load)) - 1).cast("bigint").alias("__i"), F.count(F.lit(1)).over(Window.partitionBy()).alias("__all"))
     placed = feats.join(order, load)

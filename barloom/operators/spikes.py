@@ -22,24 +22,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.columns import stamp_of
+
 PRICES = ("open", "high", "low", "close")
 DAY = 1440
-_STAMP = r"^[0-9]{4}(-[0-9]{2}-|/[0-9]{2}/)[0-9]{2}[ T][0-9]{2}:[0-9]{2}(:[0-9]{2})?$"
 
 
-def readable_minute(ts: str) -> Column:
-    """Minutes since 1970 of a text stamp in any of its spellings, null if it is unreadable.
+def with_minute(df: DataFrame, ts: str, name: str = "minute") -> DataFrame:
+    """df and the minutes since 1970 of a text stamp in any of its spellings, null if it is unreadable.
 
     Zone-free spellings with dashes or slashes, a closing Z, outer blanks, and 13-digit milliseconds or 10-digit seconds are read.
     """
-    t = F.regexp_replace(F.trim(F.col(ts)), "Z$", "")
-    # A cast of one spelling reads no text twice and raises nothing inside.
-    at = F.translate(t, "/T", "- ").try_cast("timestamp_ntz")
-    return (
-        F.when(t.rlike("^[0-9]{13}$"), F.floor(t.try_cast("bigint") / 60000))
-        .when(t.rlike("^[0-9]{10}$"), F.floor(t.try_cast("bigint") / 60))
-        .when(t.rlike(_STAMP), F.timestamp_diff("MINUTE", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), at))
-    ).cast("bigint")
+    # In steps, so that what is used often is computed once.
+    d = df.withColumn("__t", F.rtrim(F.ltrim(F.col(ts)), F.lit(" Z")))
+    d = d.withColumn("__n", F.when(F.length("__t").isin(10, 13), F.col("__t").try_cast("bigint"))).withColumn("__s", stamp_of(F.col("__t")))
+    minutes = F.timestamp_diff("MINUTE", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("__s"))
+    number = F.when(F.col("__n") > 0, F.floor(F.col("__n") / F.when(F.length("__t") == 13, F.lit(60000)).otherwise(F.lit(60))))
+    return d.withColumn(name, F.coalesce(number, minutes).cast("bigint")).drop("__t", "__n", "__s")
 
 
 def impossible(volume: str = "volume", taker: str = "taker_buy_base") -> Column:
@@ -268,11 +267,12 @@ def implausible_bars(
     rows = bars.select(
         F.col(row_id).alias("__id"),
         F.col(source).alias("__src"),
-        readable_minute(ts).alias("minute"),
+        F.col(ts).alias("__ts"),
         *[(F.nanvl(F.col(c), F.lit(None).cast("double")) + F.lit(0.0)).alias(c) for c in value],
         F.col(arrived).alias("__at"),
         impossible().alias("__no"),
     )
+    rows = with_minute(rows, "__ts").drop("__ts")
     # A hash skips nulls, so which values are null is hashed too.
     gone = sum((F.when(F.col(c).isNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(value)), F.lit(0))
     known = rows.where(F.col("minute").isNotNull() & F.col("__src").isNotNull()).withColumn("h", F.xxhash64(*value, gone))
@@ -281,7 +281,7 @@ def implausible_bars(
     lead = lead.select("__src", "minute", "v.*", "differ", F.floor(F.col("minute") / 60).cast("bigint").alias("__hour"))
     # Minutes of an hour as bits: bars are numbered from counts per hour, one small row each, of two columns of the table.
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("minute", F.lit(60)).cast("int"))
-    placed = bars.select(F.col(source).alias("__src"), readable_minute(ts).alias("minute")).where(F.col("minute").isNotNull() & F.col("__src").isNotNull())
+    placed = with_minute(bars.select(F.col(source).alias("__src"), F.col(ts).alias("__ts")), "__ts").where(F.col("minute").isNotNull() & F.col("__src").isNotNull())
     hours = placed.groupBy("__src", F.floor(F.col("minute") / 60).cast("bigint").alias("__hour")).agg(F.bit_count(F.bit_or(bit)).alias("__n"))
     upto = F.sum("__n").over(Window.partitionBy("__src").orderBy("__hour"))
     block = lambda c: F.floor(c / F.lit(block_bars)).cast("bigint")
