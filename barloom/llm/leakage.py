@@ -1,11 +1,17 @@
-"""Evaluation passages leaking into documents: spaced-seed hashing and tolerant verification.
-
-Passages are few (a stated query set) and documents are many, so the passages travel and the
-documents stay: blocks of at most `block_items` passages are shipped to the workers, where an
-index of spaced-seed hashes is built once per process, and every document is hashed in place.
-No document text is shuffled. A spaced seed looks at some of the words in a short span and
-ignores the others, so a changed word only breaks the seeds that look at it. Documents with
-enough agreeing seeds are aligned with the passage around the hits, word by word.
+"""Evaluation passages leaking into documents: spaced-seed hashing, a join on the hashes, tolerant verification.
+
+A spaced seed looks at some of the words in a short span and ignores the others, so a changed word only breaks the
+seeds that look at it. The seeds of both sides are rows, and equal hashes are joined. Three things keep the join small,
+and none of them loses a pair that has enough agreeing seeds:
+
+* A passage needs agreeing seeds at `need` of its n places, so it must have some at `t` of any n - need + t places. Only
+  the places whose hashes fewest passages share are joined: stock sentences drop out.
+* The hashes that are joined are put into a bit array of fixed size, by which the documents' seeds are sifted where
+  they are read. What passes by chance finds no partner in the join.
+* A hash that many documents have is spread over `salts` parts.
+
+The pairs that come out are aligned, word by word, around their seeds. Any number of passages can be asked; nothing of
+the documents, and of the passages nothing but the bit array, reaches the driver.
 """
 
 from __future__ import annotations
@@ -17,11 +23,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Looked-at (1) and ignored (0) positions; each looks at six words.
-MASKS = ("111111", "11011011", "1110010111", "101110011")
+from barloom.session import cut
+
+#: Looked-at (1) and ignored (0) positions. The shorter finds passages of which six words are left, the longer what it meets by chance least.
+MASKS = ("11011", "1101011")
+BITS = 24  # the bit array has two to the power of this many bits, 2 MB
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"[^\W_]+")
 _TAG = re.compile(r"<[^<>]{0,200}>")
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
@@ -65,82 +76,66 @@ def lcs_pairs(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-class Index:
-    """Seeds of a block of passages: hash -> (passage, position)."""
-
-    def __init__(self, items: list[tuple[int, str]], masks: tuple[str, ...] = MASKS):
-        self.masks = [np.flatnonzero(np.frombuffer(m.encode(), np.uint8) == 49) for m in masks]
-        rng = np.random.default_rng(20240229)
-        self.mult = [rng.integers(1, 2**63, len(m), dtype=np.uint64) | np.uint64(1) for m in self.masks]
-        self.vocab: dict[str, int] = {}
-        self.ids, self.tokens = [], []
-        hashes, owners, places = [], [], []
-        for k, (item, passage) in enumerate(items):
-            t = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words(passage)], dtype=np.uint64)
-            self.ids.append(item)
-            self.tokens.append(t)
-        spread = rng.integers(1, 2**63, len(self.vocab) + 1, dtype=np.uint64)
-        spread[0] = 0
-        self.spread = spread
-        for k, t in enumerate(self.tokens):
-            for j in range(len(self.masks)):
-                h, ok = self.seeds(t, j)
-                hashes.append(h)
-                owners.append(np.full(len(h), k, np.int64))
-                places.append(np.arange(len(h)))
-        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.hash = h[order]
-        self.owner = np.concatenate(owners)[order] if hashes else np.zeros(0, np.int64)
-        self.place = np.concatenate(places)[order] if hashes else np.zeros(0, np.int64)
-        self.lengths = np.array([len(t) for t in self.tokens], dtype=float)
-        self.longest = int(self.lengths.max(initial=0)) + 1
-
-    def seeds(self, t: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray]:
-        m = self.masks[j]
-        n = len(t) - int(m[-1])
-        if n <= 0:
-            return np.zeros(0, np.uint64), np.zeros(0, bool)
-        h, ok = np.full(n, np.uint64(j + 1)), np.ones(n, bool)
-        x = self.spread[t.astype(np.int64)]
-        for off, mul in zip(m, self.mult[j]):
-            h = (h ^ x[off : off + n]) * mul
-            ok &= t[off : off + n] > 0
-        return h, ok
-
-    def encode(self, text: str) -> np.ndarray:
-        get = self.vocab.get
-        return np.array([get(w, 0) for w in words(text)], dtype=np.uint64)
-
-    def hits(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(passage, position in it, position in the text) of every agreeing seed."""
-        own, ip, dp = [], [], []
-        for j in range(len(self.masks)):
-            h, ok = self.seeds(t, j)
-            at = np.flatnonzero(ok)
-            if not len(at):
-                continue
-            h = h[at]
-            lo, hi = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
-            n = hi - lo
-            some = n > 0
-            if some.any():
-                lo, n, at = lo[some], n[some], at[some]
-                flat = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                own.append(self.owner[flat])
-                ip.append(self.place[flat])
-                dp.append(np.repeat(at, n))
-        if not own:
-            z = np.zeros(0, np.int64)
-            return z, z, z
-        return np.concatenate(own), np.concatenate(ip), np.concatenate(dp)
+class _Memo(dict):
+    """Hashes of words, the same in every process; forgotten before they fill the memory."""
+
+    def __missing__(self, w: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        h = self[w] = xxhash.xxh3_64_intdigest(w)
+        return h
+
+
+_MEMO = _Memo()
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    w = words(text)
+    return np.fromiter(map(_MEMO.__getitem__, w), np.uint64, len(w))
+
+
+def seeds(t: np.ndarray, j: int) -> np.ndarray:
+    """The hash of mask j at every place of a text of word hashes."""
+    at = np.flatnonzero(np.frombuffer(MASKS[j].encode(), np.uint8) == 49)
+    n = len(t) - int(at[-1])
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    h = np.full(n, np.uint64(j + 1))
+    for off in at:
+        h = (h ^ t[off : off + n]) * _SPREAD
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def hits(passage: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the passage, place in the text) of every agreeing seed."""
+    ips, dps = [], []
+    for j in range(len(MASKS)):
+        hp, ht = seeds(passage, j), seeds(text, j)
+        order = np.argsort(hp, kind="stable")
+        lo, hi = np.searchsorted(hp[order], ht, "left"), np.searchsorted(hp[order], ht, "right")
+        n = hi - lo
+        at = np.flatnonzero(n)
+        if len(at):
+            lo, n = lo[at], n[at]
+            flat = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            ips.append(order[flat])
+            dps.append(np.repeat(at, n))
+    if not ips:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(ips), np.concatenate(dps)
+
+
+def need(words: int, share: float) -> int:
+    """Places of a passage at which seeds must agree."""
+    return max(min(2, words - len(MASKS[0]) + 1), int(np.ceil(share * words)))
 
 
 def cover(passage: np.ndarray, text: np.ndarray, ip: np.ndarray, dp: np.ndarray, reach: int, run: int) -> tuple[int, int]:
     """(words of the passage repeated in order, where in the text), around the best-supported place.
 
     The place is a window of the passage's length and `reach` more words, so that two parts may stand
-    apart; words count if they align within a run of at least `run` aligned words that lets single
+    apart. Words count from the first to the last of a run of at least `run` aligned words that lets single
     words be changed, so chance matches and brief quotations of a few words do not count.
     """
     starts = np.sort(dp - ip)  # where the passage would begin
@@ -149,18 +144,31 @@ def cover(passage: np.ndarray, text: np.ndarray, ip: np.ndarray, dp: np.ndarray,
     lo = max(0, int(starts[k]) - 2)
     b = text[lo : lo + len(passage) + reach + 4]
     pairs = lcs_pairs(passage.tolist(), b.tolist())
-    if not pairs:
-        return 0, lo
-    good, cur = 0, 1
-    for p, q in zip(pairs, pairs[1:]):
-        if q[0] - p[0] <= 2 and q[1] - p[1] <= 2:
-            cur += 1
-        else:
-            good, cur = good + (cur if cur >= run else 0), 1
-    return good + (cur if cur >= run else 0), lo
+    good, first, done = 0, 0, -1
+    for i in range(1, len(pairs) + 1):
+        if i == len(pairs) or pairs[i][0] - pairs[i - 1][0] > 2 or pairs[i][1] - pairs[i - 1][1] > 2:
+            if i - first >= run:
+                (x, y), (u, v) = pairs[first], pairs[i - 1]
+                # A word at the end of a copied stretch can have been aligned with a chance one further off.
+                while x > done + 1 and y > 0 and passage[x - 1] == b[y - 1]:
+                    x, y = x - 1, y - 1
+                while u + 1 < len(passage) and v + 1 < len(b) and passage[u + 1] == b[v + 1]:
+                    u, v = u + 1, v + 1
+                good += max(0, u - max(x, done + 1) + 1)
+                done = max(done, u)
+            first = i
+    return good, lo
 
 
-_CACHE: dict[int, Index] = {}
+def _passage_seeds(batches: Iterator[pd.DataFrame], seed_share: float) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        out = []
+        for item, passage in zip(pdf["__item"], pdf["__passage"]):
+            t = word_hashes(passage)
+            for j in range(len(MASKS)):
+                h = seeds(t, j)
+                out.append(pd.DataFrame({"item": item, "ip": np.arange(len(h)), "h": h.view(np.int64), "places": max(0, len(t) - len(MASKS[0]) + 1), "need": need(len(t), seed_share)}))
+        yield pd.concat(out) if out else pd.DataFrame({"item": [], "ip": [], "h": [], "places": [], "need": []})
 
 
 def _portions(docs: pd.Series, texts: pd.Series, chars: int = 2_000_000) -> Iterator[tuple[list, list[str]]]:
@@ -177,38 +185,53 @@ def _portions(docs: pd.Series, texts: pd.Series, chars: int = 2_000_000) -> Iter
         yield d, t
 
 
-def _scan(batches: Iterator[pd.DataFrame], items: list[tuple[int, str]], share: float, reach: int, run: int, seed_share: float) -> Iterator[pd.DataFrame]:
-    key = hash(tuple(items))
-    if key not in _CACHE:
-        _CACHE.clear()
-        _CACHE[key] = Index(items)
-    ix = _CACHE[key]
+def _sift(batches: Iterator[pd.DataFrame], array) -> Iterator[pd.DataFrame]:
+    """(doc, h): the seeds of the documents that the bit array lets pass, once per document."""
+    bits = array.value
     gap = max(len(m) for m in MASKS)
     for pdf in batches:
-        out = []
         for docs, texts in _portions(pdf["__doc"], pdf["__text"]):
-            parts = [ix.encode(x) for x in texts]
-            begins = np.cumsum([0] + [len(p) + gap for p in parts])
-            flow = np.zeros(int(begins[-1]), np.uint64)
-            for p, at in zip(parts, begins):
-                flow[at : at + len(p)] = p
-            own, ip, dp = ix.hits(flow)
-            doc = np.searchsorted(begins, dp, "right") - 1
-            dp = dp - begins[doc]
-            pair = doc * len(ix.ids) + own
-            order = np.lexsort((ip, pair))
-            pair, ip, dp = pair[order], ip[order], dp[order]
-            # Distinct places of each passage that some seed confirms, per document.
-            fresh = np.ones(len(pair), bool)
-            fresh[1:] = (np.diff(pair) != 0) | (np.diff(ip) != 0)
-            cand, first, n_hits = np.unique(pair, return_index=True, return_counts=True)
-            seen = np.add.reduceat(fresh, first) if len(cand) else np.zeros(0)
-            keep = seen >= np.maximum(2, seed_share * ix.lengths[cand % len(ix.ids)]) if len(cand) else np.zeros(0, bool)
-            for c, f, n in zip(cand[keep], first[keep], n_hits[keep]):
-                d, k = divmod(int(c), len(ix.ids))
-                got, at = cover(ix.tokens[k], parts[d], ip[f : f + n], dp[f : f + n], reach, run)
-                if got >= share * len(ix.tokens[k]):
-                    out.append((ix.ids[k], docs[d], got, len(ix.tokens[k]), at))
+            parts = [word_hashes(x) for x in texts]
+            sizes = np.array([len(p) + gap for p in parts])
+            # Words of two documents are kept apart by a gap, and seeds that look into it are left out.
+            flow, doc = np.zeros(int(sizes.sum()), np.uint64), np.repeat(np.arange(len(parts)), sizes)
+            inside = np.zeros(len(flow), bool)
+            for p, end in zip(parts, np.cumsum(sizes)):
+                flow[end - gap - len(p) : end - gap] = p
+                inside[end - gap - len(p) : end - gap] = True
+            found, owner = [], []
+            for j, mask in enumerate(MASKS):
+                h = seeds(flow, j)
+                at = np.flatnonzero(bits[h >> np.uint64(64 - BITS)] & inside[: len(h)] & inside[len(mask) - 1 : len(mask) - 1 + len(h)])
+                found.append(h[at])
+                owner.append(doc[at])
+            h, d = np.concatenate(found), np.concatenate(owner)
+            order = np.lexsort((h, d))
+            h, d = h[order], d[order]
+            fresh = np.ones(len(h), bool)
+            fresh[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+            ids = pd.Series(docs)
+            yield pd.DataFrame({"doc": ids.take(d[fresh]).to_numpy(), "h": h[fresh].view(np.int64)})
+
+
+def _verify(batches: Iterator[pd.DataFrame], share: float, reach: int, run: int, seed_share: float) -> Iterator[pd.DataFrame]:
+    last, tokens = None, np.zeros(0, np.uint64)
+    passages: dict[str, np.ndarray] = {}
+    for pdf in batches:
+        out = []
+        for item, passage, doc, text in zip(pdf["__item"], pdf["__passage"], pdf["__doc"], pdf["__text"]):
+            if text != last:
+                last, tokens = text, word_hashes(text)
+            if passage not in passages:
+                if len(passages) > 5000:
+                    passages.clear()
+                passages[passage] = word_hashes(passage)
+            p = passages[passage]
+            ip, dp = hits(p, tokens)
+            if len(ip) and len(np.unique(ip)) >= need(len(p), seed_share):
+                got, at = cover(p, tokens, ip, dp, reach, run)
+                if got >= share * len(p):
+                    out.append((item, doc, got, len(p), at))
         yield pd.DataFrame(out, columns=["item", "doc", "words_matched", "words_total", "at_word"])
 
 
@@ -220,32 +243,48 @@ def leaks(
     text: str,
     item_id: str,
     passage: str,
-    share: float = 0.42,
+    share: float = 0.5,
     reach: int = 300,
     run: int = 5,
     seed_share: float = 0.12,
-    block_items: int = 2000,
+    least_hits: int = 4,
+    salts: int = 8,
 ) -> DataFrame:
     """(item_id, doc_id, words_matched, words_total, at_word): each document with each passage it repeats.
 
     A passage counts as repeated if at least `share` of its words occur in its order within a window
-    of the passage's length and `reach` words, counting only runs of at least `run` words in which
-    single words may differ; the default share lies a little under one half, because a changed word
-    inside a copied stretch does not align. Null or empty texts and passages match nothing; passages of fewer than six words have
+    of the passage's length and `reach` words, counting runs of at least `run` equal words in which
+    single words may be changed, and if seeds agree at `seed_share` of its words or more, at two at least.
+    Null or empty texts and passages, and rows with a null id, match nothing; passages of fewer than five words have
     no seeds and match nothing. Repeated documents each give their row; a document id that occurs twice
-    gives a row per occurrence. Passages are read to the driver in blocks of at most `block_items`.
+    gives a row per occurrence. `least_hits` is the t of the module's first rule; it changes the cost only.
     """
-    ids = items.where(F.col(passage).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).alias("i"), F.col(passage).alias("p"))
-    blocks: list[list[tuple[int, str]]] = [[]]
-    for r in ids.toLocalIterator():
-        if len(blocks[-1]) >= block_items:
-            blocks.append([])
-        blocks[-1].append((r.i, r.p))
     ik, dk = items.schema[item_id].dataType.simpleString(), documents.schema[doc_id].dataType.simpleString()
-    schema = f"item {ik}, doc {dk}, words_matched bigint, words_total bigint, at_word bigint"
-    docs = documents.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("__doc"), F.col(text).alias("__text"))
-    found = None
-    for block in blocks:
-        part = docs.mapInPandas(lambda it, b=block: _scan(it, b, share, reach, run, seed_share), schema=schema)
-        found = part if found is None else found.unionByName(part)
+    asked = items.where(F.col(passage).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).alias("__item"), F.col(passage).alias("__passage"))
+    docs = documents.where(F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__doc"), F.col(text).alias("__text"))
+
+    every = asked.mapInPandas(lambda it: _passage_seeds(it, seed_share), schema=f"item {ik}, ip bigint, h bigint, places bigint, need bigint")
+    common = every.groupBy("h").agg(F.count_distinct("item").alias("__m"))
+    # A place is as common as its commonest hash.
+    places = every.join(common, "h").groupBy("item", "ip", "places", "need").agg(F.max("__m").alias("__m"), F.collect_set("h").alias("__hs"))
+    t = F.least(F.lit(least_hits).cast("bigint"), F.col("need"))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy("__m", "ip"))
+    rare = places.withColumn("__k", rank).where(F.col("__k") <= F.col("places") - F.col("need") + t)
+    rare = cut(rare.select("item", "ip", t.alias("t"), F.explode("__hs").alias("h")))
+
+    # One bit a hash, 64 to a row: at most 2 ^ (BITS - 6) rows, however many passages there are.
+    bit = F.shiftrightunsigned("h", 64 - BITS)
+    word = rare.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.bitwiseAND(F.lit(63)).cast("int"))).alias("b"))
+    packed = np.zeros(1 << (BITS - 6), np.int64)
+    for r in word.toLocalIterator():
+        packed[r.w] = r.b
+    bits = np.unpackbits(packed.view(np.uint8), bitorder="little").astype(bool)
+    array = documents.sparkSession.sparkContext.broadcast(bits)
+
+    sifted = docs.mapInPandas(lambda it: _sift(it, array), schema=f"doc {dk}, h bigint").withColumn("__salt", F.pmod(F.xxhash64("doc"), F.lit(salts)).cast("int"))
+    spread = rare.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    met = sifted.join(spread, ["h", "__salt"]).groupBy("item", "doc").agg(F.size(F.collect_set("ip")).alias("__n"), F.max("t").alias("t"))
+    pairs = met.where(F.col("__n") >= F.col("t")).select(F.col("item").alias("__item"), F.col("doc").alias("__doc"))
+    full = docs.join(pairs, "__doc").join(asked, "__item")
+    found = full.mapInPandas(lambda it: _verify(it, share, reach, run, seed_share), schema=f"item {ik}, doc {dk}, words_matched bigint, words_total bigint, at_word bigint")
     return found.select(F.col("item").alias(item_id), F.col("doc").alias(doc_id), "words_matched", "words_total", "at_word")
