@@ -107,23 +107,40 @@ def seeds(t: np.ndarray, j: int) -> np.ndarray:
     return h
 
 
-def hits(passage: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place in the passage, place in the text) of every agreeing seed."""
-    ips, dps = [], []
-    for j in range(len(MASKS)):
-        hp, ht = seeds(passage, j), seeds(text, j)
-        order = np.argsort(hp, kind="stable")
-        lo, hi = np.searchsorted(hp[order], ht, "left"), np.searchsorted(hp[order], ht, "right")
-        n = hi - lo
-        at = np.flatnonzero(n)
-        if len(at):
-            lo, n = lo[at], n[at]
-            flat = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-            ips.append(order[flat])
-            dps.append(np.repeat(at, n))
-    if not ips:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(ips), np.concatenate(dps)
+def all_seeds(t: np.ndarray) -> list[np.ndarray]:
+    return [seeds(t, j) for j in range(len(MASKS))]
+
+
+class Passage:
+    """A passage's words and its seeds in order, made once for all documents that are compared with it."""
+
+    def __init__(self, text: str):
+        self.words = word_hashes(text)
+        self.list = self.words.tolist()
+        self.order = [np.argsort(h, kind="stable") for h in all_seeds(self.words)]
+        self.sorted = [h[o] for h, o in zip(all_seeds(self.words), self.order)]
+
+    def hits(self, found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the passage, place in the text) of every agreeing seed of a text with these seeds."""
+        ips, dps = [], []
+        for h, order, ht in zip(self.sorted, self.order, found):
+            if not len(h) or not len(ht):
+                continue
+            lo = np.searchsorted(h, ht, "left")
+            at = np.flatnonzero(h[np.minimum(lo, len(h) - 1)] == ht)
+            if len(at):
+                lo = lo[at]
+                n = np.searchsorted(h, ht[at], "right") - lo
+                if len(n) == n.sum():
+                    ips.append(order[lo])
+                    dps.append(at)
+                else:
+                    flat = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                    ips.append(order[flat])
+                    dps.append(np.repeat(at, n))
+        if not ips:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate(ips), np.concatenate(dps)
 
 
 def need(words: int, share: float) -> int:
@@ -131,7 +148,7 @@ def need(words: int, share: float) -> int:
     return max(min(2, words - len(MASKS[0]) + 1), int(np.ceil(share * words)))
 
 
-def cover(passage: np.ndarray, text: np.ndarray, ip: np.ndarray, dp: np.ndarray, reach: int, run: int) -> tuple[int, int]:
+def cover(passage: list[int], text: np.ndarray, ip: np.ndarray, dp: np.ndarray, reach: int, run: int) -> tuple[int, int]:
     """(words of the passage repeated in order, where in the text), around the best-supported place.
 
     The place is a window of the passage's length and `reach` more words, so that two parts may stand
@@ -142,8 +159,8 @@ def cover(passage: np.ndarray, text: np.ndarray, ip: np.ndarray, dp: np.ndarray,
     upto = np.searchsorted(starts, starts + reach, "right")
     k = int(np.argmax(upto - np.arange(len(starts))))
     lo = max(0, int(starts[k]) - 2)
-    b = text[lo : lo + len(passage) + reach + 4]
-    pairs = lcs_pairs(passage.tolist(), b.tolist())
+    b = text[lo : lo + len(passage) + reach + 4].tolist()
+    pairs = lcs_pairs(passage, b)
     good, first, done = 0, 0, -1
     for i in range(1, len(pairs) + 1):
         if i == len(pairs) or pairs[i][0] - pairs[i - 1][0] > 2 or pairs[i][1] - pairs[i - 1][1] > 2:
@@ -202,7 +219,8 @@ def _sift(batches: Iterator[pd.DataFrame], array) -> Iterator[pd.DataFrame]:
             found, owner = [], []
             for j, mask in enumerate(MASKS):
                 h = seeds(flow, j)
-                at = np.flatnonzero(bits[h >> np.uint64(64 - BITS)] & inside[: len(h)] & inside[len(mask) - 1 : len(mask) - 1 + len(h)])
+                k = h >> np.uint64(64 - BITS)
+                at = np.flatnonzero((bits[k >> np.uint64(3)] >> (k & np.uint64(7)).astype(np.uint8) & 1).astype(bool) & inside[: len(h)] & inside[len(mask) - 1 : len(mask) - 1 + len(h)])
                 found.append(h[at])
                 owner.append(doc[at])
             h, d = np.concatenate(found), np.concatenate(owner)
@@ -215,23 +233,24 @@ def _sift(batches: Iterator[pd.DataFrame], array) -> Iterator[pd.DataFrame]:
 
 
 def _verify(batches: Iterator[pd.DataFrame], share: float, reach: int, run: int, seed_share: float) -> Iterator[pd.DataFrame]:
-    last, tokens = None, np.zeros(0, np.uint64)
-    passages: dict[str, np.ndarray] = {}
+    last, tokens, found = None, np.zeros(0, np.uint64), []
+    passages: dict[str, Passage] = {}
     for pdf in batches:
         out = []
         for item, passage, doc, text in zip(pdf["__item"], pdf["__passage"], pdf["__doc"], pdf["__text"]):
-            if text != last:
+            if text != last:  # the rows of a document follow each other
                 last, tokens = text, word_hashes(text)
-            if passage not in passages:
+                found = all_seeds(tokens)
+            p = passages.get(passage)
+            if p is None:
                 if len(passages) > 5000:
                     passages.clear()
-                passages[passage] = word_hashes(passage)
-            p = passages[passage]
-            ip, dp = hits(p, tokens)
-            if len(ip) and len(np.unique(ip)) >= need(len(p), seed_share):
-                got, at = cover(p, tokens, ip, dp, reach, run)
-                if got >= share * len(p):
-                    out.append((item, doc, got, len(p), at))
+                p = passages[passage] = Passage(passage)
+            ip, dp = p.hits(found)
+            if len(ip) and len(set(ip.tolist())) >= need(len(p.words), seed_share):
+                got, at = cover(p.list, tokens, ip, dp, reach, run)
+                if got >= share * len(p.words):
+                    out.append((item, doc, got, len(p.words), at))
         yield pd.DataFrame(out, columns=["item", "doc", "words_matched", "words_total", "at_word"])
 
 
@@ -248,7 +267,7 @@ def leaks(
     run: int = 5,
     seed_share: float = 0.12,
     least_hits: int = 4,
-    salts: int = 8,
+    salts: int = 4,
 ) -> DataFrame:
     """(item_id, doc_id, words_matched, words_total, at_word): each document with each passage it repeats.
 
@@ -278,8 +297,7 @@ def leaks(
     packed = np.zeros(1 << (BITS - 6), np.int64)
     for r in word.toLocalIterator():
         packed[r.w] = r.b
-    bits = np.unpackbits(packed.view(np.uint8), bitorder="little").astype(bool)
-    array = documents.sparkSession.sparkContext.broadcast(bits)
+    array = documents.sparkSession.sparkContext.broadcast(packed.view(np.uint8))
 
     sifted = docs.mapInPandas(lambda it: _sift(it, array), schema=f"doc {dk}, h bigint").withColumn("__salt", F.pmod(F.xxhash64("doc"), F.lit(salts)).cast("int"))
     spread = rare.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
