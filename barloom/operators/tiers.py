@@ -54,10 +54,8 @@ def is_liquidated_long(wallet: Column, qty: Column, entry: Column, mark: Column,
 def liquidation_level(side: int, wallet: Column, qty: Column, entry: Column, tier: Column, passes: int = 3) -> Column:
     """Price at which equity meets the maintenance margin, by fixed-point passes from the entry; at least 0."""
     def step(price: Column, _) -> Column:
-        n = qty * price
-        r, c = mmr(n, tier), cum(n, tier)
-        level = F.try_divide(qty * entry - wallet - c, qty * (F.lit(1.0) - r)) if side > 0 else F.try_divide(qty * entry + wallet + c, qty * (F.lit(1.0) + r))
-        return F.greatest(level, F.lit(0.0))
+        r, c = mmr(qty * price, tier), cum(qty * price, tier)
+        return F.greatest(F.try_divide(qty * entry - side * (wallet + c), qty * (F.lit(1.0) - side * r)), F.lit(0.0))
 
     # A fold keeps the expression small: each pass names the last level many times.
     return F.aggregate(F.sequence(F.lit(1), F.lit(passes)), entry.cast("double"), step)
@@ -77,12 +75,11 @@ class Tiers:
     def leverage(self, notional: float) -> float:
         return float(self.lev[min(int(np.searchsorted(self.caps, abs(notional), side="left")), len(self.caps) - 1)])
 
-    def level(self, side: int, wallet, qty: float, entry: float, passes: int = 3):
-        price = np.full(np.shape(wallet), entry, dtype=float)
+    def level(self, side: int, wallet, qty: float, entry: float, passes: int = 3) -> np.ndarray:
+        """liquidation_level of arrays: qty * (price - entry) * side + wallet = maintenance at the price."""
+        wallet = np.asarray(wallet, float)
+        size = np.full(wallet.shape, qty * entry)
         for _ in range(passes):
-            r, c = self.at(qty * price)
-            if side > 0:
-                price = np.maximum((qty * entry - wallet - c) / (qty * (1.0 - r)), 0.0)
-            else:
-                price = np.maximum((qty * entry + wallet + c) / (qty * (1.0 + r)), 0.0)
-        return price
+            r, c = self.at(size)
+            size = np.maximum((qty * entry - side * (wallet + c)) / (1.0 - side * r), 0.0)
+        return size / qty

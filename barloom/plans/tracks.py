@@ -88,7 +88,7 @@ def liquidation_map(spark: SparkSession, sf: str) -> DataFrame:
 def money_weighted(spark: SparkSession, sf: str) -> DataFrame:
     """Annual money-weighted rate of every start; solved says that the rate discounts its flows to nothing or is an end of the bracket."""
     gap, years = PLAN.stride / (24 * 365.0), H / (24 * 365.0)
-    d = analytic.evaluate(panel(spark, sf), PLAN).withColumn("rate", analytic.mwrr_column(F.col("terminal_value"), PLAN.amount, F.lit(PLAN.n), gap, F.lit(years)))
+    d = analytic.evaluate(panel(spark, sf), PLAN).withColumn("rate", analytic.mwrr_column(F.col("terminal_value"), F.lit(PLAN.amount), F.lit(PLAN.n), F.lit(gap), F.lit(years)))
     q = F.pow(1 + F.col("rate"), F.lit(-gap))
     deposits = F.lit(0.0)
     for i in range(PLAN.n):
