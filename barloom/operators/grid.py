@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import json
@@ -15,25 +16,40 @@ from pyspark.sql import functions as F
 ABBREVIATED = 48
 
 
+@functools.singledispatch
 def canonical(value):
     """One form per meaning: whole floats are ints, keys are sorted, NaN and infinities have names, tuples are lists."""
-    if hasattr(value, "item") and not isinstance(value, (str, bytes)):
-        value = value.item()
-    if isinstance(value, bool) or value is None or isinstance(value, (int, str)):
-        return value
-    if isinstance(value, float):
-        if math.isnan(value):
-            return "__nan__"
-        if math.isinf(value):
-            return "__inf__" if value > 0 else "__-inf__"
-        return int(value) if value.is_integer() else value
-    if isinstance(value, Mapping):
-        return {str(k): canonical(v) for k, v in sorted(value.items(), key=lambda kv: str(kv[0]))}
-    if isinstance(value, Sequence) and not isinstance(value, (str, bytes)):
-        return [canonical(v) for v in value]
+    if hasattr(value, "item"):  # a number of an array library
+        return canonical(value.item())
     raise TypeError(f"no canonical form of {type(value).__name__}")
 
 
+@canonical.register(type(None))
+@canonical.register(int)
+@canonical.register(str)
+def _(value):
+    return value
+
+
+@canonical.register(float)
+def _(value):
+    # Names that json lacks.
+    named = {math.inf: "__inf__", -math.inf: "__-inf__"}.get(value) or ("__nan__" if value != value else None)
+    return named or (int(value) if value == int(value) else float(value))
+
+
+@canonical.register(Mapping)
+def _(value):
+    return dict(sorted((str(k), canonical(v)) for k, v in value.items()))
+
+
+@canonical.register(Sequence)
+def _(value):
+    if isinstance(value, (bytes, bytearray)):
+        raise TypeError("no canonical form of bytes")
+    return list(map(canonical, value))
+
+
 def canonical_hash(value, digits: int = 16) -> str:
     return hashlib.sha256(json.dumps(canonical(value), sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:digits]
 

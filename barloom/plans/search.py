@@ -220,16 +220,34 @@ DCA_CELLS = [
     {"stride_days": 0.01, "n_contributions": 5},
     {"gate": "moon:1"},
 ]
-SIGNAL_CELLS = [{"rule": "carry_funding", "lookback_days": 3.0, "enter_rate": 1e-4}, {"rule": "cci_reversion", "lookback_days": 1.0, "stop_loss": 0.2}, {"rule": "cci_mtf", "lookback_days": 1.0, "filter_hours": 4, "filter_lookback_days": 3.0}]
+# Rates that no mean of recorded ones meets exactly, so that the order of summation cannot decide.
+SIGNAL_CELLS = [
+    {"rule": "carry_funding", "lookback_days": 3.0, "enter_rate": 1.00137e-4, "exit_rate": 5.00137e-5},
+    {"rule": "cci_reversion", "lookback_days": 1.0, "stop_loss": 0.2},
+    {"rule": "cci_mtf", "lookback_days": 1.0, "filter_hours": 4, "filter_lookback_days": 3.0, "filter_level": 50.0, "exit_level": 100.0, "leverage": 2.0},
+    {"rule": "cci_reversion", "lookback_days": 1.0, "leverage": 60.0},
+]
 
 
 def dca_trials(spark, sf):
     """Metrics of a small grid of accumulation plans, routed to the closed form or the simulator."""
-    return runner.run_dca(panel(spark, sf), DCA_CELLS)[0].select("symbol", "cell", "evaluator", "n_starts", "tm_q05", "tm_q50", "mwrr_q05", "mwrr_q50", "dd_q50", "funding_frac_q50", "liquidation_rate")
+    d = runner.run_dca(panel(spark, sf), DCA_CELLS)[0]
+    digits = ("tm_q05", "tm_q50", "mwrr_q05", "mwrr_q50", "dd_q50", "funding_frac_q50", "liquidation_rate", "vs_lump_sum", "span_days")
+    return d.select("symbol", "cell", "evaluator", "n_starts", *[rnd(c, 6) for c in digits], "horizon_days")
+
+
+def dca_unmeasured(spark, sf):
+    """Cells of a grid with long plans that cannot be measured, and on which symbols."""
+    return runner.unmeasured_dca(panel(spark, sf), [*DCA_CELLS, {"stride_days": 7.0, "n_contributions": 12}])
 
 
 def signal_trials(spark, sf):
-    return runner.run_signals(panel(spark, sf), SIGNAL_CELLS)[0]
+    d = runner.run_signals(panel(spark, sf), SIGNAL_CELLS)[0]
+    return d.select("symbol", "cell", *[rnd(c, 6) for c in ("cagr", "max_drawdown", "calmar", "sharpe", "total_return")], "bars", "n_trades", rnd("win_rate", 8), *[rnd(c, 4) for c in ("funding_total", "gross_total", "pnl_total")], "n_liquidations")
+
+
+def signal_unmeasured(spark, sf):
+    return runner.unmeasured_signals(panel(spark, sf), SIGNAL_CELLS)
 
 
 def synthetic_paths(spark, sf):
@@ -433,10 +451,39 @@ def development_rows(spark, sf):
     return d.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"), F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("first_ts"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("last_ts"))
 
 
+def _trial_sql() -> dict[str, str]:
+    from barloom.plans import tracks
+
+    gates = {
+        ("dip", 0.05, 7.0): ("coalesce(bar_idx >= 167 AND close <= top * 0.95, false)", f", g AS (SELECT *, max(close) OVER {WIN} ROWS BETWEEN 168 PRECEDING AND 1 PRECEDING) AS top FROM panel)"),
+        ("sma", 0.0, 7.0): ("coalesce(bar_idx >= 168 AND close <= mean, false)", f", g AS (SELECT *, avg(close) OVER {WIN} ROWS BETWEEN 168 PRECEDING AND 1 PRECEDING) AS mean FROM panel)"),
+        ("none", 0.0, 0.0): ("true", ""),
+    }
+    routed, skipped = runner._routed(DCA_CELLS)
+    rows = [tracks.plan_row(i, p, route, *gates[gate]) for i, route, p, gate, _ in routed]
+    accounts = [runner.signal_setting(c)[1] for c in SIGNAL_CELLS]
+    sig = [tracks.carry_signals(">= 1.00137e-4", "< 5.00137e-5"), tracks.reversion_signals(), tracks.mtf_signals(50.0, 100.0), tracks.reversion_signals()]
+    more, _ = runner._routed([*DCA_CELLS, {"stride_days": 7.0, "n_contributions": 12}])
+    needs = " UNION ALL ".join(f"SELECT {i} AS cell, {p.plan.horizon + (route == 'simulate')} AS needs" for i, route, p, _, _ in more)
+    named = "".join(f" UNION ALL SELECT NULL, {i}, '{why}'" for i, why in skipped)
+    names = "SELECT DISTINCT symbol FROM panel"
+    levels = f"WITH {PANEL}, x AS (SELECT symbol, {tracks.TIER_OF} FROM ({names}))"
+    forbidden = " UNION ALL ".join(f"SELECT symbol, {i} AS cell, 'no_tier_allows_leverage({a.leverage:g})' AS reason FROM x WHERE {a.leverage} > {tracks.tier_case(3, repr(a.capital * a.leverage))}" for i, a in enumerate(accounts))
+    allowed = f"SELECT symbol FROM (WITH {PANEL} SELECT DISTINCT symbol, {tracks.TIER_OF} FROM panel) WHERE {accounts[3].leverage} <= {tracks.tier_case(3, repr(accounts[3].capital * accounts[3].leverage))}"
+    cells = [tracks.account_row(i, s, a) for i, (s, a) in enumerate(zip(sig, accounts))]
+    cells[3] += f" WHERE symbol IN ({allowed})"
+    return {
+        "dca_trials": " UNION ALL ".join(rows),
+        "signal_trials": " UNION ALL ".join(cells),
+        "dca_unmeasured": f"WITH {PANEL}, n AS (SELECT symbol, count(*) AS bars FROM panel GROUP BY symbol), k AS ({needs}) SELECT symbol, cell, 'history_shorter_than_horizon' AS reason FROM n JOIN k ON bars <= needs{named}",
+        "signal_unmeasured": f"{levels} {forbidden}",
+    }
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = [
         ledger_first, ledger_union, ledger_new, ledger_attributions, ledger_families, ledger_runs, ledger_best, ledger_revisions, newest_per_cell, pending_pairs, measured_symbols,
-        symbol_sets, uses_closed_form, skip_reasons, grid_expand, surface_best, plateau, common_starts, modal_horizon, split_scores, overfitting, overfitting_best, overfitting_signals, dca_trials, signal_trials, synthetic_paths, best_of_grid,
+        symbol_sets, uses_closed_form, skip_reasons, grid_expand, surface_best, plateau, common_starts, modal_horizon, split_scores, overfitting, overfitting_best, overfitting_signals, dca_trials, dca_unmeasured, signal_trials, signal_unmeasured, synthetic_paths, best_of_grid,
         cost_stress, walk_forward, regime_consistency, clock_drift, disqualifiers, target_candidates, best_within_limit, vote_tally, duty_cycle, merged_timeline, findings,
         survivorship, hashed_sample, listed_symbols, merged_settlements, merged_settlements_all, complete_days, missing_days, resumed_ingest, lifecycle, development_rows,
     ]
@@ -489,7 +536,7 @@ def oracle_sql() -> dict[str, str]:
     num = lambda k: f"TRY_CAST({_cfg(k)} AS DOUBLE)"
     pos = "pos AS (SELECT *, upper(trim(symbol)) AS s FROM positioning WHERE symbol IS NOT NULL)"
     sig = "concat_ws('|', " + ", ".join(f"coalesce({_cfg(k)}, '~')" for k in ("contribution", "gate", "include_funding", "leverage", "n_contributions", "stop_loss", "stride_days", "take_profit")) + ")"
-    return {
+    return _trial_sql() | {
         "ledger_first": f"WITH {FIRST} SELECT trial_id, symbol, evaluator, config_hash FROM first_of WHERE k = 1",
         "ledger_union": f"""WITH u AS (SELECT * FROM trials WHERE evaluator = 'analytic' OR created_utc < '2019-07-01' UNION ALL SELECT * FROM trials WHERE evaluator <> 'analytic' OR created_utc >= '2019-07-01'),
 f AS (SELECT *, row_number() OVER (PARTITION BY {IDENT} ORDER BY created_utc, trial_id) AS k FROM u) SELECT trial_id, config_hash FROM f WHERE k = 1""",
