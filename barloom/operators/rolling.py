@@ -68,9 +68,11 @@ def trailing(calendar: DataFrame, *, entity: str, measure: str, days: int):
     return F.col(f"p_{measure}") - F.coalesce(F.lag(f"p_{measure}", days).over(w), F.lit(0))
 
 
-def trailing_totals(bars: DataFrame, *, entity: str, ts: str, sums: Sequence[str], averages: Sequence[str], flags: Sequence[str], periods: Sequence[int], order: Sequence[str]) -> DataFrame:
+def trailing_totals(bars: DataFrame, *, entity: str, ts: str, sums: Sequence[str], averages: Sequence[str], flags: Sequence[str], periods: Sequence[int], order: Sequence[str], wide: bool = False) -> DataFrame:
     """(entity, day, days, total_<v>, avg_<v>, n_<flag>), one row per entity, calendar day and period.
 
+    With `wide` one row per entity and day, whose columns end in the period instead: total_<v>_7.
+
     A total over a period without readings is 0, an average null. Repeats of an hour count once.
     Rows with null entity or stamp are ignored; an empty table gives no rows. Periods of fewer than
     one day raise. Near the start of an entity's history the period is cut at its first day.
@@ -83,25 +85,28 @@ def trailing_totals(bars: DataFrame, *, entity: str, ts: str, sums: Sequence[str
     measures = [*[f"sum_{v}" for v in values], *[f"n_{v}" for v in averages], *[f"n_{f}" for f in flags]]
     cal = prefix_calendar(daily_totals(hours, entity=entity, values=values, flags=flags), entity=entity, measures=measures)
 
-    def row(p: int):
+    def of(p: int) -> list:
         t = lambda m: trailing(cal, entity=entity, measure=m, days=p)
-        return F.struct(
-            F.lit(p).cast("bigint").alias("days"),
-            *[t(f"sum_{v}").alias(f"total_{v}") for v in sums],
-            *[F.try_divide(t(f"sum_{v}"), t(f"n_{v}").cast("double")).alias(f"avg_{v}") for v in averages],
-            *[t(f"n_{f}").cast("bigint").alias(f"n_{f}") for f in flags],
-        )
+        return [
+            *[(f"total_{v}", t(f"sum_{v}")) for v in sums],
+            *[(f"avg_{v}", F.try_divide(t(f"sum_{v}"), t(f"n_{v}").cast("double"))) for v in averages],
+            *[(f"n_{f}", t(f"n_{f}").cast("bigint")) for f in flags],
+        ]
 
-    # All lags share one sort per entity; the periods then unfold into rows.
-    return cal.select(entity, "day", F.array(*[row(p) for p in periods]).alias("__p")).select(entity, "day", F.inline("__p"))
+    # All lags share one sort per entity; the periods lie side by side, or unfold into rows.
+    if wide:
+        return cal.select(entity, "day", *[c.alias(f"{n}_{p}") for p in periods for n, c in of(p)])
+    rows = F.array(*[F.struct(F.lit(p).cast("bigint").alias("days"), *[c.alias(n) for n, c in of(p)]) for p in periods])
+    return cal.select(entity, "day", rows.alias("__p")).select(entity, "day", F.inline("__p"))
 
 
-def gate_days(trials: DataFrame, max_days: int = 3660) -> list[int]:
+def gate_days(trials: DataFrame, calendar_days: int = 3_652_425) -> list[int]:
     """The distinct day counts named by gates dip:<drop>:<days> and sma:<days>, in either case.
 
-    At most max_days different values can exist, so the list is bounded; odd gates are ignored.
+    Counts above 0 and up to ten thousand years are periods; one longer than the history is the whole of it up to the
+    day. Odd gates are ignored. The distinct counts, one for every gate that was ever tried, are read to the driver.
     """
     gate = F.lower(F.trim(F.get_json_object("config_json", "$.gate")))
-    d = F.regexp_extract(gate, r"^(?:dip:[0-9]*\.?[0-9]+|sma):([0-9]{1,4})$", 1)
-    found = trials.select(d.try_cast("int").alias("d")).where(F.col("d").between(1, max_days)).distinct()
+    d = F.regexp_extract(gate, r"^(?:dip:[0-9]*\.?[0-9]+|sma):([0-9]+)$", 1)
+    found = trials.select(d.try_cast("bigint").alias("d")).where(F.col("d").between(1, calendar_days)).distinct()
     return sorted(r.d for r in found.collect())

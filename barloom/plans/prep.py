@@ -117,11 +117,9 @@ def p4_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days whose trailing 7 days hold no settled bar while the trailing 30 hold one."""
     out = trailing_totals(
-        table(spark, sf_dir, "panel_1h"), entity="symbol", ts="ts", sums=[], averages=[], flags=["funding_settled"], periods=[7, 30], order=()
+        table(spark, sf_dir, "panel_1h"), entity="symbol", ts="ts", sums=[], averages=[], flags=["funding_settled"], periods=[7, 30], order=(), wide=True
     )
-    n = lambda d: F.max(F.when(F.col("days") == d, F.col("n_funding_settled")))
-    by_day = out.groupBy("symbol", "day").agg(n(7).alias("n7"), n(30).alias("n30"))
-    return by_day.where((F.col("n7") == 0) & (F.col("n30") > 0)).select("symbol", F.date_format("day", "yyyy-MM-dd").alias("day"))
+    return out.where((F.col("n_funding_settled_7") == 0) & (F.col("n_funding_settled_30") > 0)).select("symbol", F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
 def p5_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,8 +156,8 @@ SELECT symbol, strftime(day, '%Y-%m-%d') AS day FROM w WHERE n7 = 0 AND n30 > 0
 P4_TRAILING_SQL = r"""
 WITH g AS (
   SELECT DISTINCT CAST(nullif(regexp_extract(lower(trim(json_extract_string(config_json, '$.gate'))),
-         '^(dip:[0-9]*\.?[0-9]+|sma):([0-9]{1,4})$', 2), '') AS BIGINT) AS days FROM trials),
-p AS (SELECT days FROM g WHERE days BETWEEN 1 AND 3660 UNION SELECT 7 UNION SELECT 30),
+         '^(dip:[0-9]*\.?[0-9]+|sma):([0-9]+)$', 2), '') AS BIGINT) AS days FROM trials),
+p AS (SELECT days FROM g WHERE days BETWEEN 1 AND 3652425 UNION SELECT 7 UNION SELECT 30),
 h AS (
   SELECT symbol, date_trunc('hour', ts) AS hour,
          arg_max(struct_pack(f := funding_rate, c := close), (ingested_at, bar_id)) AS v,

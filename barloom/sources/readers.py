@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -47,21 +48,50 @@ def registered_universe(registry: DataFrame, col: str = "universe") -> DataFrame
     return registry.select(F.explode(col).alias("symbol")).distinct()
 
 
-def zipped_csv(spark: SparkSession, glob: str, columns: Sequence[str], schema: str) -> DataFrame:
-    """Archives that hold one delimited file each, with or without a header; columns are taken by position.
+def archives(spark: SparkSession, glob: str) -> DataFrame:
+    """(path, content) of whole files; sources.http.fetched gives the same of URLs."""
+    return spark.read.format("binaryFile").load(glob).select("path", "content")
 
-    Values that cannot be read are null; broken archives give no rows. Archives are read whole, one at a time.
+
+def zip_members(files: DataFrame) -> DataFrame:
+    """(path, member, text, error): every member of every archive as text, or what is wrong with the archive or the member.
+
+    Archives are opened whole, one at a time. Directories are no members; an archive without one has an error.
     """
-    names = [c.strip().split()[0] for c in schema.split(",")]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
+                out = []
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        text = z.read(z.namelist()[0]).decode("utf-8")
-                except (zipfile.BadZipFile, IndexError, UnicodeDecodeError):
-                    continue
+                        for info in (i for i in z.infolist() if not i.is_dir()):
+                            try:
+                                out.append((path, info.filename, z.read(info).decode("utf-8"), None))
+                            except (zipfile.BadZipFile, zlib.error, UnicodeDecodeError, NotImplementedError, RuntimeError) as e:
+                                out.append((path, info.filename, None, f"{type(e).__name__}: {e}"))
+                except zipfile.BadZipFile as e:
+                    out.append((path, None, None, f"BadZipFile: {e}"))
+                yield pd.DataFrame(out or [(path, None, None, "empty archive")], columns=["path", "member", "text", "error"])
+
+    return files.mapInPandas(read, schema="path string, member string, text string, error string")
+
+
+def broken_archives(files: DataFrame) -> DataFrame:
+    """(path, member, error) of what `zipped_csv` cannot read."""
+    return zip_members(files).where(F.col("error").isNotNull()).drop("text")
+
+
+def zipped_csv(spark: SparkSession, glob: str, columns: Sequence[str], schema: str, files: DataFrame | None = None) -> DataFrame:
+    """Archives of delimited files, with or without a header, all members of each; columns are taken by position.
+
+    Values that cannot be read are null; what cannot be opened gives no rows and is named by `broken_archives`.
+    """
+    names = [c.strip().split()[0] for c in schema.split(",")]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, text in zip(pdf["path"], pdf["text"]):
                 if not text.strip():
                     continue
                 head = text.split("\n", 1)[0].split(",")[0].strip()
@@ -71,11 +101,25 @@ def zipped_csv(spark: SparkSession, glob: str, columns: Sequence[str], schema: s
                 d.columns = list(columns)[: d.shape[1]]
                 yield pd.DataFrame({n: d[n] if n in d else None for n in columns}).assign(path=path)
 
-    raw = spark.read.format("binaryFile").load(glob).select("path", "content").mapInPandas(read, schema=", ".join(f"{c} string" for c in columns) + ", path string")
+    whole = zip_members(archives(spark, glob) if files is None else files).where(F.col("text").isNotNull()).select("path", "text")
+    raw = whole.mapInPandas(read, schema=", ".join(f"{c} string" for c in columns) + ", path string")
     kinds = dict(c.strip().split() for c in schema.split(","))
     return raw.select(*[F.expr(f"try_cast(`{n}` AS {kinds[n]})").alias(n) for n in names], "path")
 
 
+def klines(bars: DataFrame, *, ms: str = "open_time", order: Sequence[str] = (), source: str | None = None) -> DataFrame:
+    """(source, ts, open, high, low, close, volume, quote_volume, trades): the first bar of each source and stamp, by `order`.
+
+    Bars whose close is not above 0 or whose volume is under 0, null or NaN are left out after that, as are rows without a stamp.
+    """
+    keys = [source] if source else []
+    numbers = ["open", "high", "low", "close", "volume", "quote_volume"]
+    d = bars.where(F.col(ms).isNotNull()).select(*keys, F.col(ms).cast("bigint").alias("__ms"), *[F.col(c).cast("double").alias(c) for c in numbers], F.col("trades").cast("bigint").alias("trades"), *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)])
+    one = pick(d, [*keys, "__ms"], [f"__o{i}" for i in range(len(order))] or numbers)
+    good = (F.col("close") > 0) & ~F.isnan("close") & (F.col("volume") >= 0) & ~F.isnan("volume")
+    return one.where(good).select(*keys, F.timestamp_millis("__ms").cast("timestamp_ntz").alias("ts"), *numbers, "trades")
+
+
 def settlements(parts: Sequence[DataFrame], *, ms: str = "calc_time", rate: str = "last_funding_rate", hours: str = "funding_interval_hours", source: str | None = None) -> DataFrame:
     """Monthly parts to one table of (source, ts, funding_rate, interval_hours): the first of each source and stamp is kept.
 
@@ -119,8 +163,3 @@ def lifecycle(months: DataFrame, live: DataFrame, *, source: str = "symbol", mon
 def load_valid(panel: DataFrame, check: Callable[[DataFrame], DataFrame], source: str = "symbol") -> DataFrame:
     """The sources of a panel that pass a report with a `valid` column; the others are skipped."""
     return panel.join(check(panel).where("valid").select(source), source, "left_semi")
-
-
-def download_listing(*_, **__):
-    """Listings and archives over HTTP need a network; mirror the files and read them with the readers above."""
-    raise NotImplementedError("mirror the archives to a shared folder first")

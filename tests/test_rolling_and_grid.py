@@ -75,7 +75,7 @@ def test_trailing_of_empty_and_null_rows(spark):
 def test_gates_name_days(spark):
     gates = ["none", "dip:0.10:7", "DIP:.2:30", "sma:90", " SMA:5 ", "sma:0", "dip:x:9", None, "sma:99999"]
     df = spark.createDataFrame([(None if g is None else f'{{"gate": "{g}"}}',) for g in gates] + [("broken",), (None,)], "config_json string")
-    assert R.gate_days(df) == [5, 7, 30, 90]
+    assert R.gate_days(df) == [5, 7, 30, 90, 99999]  # a long gate is a period like any other
 
 
 # Regular grid
