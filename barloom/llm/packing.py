@@ -13,6 +13,7 @@ from __future__ import annotations
 import bisect
 import os
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -221,6 +222,25 @@ def pack_lengths(lengths: np.ndarray, capacity: int, cols: np.ndarray, rate: np.
     return box
 
 
+#: Shares of the fitted repeat counts that are tried, the largest first.
+SHARES = (1.0, 0.75, 0.5, 0.25, 0.1)
+
+
+def pack_patterns(lengths: np.ndarray, capacity: int, cols: np.ndarray, rate: np.ndarray, units: int = UNITS) -> np.ndarray:
+    """The container of each length, by as many of the fitted patterns as cost no container.
+
+    Every pattern that is laid out takes texts that the residual step could have used to fill up others. The largest
+    share of the repeat counts that needs no more containers than best fit of all texts is kept; if even the smallest
+    needs more, there is no pattern worth its room and the best fit stands.
+    """
+    alone = pack_lengths(lengths, capacity, cols, rate * 0.0, units)
+    for share in SHARES:
+        box = pack_lengths(lengths, capacity, cols, rate * share, units)
+        if box.max(initial=-1) <= alone.max(initial=-1):
+            return box
+    return alone
+
+
 def _pack_shard(pdf: pd.DataFrame, fitted: dict, units: int) -> pd.DataFrame:
     pack, capacity, shard = pdf["pack"].iloc[0], int(pdf["capacity"].iloc[0]), int(pdf["shard"].iloc[0])
     # A fixed order makes the result independent of how the rows arrived.
@@ -229,7 +249,7 @@ def _pack_shard(pdf: pd.DataFrame, fitted: dict, units: int) -> pd.DataFrame:
     full, rest = size // capacity, size % capacity
     some = rest > 0
     lengths = rest[some]
-    box = pack_lengths(lengths, capacity, *fitted[capacity], units)
+    box = pack_patterns(lengths, capacity, *fitted[capacity], units)
     o = np.argsort(box, kind="stable")
     b, l = box[o], lengths[o]
     begin = np.cumsum(l) - l
@@ -261,23 +281,27 @@ def pack(
     capacity: str,
     shard_rows: int = 50_000,
     units: int = UNITS,
-    max_capacities: int = 64,
+    capacities_at_once: int = 64,
 ) -> DataFrame:
     """(pack_id, container, id_col, piece, first_token, n_tokens, at): where every text lies in every packing.
 
     Texts are never split unless they exceed the capacity; then they give full pieces, each alone in
     its container, and a last piece that is packed like a text. Sizes that are null or below 1 take no
-    room and no container. `sizes` is read twice, so cut its lineage first if it is dear. Ids may repeat: every row is packed. Capacities below 1 or null are left out; more than
-    `max_capacities` different ones raise. `at` is where in its container a piece begins. The result
+    room and no container. `sizes` is read twice, so cut its lineage first if it is dear. Ids may repeat: every row is packed. Capacities below 1 or null are left out; many are
+    worked off `capacities_at_once` at a time, and the list of them, one row each, is read to the driver. `at` is where in its container a piece begins. The result
     depends only on the rows, not on their order. Container numbers are unique within a packing.
     """
     caps = capacities.where(F.col(capacity) >= 1).select(F.col(pack_id).alias("pack"), F.col(capacity).cast("bigint").alias("capacity")).distinct()
-    rows = caps.limit(max_capacities + 1).collect()
-    if len(rows) > max_capacities:
-        raise ValueError(f"more than {max_capacities} capacities")
+    rows = sorted(caps.collect(), key=lambda r: (r.capacity, repr(r.pack)))
     pk, ik = capacities.schema[pack_id].dataType.simpleString(), sizes.schema[id_col].dataType.simpleString()
     if not rows:
         return sizes.sparkSession.createDataFrame([], f"{pack_id} {pk}, container bigint, {id_col} {ik}, piece bigint, first_token bigint, n_tokens bigint, at bigint")
+    if len(rows) > capacities_at_once:
+        parts = []
+        for i in range(0, len(rows), capacities_at_once):
+            some = capacities.sparkSession.createDataFrame([(r.pack, r.capacity) for r in rows[i : i + capacities_at_once]], f"{pack_id} {pk}, {capacity} bigint")
+            parts.append(pack(sizes, some, id_col=id_col, size=size, pack_id=pack_id, capacity=capacity, shard_rows=shard_rows, units=units, capacities_at_once=capacities_at_once))
+        return reduce(DataFrame.unionByName, parts)
     live = sizes.where(F.col(size) >= 1).select(F.col(id_col).alias("id"), F.col(size).cast("bigint").alias("size"))
     offer = F.array(*[F.struct(F.lit(r.pack).cast(pk).alias("pack"), F.lit(int(r.capacity)).cast("bigint").alias("capacity")) for r in rows])
     each = live.select("id", "size", F.explode(offer).alias("o")).select("id", "size", "o.*")

@@ -21,9 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import BLANKS
+from barloom.session import cut
 
 BITS = 16
-TAIL = 240  # characters from the end that any feature looks at; the limit features look at the whole length
+TAIL = 240  # characters of the last line that features look at; the last sentence is looked at whole, the limits at the whole length
+SENT_SOURCES = 100_000
+LEAST = 50  # texts under which nothing is learned
 _TERMINAL = ".!?。！？"
 _CLOSERS = ")]}\"'”’»』」|*_`"
 _SENT = re.compile(r"[.!?。！？](?=\s|$)|\n")
@@ -39,8 +42,21 @@ def _shape(s: str) -> str:
     return re.sub(r"\s+", " ", s)
 
 
-def ending_features(tail: str, at_limit: str) -> list[str]:
-    """Names of the features of a text's ending; tail is the whole text or its last TAIL characters."""
+def last_sentence(text: str) -> str:
+    """What follows the last end of a sentence before the text's own; looked for from behind, however far it lies."""
+    size = TAIL
+    while True:
+        part = text[-size:].rstrip().rstrip(_TERMINAL)
+        pieces = _SENT.split(part)
+        if len(pieces) > 1 or size >= len(text):
+            return pieces[-1]
+        size *= 4
+
+
+def ending_features(text: str, at_limit: str) -> list[str]:
+    """Names of the features of a text's ending."""
+    text = text.rstrip(" \t\r\n") + text[len(text.rstrip(" \t\r\n")) :][:1]  # one blank says as much as many
+    tail = text[-TAIL:]
     body = tail.rstrip()
     blank = len(body) < len(tail)
     out = [f"limit={at_limit}", f"blank={blank}"]
@@ -59,7 +75,7 @@ def ending_features(tail: str, at_limit: str) -> list[str]:
     head, shape = (parts[0] if parts else ""), _shape(line)
     word = parts[-1] if parts else ""
     low = word.casefold()
-    sent = _SENT.split(body.rstrip(_TERMINAL))[-1] if body else ""
+    sent = last_sentence(text[:-1] if dots else text) if body else ""
     n_words = len(sent.split())
     tail_mark = "stop" if kind == "stop" else "close" if kind == "close" else "open"
     out += [
@@ -100,10 +116,19 @@ def source_limits(df: DataFrame, *, source: str, text: str, at_least: int = 5, s
     have it exactly; in bytes, lengths up to three below count too, as no character is split. Where the
     character limit explains the longest rows there is no byte limit unless more rows stand at it.
     """
+    return _limits(lengths(df, source=source, text=text), source, at_least, share)
+
+
+def lengths(df: DataFrame, *, source: str, text: str) -> DataFrame:
+    """(__s, __c, __b, n): how many texts of a source have so many characters and bytes."""
     t = df.where(F.col(text).isNotNull()).select(F.col(source).alias("__s"), F.length(text).alias("__c"), F.octet_length(text).alias("__b"))
-    # Counts per length first: what is then left per source is bounded by the number of different lengths.
-    c = t.groupBy("__s", "__c").agg(F.count(F.lit(1)).alias("n")).groupBy("__s").agg(F.max(F.struct("__c", "n")).alias("c"), F.sum("n").alias("rows"))
-    b = t.groupBy("__s", "__b").agg(F.count(F.lit(1)).alias("n"))
+    return t.groupBy("__s", "__c", "__b").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _limits(sizes: DataFrame, source: str, at_least: int = 5, share: float = 0.01) -> DataFrame:
+    # Counts per length: what is left per source is bounded by the number of different lengths.
+    c = sizes.groupBy("__s", "__c").agg(F.sum("n").alias("n")).groupBy("__s").agg(F.max(F.struct("__c", "n")).alias("c"), F.sum("n").alias("rows"))
+    b = sizes.groupBy("__s", "__b").agg(F.sum("n").alias("n"))
     top = b.groupBy(F.col("__s").alias("__s1")).agg(F.max("__b").alias("top"))
     near = b.join(top, F.col("__s").eqNullSafe(F.col("__s1"))).where(F.col("__b") >= F.col("top") - 3)
     b = near.groupBy(F.col("__s1").alias("__s2")).agg(F.max("top").alias("top"), F.sum("n").alias("nb"))
@@ -186,8 +211,8 @@ def fit(samples: list[tuple[list[int], int]], epochs: int = 5, rate: float = 0.2
     return Model(w, bias)
 
 
-def train(rows: list[tuple[str, str]], limits: dict, seed: int = 11, cuts: int = 2, rounds: int = 2) -> Model:
-    """rows: (source, text). Originals are taken for intact and their cut copies for cut.
+def train(rows: list[tuple[str, tuple[int | None, int | None]]], seed: int = 11, cuts: int = 2, rounds: int = 2) -> Model:
+    """rows: (text, limits of its source). Originals are taken for intact and their cut copies for cut.
 
     Some originals are cut themselves, so originals that fill their field and end openly are not taken for
     intact at first. A model of one half of the texts then judges the other half, and the originals that
@@ -196,10 +221,9 @@ def train(rows: list[tuple[str, str]], limits: dict, seed: int = 11, cuts: int =
     """
     rng = np.random.default_rng(seed)
     originals, copies, keep = [], [], []  # (half, features); places of intact originals
-    for i, (source, text) in enumerate(rows):
-        lim = limits.get(source, (None, None))
+    for i, (text, lim) in enumerate(rows):
         near = _near(len(text), len(text.encode("utf-8", "surrogatepass")), lim)
-        originals.append((i % 2, _ids(ending_features(text[-TAIL:], near))))
+        originals.append((i % 2, _ids(ending_features(text, near))))
         if near != "at" or text.rstrip()[-1:] in _TERMINAL + _CLOSERS:
             keep.append(i)
         for _ in range(cuts):
@@ -211,45 +235,53 @@ def train(rows: list[tuple[str, str]], limits: dict, seed: int = 11, cuts: int =
             near = "none" if lim == (None, None) else ("at" if rng.random() < 0.5 else "far")
             if rng.random() < 0.15:
                 short = short.rstrip() + "…"
-            copies.append((i % 2, _ids(ending_features(short[-TAIL:], near))))
+            copies.append((i % 2, _ids(ending_features(short, near))))
     for k in range(rounds):
         halves = [fit([(originals[i][1], 0) for i in keep if originals[i][0] == h] + [(c, 1) for half, c in copies if half == h], epochs=3, seed=seed + k) for h in (0, 1)]
         keep = [i for i, (h, f) in enumerate(originals) if halves[1 - h].score(f) < 0.5]
     return fit([(originals[i][1], 0) for i in keep] + [(c, 1) for _, c in copies], seed=seed + rounds)
 
 
-def _score(batches: Iterator[pd.DataFrame], model: Model, limits: dict) -> Iterator[pd.DataFrame]:
+def plain_score(text: str, near: str) -> float:
+    """Where there is too little to learn from: a text that ends openly, more surely so at its limit."""
+    body = text.rstrip()
+    open_ = body[-1:] not in _TERMINAL + _CLOSERS and not re.match(r"^([-*•—–#|]|[^ :]{2,20}: )", body.rsplit("\n", 1)[-1])
+    return (0.9 if near == "at" else 0.6) if open_ and len(last_sentence(text).split()) > 3 else 0.1
+
+
+def _score(batches: Iterator[pd.DataFrame], model: Model | None) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        s = [
-            model.score(_ids(ending_features(t, _near(int(c), int(b), limits.get(src if isinstance(src, str) else None, (None, None))))))
-            for src, t, c, b in zip(pdf["__src"], pdf["__tail"], pdf["__c"], pdf["__b"])
-        ]
+        s = []
+        for t, c, b, lc, lb in zip(pdf["__text"], pdf["__c"], pdf["__b"], pdf["__lc"], pdf["__lb"]):
+            near = _near(int(c), int(b), (None if pd.isna(lc) else int(lc), None if pd.isna(lb) else int(lb)))
+            s.append(plain_score(t, near) if model is None else model.score(_ids(ending_features(t, near))))
         yield pd.DataFrame({"id": pdf["__id"], "source": pdf["__src"], "score": np.array(s, dtype=float)})
 
 
-def truncation_scores(df: DataFrame, *, id_col: str, source: str, text: str, sample_rows: int = 12000, max_sources: int = 10000) -> DataFrame:
+def truncation_scores(df: DataFrame, *, id_col: str, source: str, text: str, sample_rows: int = 12000) -> DataFrame:
     """(id_col, source, score): how much each text's ending looks cut, between 0 and 1.
 
-    The model is fitted on at most `sample_rows` texts, chosen by a hash of their id whatever the
-    size of the table; limits and scores cover all rows. Null and blank texts have no ending and
-    give no row. Repeated ids give a row per occurrence. With fewer than 50 texts to learn from
-    every score is null. More than `max_sources` sources raise, as limits are held by every worker.
+    The model is fitted on at most `sample_rows` texts, those with the smallest hashes of their ids whatever the
+    size of the table or the order of its rows; limits and scores cover all rows. Null and blank texts have no ending
+    and give no row. Repeated ids give a row per occurrence. With fewer than LEAST texts to learn from, a plain rule
+    on the ending stands in. Three reads of the table: lengths, sample, scores.
     """
     live = df.where(F.length(F.trim(F.col(text), F.lit(BLANKS))) > 0)
-    found = source_limits(live, source=source, text=text).limit(max_sources + 1).collect()
-    if len(found) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    limits = {r[source]: (r.chars, r.bytes) for r in found}
-    total = max(1, live.count())
-    # A hash threshold bounds the sample in expectation, the limit for certain.
-    bar = min(1.0, 1.2 * sample_rows / total)
-    picked = live.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < int(bar * 1_000_000)).select(source, text).limit(sample_rows).collect()
+    sizes = cut(lengths(live, source=source, text=text))
+    # One small row a source; joined, so that any number of sources can have limits, and sent to all only while they are few.
+    limits = cut(_limits(sizes, "__s")).select(F.col("__s").alias("__ls"), F.col("chars").alias("__lc"), F.col("bytes").alias("__lb"))
+    if limits.count() <= SENT_SOURCES:
+        limits = F.broadcast(limits)
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    # A hash threshold keeps most texts from being sorted; the sort makes the bound certain and the sample one and the same.
+    bar = int(min(1.0, 1.2 * sample_rows / max(1, total)) * 1_000_000)
+    at = F.xxhash64(F.col(id_col))
+    near = live.where(F.pmod(at, F.lit(1_000_000)) < bar).select(F.col(source).alias("__src"), F.col(text).alias("__text"), at.alias("__h"), F.xxhash64(text).alias("__h2"))
+    picked = near.join(limits, F.col("__src").eqNullSafe(F.col("__ls")), "left").orderBy("__h", "__h2").select("__text", "__lc", "__lb").limit(sample_rows).collect()
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, source string, score double"
-    tails = live.select(F.col(id_col).alias("__id"), F.col(source).cast("string").alias("__src"), F.substring(F.col(text), -TAIL, TAIL).alias("__tail"), F.length(text).alias("__c"), F.octet_length(text).alias("__b"))
-    if len(picked) < 50:
-        out = tails.select(F.col("__id").alias("id"), F.col("__src").alias("source"), F.lit(None).cast("double").alias("score"))
-    else:
-        model = train([(r[0], r[1]) for r in picked], limits)
-        out = tails.mapInPandas(lambda it: _score(it, model, limits), schema=schema)
+    model = train([(r[0], (r[1], r[2])) for r in picked]) if len(picked) >= LEAST else None
+    # Only the source and the lengths are joined; the text goes where its row goes.
+    rows = live.select(F.col(id_col).alias("__id"), F.col(source).cast("string").alias("__src"), F.col(source).alias("__s"), F.col(text).alias("__text"), F.length(text).alias("__c"), F.octet_length(text).alias("__b"))
+    rows = rows.join(limits, F.col("__s").eqNullSafe(F.col("__ls")), "left").drop("__s", "__ls")
+    out = rows.mapInPandas(lambda it: _score(it, model), schema=f"id {kind}, source string, score double")
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source), "score")

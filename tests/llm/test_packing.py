@@ -109,8 +109,7 @@ def test_empty_tables_and_bad_capacities(spark):
     assert run(spark, [], [(1, 64)]) == []
     assert run(spark, [(1, 5)], []) == []
     assert run(spark, [(1, 5)], [(1, None), (2, 0)]) == []
-    with pytest.raises(ValueError):
-        run(spark, [(1, 5)], [(i, i + 1) for i in range(70)])
+    assert len(run(spark, [(1, 5)], [(k, 10 + k) for k in range(70)])) == 70
 
 
 def test_repeated_ids_are_all_packed(spark):
@@ -123,3 +122,21 @@ def test_token_counts_of_odd_texts(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "hello world"), (4, long), (5, "안녕하세요 \x00 🙂"), (None, "lost")], "doc bigint, text string")
     got = {r.doc: r.tokens for r in P.token_counts(df, id_col="doc", text="text").collect()}
     assert got[1] == got[2] == 0 and got[3] == 2 and got[4] >= 200_000 and got[5] > 0 and None not in got
+
+
+def test_patterns_never_cost_a_container():
+    rng = np.random.default_rng(2)
+    for capacity in (64, 500, 3000):
+        lengths = np.sort(np.minimum(np.exp(rng.normal(4.0, 1.2, 2000)).astype(np.int64) + 1, capacity))[::-1]
+        h = np.bincount(P.length_class(lengths, capacity, P.UNITS), minlength=P.UNITS + 1).astype(float)
+        h[0] = 0
+        cols, rate = P.fit_patterns(h)
+        alone, box = P.pack_lengths(lengths, capacity, cols, rate * 0), P.pack_patterns(lengths, capacity, cols, rate)
+        assert box.max() <= alone.max() and np.bincount(box, weights=lengths).max() <= capacity and (box >= 0).all()
+
+
+def test_many_capacities_are_packed_in_turns(spark):
+    sizes = spark.createDataFrame([(i, 1 + i % 37) for i in range(200)], "id bigint, n bigint")
+    caps = spark.createDataFrame([(k, 40 + k) for k in range(9)], "k bigint, cap bigint")
+    of = lambda at_once: {tuple(r) for r in P.pack(sizes, caps, id_col="id", size="n", pack_id="k", capacity="cap", capacities_at_once=at_once).collect()}
+    assert of(64) == of(4) and len(of(4)) == 9 * 200

@@ -77,8 +77,31 @@ def test_odd_rows(spark, corpus):
 def test_empty_and_small_tables(spark):
     e = spark.createDataFrame([], "doc_id bigint, source string, text string")
     assert T.truncation_scores(e, id_col="doc_id", source="source", text="text").collect() == []
-    few = spark.createDataFrame([(1, "a", "One sentence.")], "doc_id bigint, source string, text string")
-    assert T.truncation_scores(few, id_col="doc_id", source="source", text="text").first().score is None
+    few = spark.createDataFrame([(1, "a", "One sentence."), (2, "a", "It was cut in the middle of a sen"), (3, "a", "- a list item\n- another one")], "doc_id bigint, source string, text string")
+    assert {r.doc_id: r.score >= 0.5 for r in T.truncation_scores(few, id_col="doc_id", source="source", text="text").collect()} == {1: False, 2: True, 3: False}
+
+
+def test_the_order_of_rows_changes_no_score(spark, corpus):
+    def of(docs, parts):
+        df = spark.createDataFrame(docs, "doc_id bigint, source string, text string").repartition(parts)
+        return {r.doc_id: r.score for r in T.truncation_scores(df, id_col="doc_id", source="source", text="text", sample_rows=300).collect()}
+
+    docs = corpus[0][:500]
+    assert of(docs, 1) == of(docs[::-1], 5)
+
+
+def test_more_sources_than_are_sent_to_all(spark, corpus, monkeypatch):
+    df = spark.createDataFrame(corpus[0][:300], "doc_id bigint, source string, text string")
+    want = {r.doc_id: r.score for r in T.truncation_scores(df, id_col="doc_id", source="source", text="text").collect()}
+    monkeypatch.setattr(T, "SENT_SOURCES", 0)
+    assert {r.doc_id: r.score for r in T.truncation_scores(df, id_col="doc_id", source="source", text="text").collect()} == want
+
+
+def test_a_sentence_is_seen_from_its_beginning():
+    long = "One ends. This (which opens a bracket " + "and goes on " * 400 + "to here"
+    assert T.last_sentence(long).lstrip().startswith("This (which")
+    assert T.last_sentence("no end " * 5000).startswith("no end") and T.last_sentence("") == ""
+    assert any(f.startswith("unclosed=['(']") for f in T.ending_features(long, "none"))
 
 
 def test_cuts_are_inside_words_or_sentences():
