@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 
 from barloom.functions.columns import epoch_us, present
 
-STATUS_READ, STATUS_FILLED, STATUS_MARKED = "read", "filled", "marked"
+STATUS_READ, STATUS_FILLED, STATUS_LINE, STATUS_MARKED = "read", "filled", "interpolated", "marked"
 
 
-def ssa_impute(values: np.ndarray, window: int = 24, rank: int = 8, tol: float = 1e-5, max_iter: int = 2000, memory: int = 15) -> tuple[np.ndarray, bool]:
-    """Complete the NaN entries of a series, and whether they stand still; observed entries are returned unchanged.
+def ssa_impute(values: np.ndarray, window: int = 24, rank: int = 8, tol: float = 1e-5, max_iter: int = 2000, memory: int = 15) -> tuple[np.ndarray, str]:
+    """Complete the NaN entries of a series, and how: `filled` if they stand still, `interpolated` if the series is too
+    short or even for the method, `marked` if they still move; observed entries are returned unchanged.
 
     Starts from linear interpolation, then alternates the rank-limited reconstruction of the
     trajectory matrix with resetting the observed entries, until a pass changes no missing entry by
@@ -35,13 +36,13 @@ def ssa_impute(values: np.ndarray, window: int = 24, rank: int = 8, tol: float =
     gap = ~np.isfinite(x)
     n, seen = len(x), int((~gap).sum())
     if seen == 0 or seen == n:
-        return x.copy(), True
+        return x.copy(), STATUS_READ
     idx = np.arange(n)
     y = x.copy()
     y[gap] = np.interp(idx[gap], idx[~gap], x[~gap])
     spread = float(np.std(x[~gap]))
     if seen < 2 or n <= 2 * window or spread == 0.0:
-        return y, True
+        return y, STATUS_LINE
     mean = float(np.mean(x[~gap]))
     k = n - window + 1
     rank = min(rank, window)
@@ -61,7 +62,7 @@ def ssa_impute(values: np.ndarray, window: int = 24, rank: int = 8, tol: float =
         step = new - y[gap]
         y[gap] = new
         if float(np.max(np.abs(step))) <= tol * spread:
-            return y, True
+            return y, STATUS_FILLED
         if steps and np.linalg.norm(step) > 2 * np.linalg.norm(steps[-1]):
             found, steps = [], []  # the leading vectors changed: what was learned does not hold
         found, steps = [*found, new][-memory - 1 :], [*steps, step][-memory - 1 :]
@@ -69,7 +70,7 @@ def ssa_impute(values: np.ndarray, window: int = 24, rank: int = 8, tol: float =
             mix = np.linalg.lstsq(np.diff(np.array(steps), axis=0).T, step, rcond=1e-10)[0]
             y[gap] = new - np.diff(np.array(found), axis=0).T @ mix
     y[gap] = new
-    return y, False
+    return y, STATUS_MARKED
 
 
 def ssa_fill(values: np.ndarray, window: int = 24, rank: int = 8, tol: float = 1e-5, max_iter: int = 2000) -> np.ndarray:
@@ -88,20 +89,20 @@ def _complete(batches: Iterator[pd.DataFrame], block: int, margin: int, window:
             read = np.isfinite(x)
             own = slice(max(chunk * block, lo) - start, min((chunk + 1) * block - 1, hi) - start + 1)
             if not read[own].all() and read.sum() >= max(2, min_seen * len(x)):
-                y, stood = ssa_impute(x, window, rank, tol, max_iter)
-                if not stood:
+                y, how = ssa_impute(x, window, rank, tol, max_iter)
+                if how == STATUS_MARKED:
                     y[~read] = np.nan
                 # Nothing outside the readings of this block is extrapolated.
                 first, last = np.flatnonzero(read)[[0, -1]]
                 y[:first] = np.nan
                 y[last + 1 :] = np.nan
             else:
-                y = x
+                y, how = x, STATUS_MARKED
             o_read, o_y = read[own], y[own]
             src.append(np.full(len(o_y), key, dtype=object))
             slots.append(np.arange(start + own.start, start + own.stop, dtype=np.int64))
             vals.append(o_y)
-            status.append(np.where(o_read, STATUS_READ, np.where(np.isfinite(o_y), STATUS_FILLED, STATUS_MARKED)))
+            status.append(np.where(o_read, STATUS_READ, np.where(np.isfinite(o_y), how, STATUS_MARKED)))
         if src:
             v = np.concatenate(vals)
             yield pd.DataFrame({"src": np.concatenate(src), "slot": np.concatenate(slots), "value": v, "status": np.concatenate(status)})
@@ -125,8 +126,8 @@ def regrid(
 ) -> DataFrame:
     """(source, slot_start, value, status): one row per source and slot from its first to its last reading.
 
-    status is `read`, `filled` (completed from the readings around it) or `marked` (the value is
-    null: fewer than min_seen of the block's slots were read, no reading lies on one side, or the
+    status is `read`, `filled` (completed from the readings around it by the imputation), `interpolated` (by a straight
+    line, in series of no more than two windows or of one value alone) or `marked` (the value is null: fewer than min_seen of the block's slots were read, no reading lies on one side, or the
     block's missing entries still moved by more than tol spreads after max_iter passes).
     Rows with a null source or stamp, or a null or NaN value, do not exist. In a slot the last
     reading counts, then the greatest `tie`. Empty tables give no rows; a single reading gives

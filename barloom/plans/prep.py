@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.columns import table
 from barloom.operators.profile import CountStore, changed_columns, profile, value_counts
-from barloom.operators.regrid import STATUS_READ, regrid
+from barloom.operators.regrid import STATUS_MARKED, STATUS_READ, regrid
 from barloom.operators.spikes import implausible_bars
 from barloom.operators.rolling import gate_days, trailing_totals
 from barloom.session import work_folder
@@ -129,13 +129,19 @@ def p5_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p5_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of p5_grid that SQL can say: every slot, what was read in it, and whether anything was."""
+    d, read = p5_grid(spark, sf_dir), F.col("status") == STATUS_READ
+    return d.select("symbol", "slot", F.round(F.when(read, F.col("value")), 9).alias("value"), read.alias("seen"), (F.col("value").isNull() == (F.col("status") == STATUS_MARKED)).alias("consistent"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours from a symbol's first to its last bar with a close in which no bar with a close falls."""
     return p5_grid(spark, sf_dir).where(F.col("status") != STATUS_READ).select("symbol", "slot")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_kinds": p1_kinds, "p3_found": p3_found, "p3_profile": p3_profile, "p3_profile_texts": p3_profile_texts, "p3_withdrawn": p3_withdrawn, "p4_found": p4_found, "p4_trailing": p4_trailing, "p5_found": p5_found, "p5_grid": p5_grid}
+    return {"p1_found": p1_found, "p1_kinds": p1_kinds, "p3_found": p3_found, "p3_profile": p3_profile, "p3_profile_texts": p3_profile_texts, "p3_withdrawn": p3_withdrawn, "p4_found": p4_found, "p4_trailing": p4_trailing, "p5_found": p5_found, "p5_grid": p5_grid, "p5_read": p5_read}
 
 
 P4_FOUND_SQL = """
@@ -185,6 +191,15 @@ FROM g ANTI JOIN h ON g.symbol = h.symbol AND g.hour = h.hour
 """
 
 
+P5_READ_SQL = """
+WITH h AS (SELECT symbol, date_trunc('hour', ts) AS hour, arg_max(close, (ts, bar_id)) AS value FROM panel_1h
+           WHERE symbol IS NOT NULL AND ts IS NOT NULL AND close IS NOT NULL AND NOT isnan(close) GROUP BY 1, 2),
+g AS (SELECT symbol, unnest(generate_series(min(hour), max(hour), INTERVAL 1 HOUR)) AS hour FROM h GROUP BY symbol)
+SELECT g.symbol, strftime(g.hour, '%Y-%m-%d %H:%M:%S') AS slot, round(h.value, 9) AS value, h.value IS NOT NULL AS seen, true AS consistent
+FROM g LEFT JOIN h ON g.symbol = h.symbol AND g.hour = h.hour
+"""
+
+
 #: Columns by table and kind; stamps without zone are compared as their text.
 _TYPES = {
     "raw_1m": (["row_id", "open", "high", "low", "close", "volume", "quote_volume", "taker_buy_base", "taker_buy_quote", "trades"], ["symbol", "ts", "ingested_at"]),
@@ -235,4 +250,4 @@ def _withdrawn_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_profile": _profile_sql(), "p3_profile_texts": _profile_sql(_TEXT_TYPES), "p3_withdrawn": _withdrawn_sql(), "p4_found": P4_FOUND_SQL, "p4_trailing": P4_TRAILING_SQL, "p5_found": P5_FOUND_SQL}
+    return {"p3_profile": _profile_sql(), "p3_profile_texts": _profile_sql(_TEXT_TYPES), "p3_withdrawn": _withdrawn_sql(), "p4_found": P4_FOUND_SQL, "p4_trailing": P4_TRAILING_SQL, "p5_found": P5_FOUND_SQL, "p5_read": P5_READ_SQL}
