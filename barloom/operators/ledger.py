@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import pick
+from barloom.session import cut
 
 IDENTITY = ("config_hash", "symbol", "evaluator", "panel_hash", "code_hash")
 
@@ -46,24 +49,59 @@ class Ledger:
 
     def __init__(self, spark: SparkSession, folder: str, create: bool = False):
         self.spark, self.folder = spark, folder.rstrip("/")
-        jvm = spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.folder)
-        self._there = lambda: path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
         if not create and not self._there():
             raise FileNotFoundError(f"no ledger at {folder}")
 
+    def _there(self) -> bool:
+        at = self._path(self.folder)
+        return self._fs.exists(at) and any(not f.getPath().getName().startswith("_") for f in self._fs.listStatus(at))
+
     def trials(self) -> DataFrame | None:
         """All rows; parts written before a column was added show null in it."""
         return self.spark.read.option("mergeSchema", True).parquet(self.folder) if self._there() else None
 
+    @contextmanager
+    def _alone(self, patience_s: float = 60.0) -> Iterator[None]:
+        """One writer at a time: a file that only one can create. One that a dead writer left must be removed by hand."""
+        lock, end = self._path(f"{self.folder}/_writing"), time.monotonic() + patience_s
+        self._fs.mkdirs(self._path(self.folder))
+        while True:
+            try:
+                self._fs.create(lock, False).close()
+                break
+            except Exception as e:  # noqa: BLE001
+                if "AlreadyExists" not in str(e) or time.monotonic() > end:
+                    raise
+            time.sleep(0.2)
+        try:
+            yield
+        finally:
+            self._fs.delete(lock, False)
+
+    def record_each(self, batch: DataFrame) -> DataFrame:
+        """Append what is new; (identity..., trial_id, was_new), a row per identity of the batch, with the id it is held under.
+
+        The batch is evaluated once. Identities held already keep their first row.
+        """
+        with self._alone():
+            held, first = self.trials(), cut(first_of_identity(batch))
+            if held is None:
+                out = first.select(*IDENTITY, "trial_id", F.lit(True).alias("was_new"))
+                fresh = first
+            else:
+                old = pick(held, IDENTITY, ("created_utc", "trial_id")).select(F.col("trial_id").alias("__held"), *[F.col(c).alias(f"__{c}") for c in IDENTITY])
+                j = cut(first.join(old, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in IDENTITY], "left"))
+                out = j.select(*IDENTITY, F.coalesce("__held", "trial_id").alias("trial_id"), F.col("__held").isNull().alias("was_new"))
+                fresh = j.where(F.col("__held").isNull()).select(*first.columns)
+            if fresh.take(1):
+                fresh.write.mode("append").parquet(self.folder)
+            return out
+
     def record(self, batch: DataFrame) -> int:
-        """Append what is new and say how many rows that were; identities held already keep their first row."""
-        held = self.trials()
-        fresh = first_of_identity(batch) if held is None else new_rows(held, batch)
-        n = fresh.count()
-        if n:
-            fresh.write.mode("append").parquet(self.folder)
-        return n
+        """How many identities of a batch were new; see record_each."""
+        return self.record_each(batch).where("was_new").count()
 
     def merge(self, other: DataFrame) -> int:
         """Union with another ledger; merging nothing into nothing is refused, and a ledger never shrinks."""

@@ -33,22 +33,27 @@ def candidates(rows: DataFrame, *, hypothesis: str, signature: str, symbol: str,
     ok = rows.where(target_met(F.col(cagr), F.col(drawdown)))
     return ok.groupBy(hypothesis, signature).agg(
         F.array_sort(F.collect_set(symbol)).alias("symbols"), F.count_distinct(symbol).alias("n_symbols"), F.min(cagr).alias("worst_cagr"), F.max(cagr).alias("best_cagr")
-    ).orderBy(F.desc("n_symbols"), F.desc("best_cagr"), hypothesis, signature)
+    )
+
+
+CHECKS = ("symbols", "not_disqualified", "robustness", "execution", "holdout")
 
 
 def checked_state(c: DataFrame, *, disqualified: str, robust: str, executed: str, holdout: str) -> DataFrame:
-    """c with checks and state; each check is true, false or null where any symbol lacks the measurement."""
-    enough = F.col("n_symbols") >= K.TARGET_SYMBOLS
-    clean = ~F.col(disqualified)
-    checks = [enough, clean, F.col(robust), F.col(executed), F.col(holdout)]
-    failed = F.lit(False)
-    for x in checks:
-        failed = failed | F.coalesce(~x, F.lit(False))
-    early = checks[0]
-    for x in checks[1:4]:
-        early = early & F.coalesce(x, F.lit(False))
-    state = F.when(~failed & early & F.coalesce(F.col(holdout), F.lit(False)), "COMPLETE").when(~failed & early & F.col(holdout).isNull(), "VERIFIED_ON_DEVELOPMENT").otherwise("CANDIDATE_UNVERIFIED")
-    return c.withColumn("state", state)
+    """c with failed, unmeasured and state; each check is true, false or null where any symbol lacks the measurement."""
+    checks = dict(zip(CHECKS, [F.col("n_symbols") >= K.TARGET_SYMBOLS, ~F.col(disqualified), F.col(robust), F.col(executed), F.col(holdout)]))
+    named = lambda when: F.array_join(F.array_compact(F.array(*[F.when(when(x), F.lit(n)) for n, x in sorted(checks.items())])), ",")
+    d = c.withColumns({"failed": named(lambda x: F.coalesce(~x, F.lit(False))), "unmeasured": named(lambda x: x.isNull())})
+    clean, left = F.col("failed") == "", F.col("unmeasured")
+    state = F.when(clean & (left == ""), "COMPLETE").when(clean & (left == "holdout"), "VERIFIED_ON_DEVELOPMENT").otherwise("CANDIDATE_UNVERIFIED")
+    return d.withColumn("state", state)
+
+
+def overall_state(candidates: DataFrame) -> DataFrame:
+    """(state, candidates): the furthest that any candidate has come; NO_CANDIDATE without one."""
+    rank = F.when(F.col("state") == "COMPLETE", 3).when(F.col("state") == "VERIFIED_ON_DEVELOPMENT", 2).otherwise(1)
+    best = candidates.agg(F.coalesce(F.max(rank), F.lit(0)).alias("r"), F.count(F.lit(1)).alias("candidates"))
+    return best.select(F.element_at(F.array(*[F.lit(x) for x in ("NO_CANDIDATE", "CANDIDATE_UNVERIFIED", "VERIFIED_ON_DEVELOPMENT", "COMPLETE")]), F.col("r") + 1).alias("state"), "candidates")
 
 
 def best_within(rows: DataFrame, *, value: str, limit_on: str, limit: float, order: Sequence[str]) -> DataFrame:

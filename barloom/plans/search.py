@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom import constants as K
 from barloom.functions.columns import canon_symbol, table
-from barloom.operators import analytic, grid, inference, ledger, metrics, ops, robustness, rules, runner, signal, surface, verdict
+from barloom.operators import analytic, grid, inference, ledger, metrics, ops, report, robustness, rules, runner, signal, surface, verdict
 from barloom.operators.analytic import Plan
 from barloom.operators.cleaning import clean_bars, development
 from barloom.operators.panel import build_panel
@@ -79,10 +79,10 @@ def newest_per_cell(spark, sf):
 
 
 def pending_pairs(spark, sf):
-    """Pairs of hypothesis and symbol seen under SEALED_ONLY that development never measured."""
-    t = _trials(spark, sf).where(F.col("hypothesis_id").isNotNull())
-    want = t.where(F.col("holdout_state") == "SEALED_ONLY").select("hypothesis_id", "symbol").distinct()
-    return ledger.pending(want, t.where(F.col("holdout_state") == "DEVELOPMENT"), ["hypothesis_id", "symbol"])
+    """Pairs of hypothesis and symbol that texts name and no development trial has measured."""
+    want = table(spark, sf, "documents").select("hypothesis_id", "symbol").where(F.col("hypothesis_id").isNotNull() & F.col("symbol").isNotNull()).distinct()
+    done = _trials(spark, sf).where((F.col("holdout_state") == "DEVELOPMENT") & F.col("hypothesis_id").isNotNull())
+    return ledger.pending(want, done, ["hypothesis_id", "symbol"])
 
 
 def measured_symbols(spark, sf):
@@ -163,9 +163,13 @@ def modal_horizon(spark, sf):
     return inference.modal(_grid_outcomes(spark, sf), "horizon", "cell", ["symbol"])
 
 
+#: The horizon that most cells share, the first of those that tie: only cells of one horizon are columns of one matrix.
+MODAL_HORIZON = max(dict.fromkeys(p.horizon for p in PLANS), key=[p.horizon for p in PLANS].count)
+
+
 def _shared_matrix(spark, sf) -> DataFrame:
-    """Cells of one stride on the starts that all of them have; read several times, so it is written once."""
-    d = cut(_grid_outcomes(spark, sf, lambda i: i % len(GRID["stride"]) == 1).select("symbol", "cell", "start_idx", "tm"))
+    """All cells of the modal horizon on the starts that all of them have; read several times, so it is written once."""
+    d = cut(_grid_outcomes(spark, sf, lambda i: PLANS[i].horizon == MODAL_HORIZON).select("symbol", "cell", "start_idx", "tm"))
     return d.join(inference.common_starts(d, "cell", "start_idx", ["symbol"]), ["symbol", "start_idx"])
 
 
@@ -208,7 +212,10 @@ def overfitting_signals(spark, sf):
     w = Window.partitionBy("symbol", "cell").orderBy("bar_idx")
     x = F.log(F.greatest(F.col("equity"), F.lit(1e-12)))
     perf = cut(out.withColumn("r", F.coalesce(x - F.lag(x).over(w), F.lit(0.0))).select("symbol", "bar_idx", "cell", "r"))
-    return inference.overfitting(inference.split_scores(perf, row="bar_idx", cfg="cell", value="r", by=["symbol"]), cfg="cell", by=["symbol"])
+    # Levels that trade alike have the same scores: the order of summation must not rank them.
+    scores = inference.split_scores(perf, row="bar_idx", cfg="cell", value="r", by=["symbol"]).withColumns({c: F.round(c, 12) for c in ("inside", "outside")})
+    d = inference.overfitting(scores, cfg="cell", by=["symbol"])
+    return d.select("symbol", "splits", "configurations", rnd("pbo", 6), rnd("degraded_fraction", 6), rnd("median_logit", 6), "verdict")
 
 
 DCA_CELLS = [
@@ -274,7 +281,8 @@ def _rule_equity(p: DataFrame, a: Account = ACCOUNT, rule: Rule = RULE) -> DataF
 
 def cost_stress(spark, sf):
     p = rules.signals(panel(spark, sf), RULE)
-    return robustness.stressed(lambda a: signal.trade_summary(signal.trades(p, a)).select("symbol", F.col("pnl_total").alias("value")), ACCOUNT, value="value")
+    d = robustness.stressed(lambda a: signal.trade_summary(signal.trades(p, a)).select("symbol", F.col("pnl_total").alias("value")), ACCOUNT, value="value")
+    return d.select("symbol", rnd("plain", 4), rnd("stressed", 4), "survives")
 
 
 def walk_forward(spark, sf):
@@ -291,7 +299,8 @@ def walk_forward(spark, sf):
 
 def regime_consistency(spark, sf):
     p = panel(spark, sf)
-    return robustness.regime_consistency(p.select("symbol", "bar_idx", "close").join(_rule_equity(p), ["symbol", "bar_idx"]), window_bars=168)
+    d = robustness.regime_consistency(p.select("symbol", "bar_idx", "close").join(_rule_equity(p), ["symbol", "bar_idx"]), window_bars=168)
+    return d.select("symbol", rnd("up_return", 7), rnd("down_return", 7), "consistent")
 
 
 def clock_drift(spark, sf):
@@ -300,7 +309,7 @@ def clock_drift(spark, sf):
     out = []
     for minutes in (60, 1):
         p = build_panel(clean, minutes)
-        r = replace(RULE, timeframe_hours=1, step_hours=1)
+        r = replace(RULE, lookback_days=0.25, enter_level=60.0, timeframe_hours=1, step_hours=1)
         if minutes != 60:
             hourly = rules.signals(build_panel(clean, 60), r).select("symbol", F.col("ts").alias("__h"), "entry", "exit")
             at = F.expr("ts - make_dt_interval(0, 0, 0, CAST(pmod(timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts), 3600) AS DECIMAL(18, 6)))").cast("timestamp_ntz")
@@ -342,6 +351,46 @@ def target_candidates(spark, sf):
     return c.select("hypothesis_id", "signature", F.array_join("symbols", ",").alias("symbols"), "n_symbols", "worst_cagr", "best_cagr")
 
 
+def _candidates(spark, sf) -> DataFrame:
+    """Parameters that meet the target on some symbol, with what the ledger says of each check; null is unmeasured.
+
+    The ledger of accumulation plans stands in for growth by its multiple and for drawdown by its liquidation rate.
+    """
+    t = ledger.newest_per_cell(_trials(spark, sf).where(F.col("hypothesis_id").isNotNull()), ("hypothesis_id", "symbol", "config_hash", "holdout_state"))
+    sig = F.concat_ws("|", *[F.coalesce(_config(k), F.lit("~")) for k in ("contribution", "gate", "include_funding", "leverage", "n_contributions", "stop_loss", "stride_days", "take_profit")])
+    num = lambda k: ledger.json_number("metrics_json", k)
+    r = t.select("hypothesis_id", sig.alias("signature"), "symbol", "evaluator", "holdout_state", num("tm_q05").alias("cagr"), num("liquidation_rate").alias("dd"), num("mwrr_q05").alias("rate"))
+    met = surface.target_met(F.col("cagr"), F.col("dd"))
+    dev = r.where(F.col("holdout_state") == "DEVELOPMENT")
+    c = verdict.candidates(dev, hypothesis="hypothesis_id", signature="signature", symbol="symbol", cagr="cagr", drawdown="dd")
+    known = lambda x: F.when(F.count(x) == F.count(F.lit(1)), F.bool_and(x))
+    checks = dev.where(met).groupBy("hypothesis_id", "signature").agg(
+        F.bool_or(F.col("dd") > 0.05).alias("disqualified"), known(F.col("rate") > 0).alias("robust"), known(F.when(F.col("evaluator") == "simulate", F.col("dd") <= 0.1)).alias("executed"),
+    )
+    sealed = r.where(F.col("holdout_state") == "SEALED_ONLY").groupBy("hypothesis_id", "signature").agg(F.bool_and(met).alias("holdout"))
+    keys = ["hypothesis_id", "signature"]
+    return verdict.checked_state(c.join(checks, keys).join(sealed, keys, "left"), disqualified="disqualified", robust="robust", executed="executed", holdout="holdout")
+
+
+def stop_condition(spark, sf):
+    """How far every candidate has come on the way to the target."""
+    return _candidates(spark, sf).select("hypothesis_id", "signature", "n_symbols", "failed", "unmeasured", "state")
+
+
+def stop_state(spark, sf):
+    return verdict.overall_state(_candidates(spark, sf))
+
+
+def cycle_report(spark, sf):
+    """The lines of the cycle's report: project, families, the best cell of every hypothesis and symbol, closed hypotheses."""
+    t = _trials(spark, sf)
+    r = _recorded(spark, sf).where(F.col("tm_q05").isNotNull())
+    head = disqualifiers(spark, sf).join(r.select("trial_id", F.col("tm_q05").alias("value")), "trial_id").select("hypothesis_id", "symbol", "value", "reasons")
+    # A hypothesis with enough cells none of which ends above what was put in is answered.
+    closed = r.groupBy("hypothesis_id").agg(F.max("tm_q05").alias("best"), F.count(F.lit(1)).alias("n")).where((F.col("best") <= 1.0) & (F.col("n") >= 3)).select("hypothesis_id", F.concat(F.lit("no cell of "), F.col("n").cast("string"), F.lit(" above 1")).alias("reason"))
+    return report.cycle_report(t, head, closed).select("section", "subject", "symbol", rnd("value", 9), "text")
+
+
 def best_within_limit(spark, sf):
     d = verdict.best_within(_recorded(spark, sf), value="mwrr_q05", limit_on="liquidation_rate", limit=0.005, order=["trial_id"])
     return d.select("which", "trial_id", "mwrr_q05", "liquidation_rate")
@@ -401,15 +450,7 @@ def listed_symbols(spark, sf):
 
 
 def merged_settlements(spark, sf):
-    f = table(spark, sf, "funding").where((canon_symbol("symbol") == "VORXUSDT") & F.col("ts").isNotNull())
-    f = f.withColumn("ms", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000))
-    cut = F.lit("2019-09-01").cast("timestamp_ntz")
-    d = readers.settlements([f.where(F.col("ts") < cut), f.where(F.col("ts") >= cut)], ms="ms", rate="funding_rate", hours="interval_hours")
-    return d.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS").alias("ts"))
-
-
-def merged_settlements_all(spark, sf):
-    """The merge of merged_settlements over every symbol, with rate and interval."""
+    """Settlements of two overlapping deliveries, one of each symbol and stamp, with rate and interval."""
     f = table(spark, sf, "funding").withColumn("symbol", canon_symbol("symbol")).where(F.col("symbol").isNotNull() & F.col("ts").isNotNull())
     f = f.withColumn("ms", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000))
     cut = F.lit("2019-09-01").cast("timestamp_ntz")
@@ -423,11 +464,11 @@ def complete_days(spark, sf):
 
 
 def missing_days(spark, sf):
-    """Days between a symbol's first and last reading on which it has none."""
+    """Days between a symbol's first and last reading whose readings are too few, so that they are to be fetched again."""
     d = table(spark, sf, "positioning").withColumn("symbol", canon_symbol("symbol")).where(F.col("symbol").isNotNull() & F.col("ts").isNotNull())
     span = d.groupBy("symbol").agg(F.to_date(F.min("ts")).alias("a"), F.to_date(F.max("ts")).alias("b"))
     want = span.select("symbol", F.explode(F.sequence("a", "b")).alias("day"))
-    return readers.missing_days(want, d).select("symbol", F.date_format("day", "yyyy-MM-dd").alias("day"))
+    return readers.missing_days(want, readers.complete_days(d, per_day=130)).select("symbol", F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
 def resumed_ingest(spark, sf):
@@ -451,6 +492,53 @@ def development_rows(spark, sf):
     return d.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"), F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("first_ts"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("last_ts"))
 
 
+def _robust_sql() -> dict[str, str]:
+    from barloom.plans import tracks
+
+    lines = tracks.reversion_signals()
+    deal = lambda a: f"(SELECT * FROM ({tracks.deals(lines, a)} SELECT symbol, sum(pnl) AS v FROM deal GROUP BY symbol))"
+    cells = " UNION ALL ".join(f"SELECT symbol, {i} AS cell, bar_idx AS start_idx, equity FROM ({tracks.deals(tracks.reversion_signals(x), ACCOUNT)} SELECT symbol, bar_idx, equity FROM line)" for i, x in enumerate(RULE_LEVELS))
+    return {
+        "cost_stress": f"""SELECT symbol, round(p.v, 4) + 0.0 AS plain, round(s.v, 4) + 0.0 AS stressed, coalesce(s.v > 0, false) AS survives FROM {deal(ACCOUNT)} p FULL JOIN {deal(robustness.cost_stressed(ACCOUNT))} s USING (symbol)""",
+        "regime_consistency": f"""{tracks.deals(lines, ACCOUNT)}, g AS (SELECT symbol, bar_idx, CASE WHEN lag(close, 168) OVER {WIN}) IS NULL THEN 0 WHEN close > lag(close, 168) OVER {WIN}) THEN 1 ELSE -1 END AS g FROM panel),
+x AS (SELECT symbol, bar_idx, ln(greatest(equity, 1e-12)) - lag(ln(greatest(equity, 1e-12))) OVER {WIN}) AS r FROM line),
+a AS (SELECT symbol, sum(r) FILTER (WHERE g = 1) AS up, sum(r) FILTER (WHERE g = -1) AS down FROM g JOIN x USING (symbol, bar_idx) GROUP BY symbol)
+SELECT symbol, round(up, 7) + 0.0 AS up_return, round(down, 7) + 0.0 AS down_return, coalesce(up > 0 AND down > 0, false) AS consistent FROM a""",
+        "overfitting_signals": f"""WITH e AS ({cells}), mat AS (SELECT symbol, cell, start_idx, coalesce(ln(greatest(equity, 1e-12)) - lag(ln(greatest(equity, 1e-12))) OVER (PARTITION BY symbol, cell ORDER BY start_idx), 0.0) AS tm FROM e),
+{SPLITS[SPLITS.index("rws AS"):]}, sr AS (SELECT symbol, split, cell, round(inside, 12) AS inside, round(outside, 12) AS outside FROM sc),
+rk AS (SELECT *, row_number() OVER (PARTITION BY symbol, split ORDER BY inside DESC, cell) AS i, row_number() OVER (PARTITION BY symbol, split ORDER BY outside, cell) AS o,
+  count(*) OVER (PARTITION BY symbol, split) AS g FROM sr), w AS (SELECT *, ln((o / (g + 1)) / (1 - o / (g + 1))) AS l FROM rk WHERE i = 1 AND g >= 2),
+a AS (SELECT symbol, count(*) AS splits, max(g) AS configurations, avg((l <= 0)::INT) AS pbo, avg((outside < inside)::INT) AS deg, quantile_cont(l, 0.5) AS ml FROM w GROUP BY symbol)
+SELECT symbol, splits, configurations, round(pbo, 6) AS pbo, round(deg, 6) AS degraded_fraction, round(ml, 6) + 0.0 AS median_logit, CASE WHEN pbo >= 0.5 THEN 'NOISE' WHEN pbo >= 0.25 THEN 'WEAK' ELSE 'INFORMATIVE' END AS verdict FROM a""",
+    }
+
+
+def _state_sql(sig: str) -> dict[str, str]:
+    num = lambda k: f"TRY_CAST(json_extract_string(metrics_json, '$.{k}') AS DOUBLE)"
+    base = f"""WITH nw AS (SELECT *, row_number() OVER (PARTITION BY hypothesis_id, symbol, config_hash, holdout_state ORDER BY created_utc DESC, trial_id DESC) AS k FROM trials WHERE hypothesis_id IS NOT NULL),
+r AS (SELECT hypothesis_id, {sig} AS signature, symbol, evaluator, holdout_state, {num('tm_q05')} AS c, {num('liquidation_rate')} AS d, {num('mwrr_q05')} AS rate FROM nw WHERE k = 1),
+m AS (SELECT *, coalesce(c >= 1.0 AND d <= 0.25, false) AS met FROM r),
+cand AS (SELECT hypothesis_id, signature, count(DISTINCT symbol) AS n_symbols, bool_or(d > 0.05) AS disq, CASE WHEN count(rate) = count(*) THEN bool_and(rate > 0) END AS robust,
+  CASE WHEN count(*) = count_if(evaluator = 'simulate') THEN bool_and(d <= 0.1) END AS executed FROM m WHERE holdout_state = 'DEVELOPMENT' AND met GROUP BY 1, 2),
+seal AS (SELECT hypothesis_id, signature, bool_and(met) AS holdout FROM m WHERE holdout_state = 'SEALED_ONLY' GROUP BY 1, 2),
+z AS (SELECT cand.*, holdout FROM cand LEFT JOIN seal USING (hypothesis_id, signature)),
+y AS (SELECT hypothesis_id, signature, n_symbols, concat_ws(',', CASE WHEN NOT executed THEN 'execution' END, CASE WHEN NOT holdout THEN 'holdout' END, CASE WHEN disq THEN 'not_disqualified' END, CASE WHEN NOT robust THEN 'robustness' END,
+  CASE WHEN n_symbols < 3 THEN 'symbols' END) AS failed, concat_ws(',', CASE WHEN executed IS NULL THEN 'execution' END, CASE WHEN holdout IS NULL THEN 'holdout' END, CASE WHEN robust IS NULL THEN 'robustness' END) AS unmeasured FROM z),
+x AS (SELECT *, CASE WHEN failed = '' AND unmeasured = '' THEN 'COMPLETE' WHEN failed = '' AND unmeasured = 'holdout' THEN 'VERIFIED_ON_DEVELOPMENT' ELSE 'CANDIDATE_UNVERIFIED' END AS state FROM y)"""
+    return {
+        "stop_condition": f"{base} SELECT hypothesis_id, signature, n_symbols, failed, unmeasured, state FROM x",
+        "stop_state": f"{base} SELECT CASE WHEN count(*) = 0 THEN 'NO_CANDIDATE' WHEN bool_or(state = 'COMPLETE') THEN 'COMPLETE' WHEN bool_or(state = 'VERIFIED_ON_DEVELOPMENT') THEN 'VERIFIED_ON_DEVELOPMENT' ELSE 'CANDIDATE_UNVERIFIED' END AS state, count(*) AS candidates FROM x",
+        "cycle_report": f"""WITH {NEWEST}, b AS (SELECT *, row_number() OVER (PARTITION BY hypothesis_id, symbol ORDER BY tm DESC, trial_id) AS j FROM recorded WHERE tm IS NOT NULL AND NOT isnan(tm)),
+shut AS (SELECT hypothesis_id, count(*) AS n FROM recorded WHERE tm IS NOT NULL GROUP BY 1 HAVING max(tm) <= 1.0 AND count(*) >= 3),
+h AS (SELECT *, concat_ws('; ', CASE WHEN tm <= 1.0 THEN 'at or below 1.0' END, CASE WHEN lr IS NULL THEN 'shape unmeasured' WHEN lr > 0.05 THEN 'spike' END,
+  CASE WHEN n_starts IS NULL THEN 'path count unmeasured' WHEN n_starts / 1000.0 < 5 THEN format('{{:.2f}}', n_starts / 1000.0) || ' paths' END, 'search test unmeasured') AS reasons FROM b WHERE j = 1)
+SELECT 'project' AS section, 'trials' AS subject, NULL AS symbol, CAST(count(*) AS DOUBLE) AS value, max(created_utc) AS text FROM trials
+UNION ALL SELECT 'family', family, NULL, CAST(count(*) AS DOUBLE), CAST(count(DISTINCT hypothesis_id) AS VARCHAR) FROM trials GROUP BY family
+UNION ALL SELECT 'headline', hypothesis_id, symbol, round(tm, 9), CASE WHEN reasons = '' THEN 'CLEARS EVERY CHECK' ELSE reasons END FROM h WHERE hypothesis_id NOT IN (SELECT hypothesis_id FROM shut)
+UNION ALL SELECT 'closed', hypothesis_id, NULL, NULL, 'no cell of ' || n || ' above 1' FROM shut""",
+    }
+
+
 def _trial_sql() -> dict[str, str]:
     from barloom.plans import tracks
 
@@ -484,8 +572,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = [
         ledger_first, ledger_union, ledger_new, ledger_attributions, ledger_families, ledger_runs, ledger_best, ledger_revisions, newest_per_cell, pending_pairs, measured_symbols,
         symbol_sets, uses_closed_form, skip_reasons, grid_expand, surface_best, plateau, common_starts, modal_horizon, split_scores, overfitting, overfitting_best, overfitting_signals, dca_trials, dca_unmeasured, signal_trials, signal_unmeasured, synthetic_paths, best_of_grid,
-        cost_stress, walk_forward, regime_consistency, clock_drift, disqualifiers, target_candidates, best_within_limit, vote_tally, duty_cycle, merged_timeline, findings,
-        survivorship, hashed_sample, listed_symbols, merged_settlements, merged_settlements_all, complete_days, missing_days, resumed_ingest, lifecycle, development_rows,
+        cost_stress, walk_forward, regime_consistency, clock_drift, disqualifiers, target_candidates, best_within_limit, stop_condition, stop_state, cycle_report, vote_tally, duty_cycle, merged_timeline, findings,
+        survivorship, hashed_sample, listed_symbols, merged_settlements, complete_days, missing_days, resumed_ingest, lifecycle, development_rows,
     ]
     return {f.__name__: f for f in names}
 
@@ -519,9 +607,9 @@ WINDOW w AS (PARTITION BY symbol, bar_idx % {k} ORDER BY bar_idx ROWS BETWEEN CU
 
 SURFACE = "surf AS (SELECT symbol, cell, stride_ord, n_ord, round(quantile_cont(tm, 0.05), 9) AS v FROM outcomes GROUP BY ALL)"
 PEAK = "peak AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY v DESC, cell) AS k FROM surf)"
-SPLITS = """cnt AS (SELECT symbol, count(DISTINCT cell) AS g FROM outcomes WHERE stride_ord = 1 GROUP BY 1),
-com AS (SELECT o.symbol, start_idx FROM outcomes o JOIN cnt USING (symbol) WHERE stride_ord = 1 GROUP BY o.symbol, start_idx, cnt.g HAVING count(DISTINCT cell) = cnt.g),
-mat AS (SELECT o.* FROM outcomes o JOIN com USING (symbol, start_idx) WHERE stride_ord = 1),
+SPLITS = f"""cnt AS (SELECT symbol, count(DISTINCT cell) AS g FROM outcomes WHERE horizon = {MODAL_HORIZON} GROUP BY 1),
+com AS (SELECT o.symbol, start_idx FROM outcomes o JOIN cnt USING (symbol) WHERE horizon = {MODAL_HORIZON} GROUP BY o.symbol, start_idx, cnt.g HAVING count(DISTINCT cell) = cnt.g),
+mat AS (SELECT o.* FROM outcomes o JOIN com USING (symbol, start_idx) WHERE horizon = {MODAL_HORIZON}),
 rws AS (SELECT symbol, start_idx, ntile(10) OVER (PARTITION BY symbol ORDER BY start_idx) - 1 AS b FROM (SELECT DISTINCT symbol, start_idx FROM mat)),
 blk AS (SELECT symbol, cell, b, sum(tm) AS s, count(*) AS n FROM mat JOIN rws USING (symbol, start_idx) GROUP BY ALL),
 spl AS (SELECT i AS split FROM range(1024) r(i) WHERE bit_count(i::INTEGER) = 5),
@@ -536,7 +624,7 @@ def oracle_sql() -> dict[str, str]:
     num = lambda k: f"TRY_CAST({_cfg(k)} AS DOUBLE)"
     pos = "pos AS (SELECT *, upper(trim(symbol)) AS s FROM positioning WHERE symbol IS NOT NULL)"
     sig = "concat_ws('|', " + ", ".join(f"coalesce({_cfg(k)}, '~')" for k in ("contribution", "gate", "include_funding", "leverage", "n_contributions", "stop_loss", "stride_days", "take_profit")) + ")"
-    return _trial_sql() | {
+    return _trial_sql() | _robust_sql() | _state_sql(sig) | {
         "ledger_first": f"WITH {FIRST} SELECT trial_id, symbol, evaluator, config_hash FROM first_of WHERE k = 1",
         "ledger_union": f"""WITH u AS (SELECT * FROM trials WHERE evaluator = 'analytic' OR created_utc < '2019-07-01' UNION ALL SELECT * FROM trials WHERE evaluator <> 'analytic' OR created_utc >= '2019-07-01'),
 f AS (SELECT *, row_number() OVER (PARTITION BY {IDENT} ORDER BY created_utc, trial_id) AS k FROM u) SELECT trial_id, config_hash FROM f WHERE k = 1""",
@@ -552,7 +640,7 @@ FROM trials GROUP BY run_id""",
 WHERE json_extract_string(metrics_json, '$.mwrr_q05') IS NOT NULL ORDER BY value DESC, trial_id LIMIT 10""",
         "ledger_revisions": "SELECT symbol, count(DISTINCT code_hash) AS code_revisions, count(DISTINCT panel_hash) AS panel_revisions FROM trials GROUP BY symbol",
         "newest_per_cell": """SELECT trial_id, hypothesis_id, symbol, config_hash FROM (SELECT *, row_number() OVER (PARTITION BY hypothesis_id, symbol, config_hash ORDER BY created_utc DESC, trial_id DESC) AS k FROM trials) WHERE k = 1""",
-        "pending_pairs": """SELECT DISTINCT hypothesis_id, symbol FROM trials t WHERE holdout_state = 'SEALED_ONLY' AND hypothesis_id IS NOT NULL AND NOT EXISTS
+        "pending_pairs": """SELECT DISTINCT hypothesis_id, symbol FROM documents t WHERE hypothesis_id IS NOT NULL AND symbol IS NOT NULL AND NOT EXISTS
   (SELECT 1 FROM trials d WHERE d.holdout_state = 'DEVELOPMENT' AND d.hypothesis_id = t.hypothesis_id AND d.symbol = t.symbol)""",
         "measured_symbols": f"SELECT DISTINCT symbol FROM ({sym('funding')}) WHERE symbol IN (SELECT symbol FROM trials)",
         "symbol_sets": f"""WITH b AS ({sym('panel_1h')}), f AS ({sym('funding')}), p AS ({sym('positioning')})
@@ -614,15 +702,15 @@ SELECT substr(sha256(concat_ws('|', file, what)), 1, 12) AS finding_id, file, wh
         "survivorship": f"""{g}, e AS (SELECT symbol, max(ts) AS z FROM panel GROUP BY 1), t AS (SELECT symbol, quantile_cont(tm, 0.5) AS tm FROM outcomes WHERE cell = 4 GROUP BY 1)
 SELECT z >= (SELECT max(z) FROM e) - INTERVAL 7 DAY AS alive, count(tm) AS n, round(quantile_cont(tm, 0.5), 8) AS median FROM t JOIN e USING (symbol) GROUP BY 1""",
         "listed_symbols": "SELECT DISTINCT symbol FROM raw_1m WHERE symbol IS NOT NULL",
-        "merged_settlements": "SELECT DISTINCT strftime(date_trunc('millisecond', ts), '%Y-%m-%d %H:%M:%S.%g') AS ts FROM funding WHERE upper(trim(symbol)) = 'VORXUSDT' AND ts IS NOT NULL",
-        "merged_settlements_all": """WITH f AS (SELECT upper(trim(symbol)) AS symbol, date_trunc('millisecond', ts) AS t, funding_rate, interval_hours, ts >= TIMESTAMP '2019-09-01' AS part FROM funding
+        "merged_settlements": """WITH f AS (SELECT upper(trim(symbol)) AS symbol, date_trunc('millisecond', ts) AS t, funding_rate, interval_hours, ts >= TIMESTAMP '2019-09-01' AS part FROM funding
   WHERE symbol IS NOT NULL AND ts IS NOT NULL),
 k AS (SELECT *, row_number() OVER (PARTITION BY symbol, t ORDER BY part, funding_rate NULLS FIRST, interval_hours NULLS FIRST) AS k FROM f)
 SELECT symbol, strftime(t, '%Y-%m-%d %H:%M:%S.%g') AS ts, funding_rate, CAST(interval_hours AS DOUBLE) AS interval_hours FROM k WHERE k = 1""",
         "complete_days": f"""WITH {pos}, o AS (SELECT * FROM pos WHERE open_interest IS NOT NULL), g AS (SELECT s, CAST(ts AS DATE) AS d FROM o GROUP BY 1, 2 HAVING count(*) >= 97.5)
 SELECT reading_id, o.s AS symbol FROM o JOIN g ON o.s = g.s AND CAST(o.ts AS DATE) = g.d""",
-        "missing_days": f"""WITH {pos}, q AS (SELECT s, CAST(ts AS DATE) AS d FROM pos WHERE ts IS NOT NULL), w AS (SELECT s, CAST(unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS DATE) AS d FROM q GROUP BY s)
-SELECT w.s AS symbol, strftime(w.d, '%Y-%m-%d') AS day FROM w WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.s = w.s AND q.d = w.d)""",
+        "missing_days": f"""WITH {pos}, q AS (SELECT s, CAST(ts AS DATE) AS d, count(open_interest) AS n FROM pos WHERE ts IS NOT NULL GROUP BY 1, 2),
+w AS (SELECT s, CAST(unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS DATE) AS d FROM q GROUP BY s)
+SELECT w.s AS symbol, strftime(w.d, '%Y-%m-%d') AS day FROM w WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.s = w.s AND q.d = w.d AND q.n >= 97.5)""",
         "resumed_ingest": f"""WITH {pos}, k AS (SELECT reading_id, row_number() OVER (PARTITION BY s, ts ORDER BY ingested_at >= TIMESTAMP '2019-09-01' DESC, reading_id DESC) AS k FROM pos WHERE ts IS NOT NULL AND ingested_at IS NOT NULL)
 SELECT reading_id FROM k WHERE k = 1""",
         "lifecycle": "SELECT symbol, strftime(min(ts), '%Y-%m') AS first_month, strftime(max(ts), '%Y-%m') AS last_month, symbol IN (SELECT symbol FROM trials) AS still_listed FROM panel_1h WHERE symbol IS NOT NULL AND ts IS NOT NULL GROUP BY symbol",

@@ -225,10 +225,10 @@ def _cci(hours: int, width: int, src: str, name: str) -> str:
 {name} AS (SELECT p.*, {name}v.v AS {name}_v FROM panel p ASOF LEFT JOIN {name}v ON p.symbol = {name}v.symbol AND p.ts + INTERVAL 1 HOUR >= {name}v.e)"""
 
 
-def _two_sided(table: str, col: str, side: int, exit_level: float, extra: str = "true") -> str:
+def _two_sided(table: str, col: str, side: int, exit_level: float, extra: str = "true", level: float = 100.0) -> str:
     hot, cold = (1, -1) if side > 0 else (-1, 1)
     return f"""SELECT symbol, bar_idx, round({col}, 5) + 0.0 AS reading,
-  CAST(CASE WHEN {col} >= 100.0 AND {extra} THEN {hot} WHEN {col} <= -100.0 AND {extra} THEN {cold} ELSE 0 END AS INTEGER) AS entry, {col} IS NULL OR abs({col}) <= {exit_level} AS exit FROM {table}"""
+  CAST(CASE WHEN {col} >= {level} AND {extra} THEN {hot} WHEN {col} <= -{level} AND {extra} THEN {cold} ELSE 0 END AS INTEGER) AS entry, {col} IS NULL OR abs({col}) <= {exit_level} AS exit FROM {table}"""
 
 
 def _carry(enter: str, exit_: str, side: int) -> str:
@@ -277,8 +277,8 @@ def carry_signals(enter: str, exit_: str) -> str:
     return f"WITH RECURSIVE {_carry(enter, exit_, -1).removeprefix('WITH ').replace('SELECT symbol, bar_idx, round(v, 10)', 'sig AS (SELECT symbol, bar_idx, round(v, 10)').replace('FROM s)' + chr(10) + 'sig', 'FROM s),' + chr(10) + 'sig')})"
 
 
-def reversion_signals() -> str:
-    return f"WITH RECURSIVE {PANEL}, {_cci(1, 24, 'panel', 'f')}, sig AS ({_two_sided('f', 'f_v', -1, 0.0)})"
+def reversion_signals(level: float = 100.0) -> str:
+    return f"WITH RECURSIVE {PANEL}, {_cci(1, 24, 'panel', 'f')}, sig AS ({_two_sided('f', 'f_v', -1, 0.0, level=level)})"
 
 
 def plan_row(cell: int, p: PathPlan, evaluator: str, gate: str = "true", gate_ctes: str = "") -> str:

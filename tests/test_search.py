@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.operators import analytic, grid, inference, ledger, ops, robustness, surface, verdict
+from barloom.operators import analytic, grid, inference, ledger, ops, robustness, surface, verdict, report
 from barloom.operators.analytic import Plan
 from barloom.operators.grid import Hypothesis
 from barloom.operators.signal import Account
@@ -67,6 +67,8 @@ def test_the_first_write_wins_and_every_attribution_stays(spark, tmp_path):
     assert book.record(one) == 2 and book.record(one) == 0
     assert book.merge(trials(spark, [(9, 3, "H3", "a", None), (10, 3, "H3", "c", None)])) == 1
     assert sorted(r.trial_id for r in book.trials().collect()) == [2, 3, 10]
+    each = {(r.config_hash, r.trial_id, r.was_new) for r in book.record_each(trials(spark, [(20, 9, "H", "a", None), (21, 9, "H", "d", None), (22, 8, "H", "d", None)])).collect()}
+    assert each == {("a", 2, False), ("d", 22, True)}
     assert not any(hasattr(book, n) for n in ("update", "delete", "overwrite"))
     att = {(r.trial_id, r.hypothesis_id) for r in ledger.attributions(one).collect()}
     assert att == {(2, "H1"), (2, "H2")}
@@ -238,13 +240,32 @@ def test_reasons_come_in_order_and_unmeasured_is_no_pass(spark):
 def test_targets_count_one_set_of_parameters(spark):
     rows = [("H", "s1", x, 1.2, 0.2) for x in "ABC"] + [("H", "s2", "D", 9.0, 0.1), ("H", "s3", "E", 1.2, 0.3), ("H", "s3", "F", float("nan"), 0.1), ("H", "s3", "G", None, 0.1)]
     c = verdict.candidates(spark.createDataFrame(rows, "h string, sig string, symbol string, cagr double, dd double"), hypothesis="h", signature="sig", symbol="symbol", cagr="cagr", drawdown="dd")
-    assert [(r.sig, r.n_symbols) for r in c.collect()] == [("s1", 3), ("s2", 1)]
+    assert sorted((r.sig, r.n_symbols) for r in c.collect()) == [("s1", 3), ("s2", 1)]
     state = lambda *v: verdict.checked_state(spark.createDataFrame([v], "n_symbols int, d boolean, r boolean, e boolean, h boolean"), disqualified="d", robust="r", executed="e", holdout="h").first().state
     assert state(3, False, True, True, True) == "COMPLETE"
     assert state(3, False, True, True, None) == "VERIFIED_ON_DEVELOPMENT"
     assert state(3, False, None, True, None) == state(2, False, True, True, True) == state(3, True, True, True, True) == "CANDIDATE_UNVERIFIED"
 
 
+def test_stop_states_name_what_failed_and_what_is_unmeasured(spark):
+    rows = [(3, False, True, True, True), (3, True, None, True, None), (1, False, True, None, False)]
+    d = verdict.checked_state(spark.createDataFrame(rows, "n_symbols int, d boolean, r boolean, e boolean, h boolean"), disqualified="d", robust="r", executed="e", holdout="h")
+    assert {(r.failed, r.unmeasured) for r in d.collect()} == {("", ""), ("not_disqualified", "holdout,robustness"), ("holdout,symbols", "execution")}
+    assert verdict.overall_state(d).first().state == "COMPLETE" and verdict.overall_state(d.where("n_symbols = 9")).first().state == "NO_CANDIDATE"
+
+
+def test_cycle_report(spark):
+    t = spark.createDataFrame([("f", "H1", "2024"), ("f", "H2", "2025"), ("g", "H3", "2023")], "family string, hypothesis_id string, created_utc string")
+    head = spark.createDataFrame([("H1", "A", 1.5, ""), ("H2", "A", 0.5, "spike"), ("H3", "B", 9.0, "spike")], "hypothesis_id string, symbol string, value double, reasons string")
+    closed = spark.createDataFrame([("H3", "answered")], "hypothesis_id string, reason string")
+    d = report.cycle_report(t, head, closed)
+    assert sorted((r.section, r.subject, r.text) for r in d.collect()) == [
+        ("closed", "H3", "answered"), ("family", "f", "2"), ("family", "g", "1"), ("headline", "H1", "CLEARS EVERY CHECK"), ("headline", "H2", "spike"), ("project", "trials", "2025"),
+    ]
+    text = report.render(d, lines=1)
+    assert "## Headline" in text and "The first 1 rows" in text and "No cell clears" not in text
+
+
 def test_votes(spark):
     v = spark.createDataFrame([("x", "a", "CLOSE"), ("x", "b", "CLOSE"), ("y", "a", "CLOSE"), ("y", "b", "CONTINUE"), ("z", "a", "CLOSE"), ("z", "a", "CONTINUE"), ("z", "b", "CONTINUE")], "s string, v string, t string")
     assert {r.s: (r.voters, r.outcome) for r in verdict.vote_tally(v, subject="s", voter="v", vote="t").collect()} == {"x": (2, "CLOSE"), "y": (2, "SPLIT"), "z": (1, "CONTINUE")}
@@ -324,3 +345,17 @@ def test_routing_and_recording(spark, tmp_path):
     assert ledger.best(book.trials(), "tm_q50", 1).count() == 1
     s, skipped = runner.run_signals(p, [{"rule": "cci_reversion", "lookback_days": 1.0}, {"rule": "none"}, {"rule": "cci_reversion", "lookback_days": 1.0, "leverage": 60.0}])
     assert skipped[0][0] == 1 and {r.cell for r in s.collect()} == {0}
+
+
+def test_a_large_grid_is_one_plan(spark):
+    from barloom.operators import runner
+
+    rows = [("A", dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), i, 100.0 + i % 7, 99.0, 0.0) for i in range(300)]
+    p = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, bar_idx bigint, close double, low double, funding_rate double")
+    cells = [{"stride_days": s / 24, "n_contributions": n, "hold_days": 0.5, "leverage": lev, "include_funding": f} for s in range(2, 11) for n in (2, 3, 4) for lev in (1.0, 2.0, 3.0) for f in (True, False)]
+    d, skipped = runner.run_dca(p, cells)
+    plan = d._jdf.queryExecution().analyzed().toString()
+    assert len(cells) == 162 and not skipped
+    assert plan.count("FlatMapGroupsInPandas") == 1
+    got = {r.cell: (r.evaluator, r.n_starts) for r in d.collect()}
+    assert len(got) == 162 and got[0][0] == "simulate" and sum(e == "analytic" for e, _ in got.values()) == 27
