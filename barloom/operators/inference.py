@@ -156,10 +156,11 @@ def path_scores(
     seed: int = K.SEED,
     source: str = "symbol",
     per_task: int = 25,
+    keyed: bool = False,
 ) -> DataFrame:
     """(source, path_id, cell, value): a grid's scorer on every path of synthetic_paths, and on the observed closes as path -1.
 
-    The scorer maps the closes of all bars in their order to one value per cell. A path is made, scored and dropped
+    The scorer maps the closes of all bars in their order, and with `keyed` the source, to one value per cell. A path is made, scored and dropped
     inside a task: only the observed closes and the starts of blocks are shuffled, once per `per_task` paths. A
     source's closes are one array in a worker. A source of one bar has no returns and no rows.
     """
@@ -184,7 +185,7 @@ def path_scores(
                 if path >= 0:
                     at = (np.asarray(first, dtype=np.int64)[:, None] + np.arange(block)).ravel()[: len(r)] % len(r)
                     c = np.concatenate([close[:1], close[0] * np.exp(np.cumsum(r[at]))])
-                v = np.asarray(scorer(c), dtype=float)
+                v = np.asarray(scorer(c, key) if keyed else scorer(c), dtype=float)
                 out.append(pd.DataFrame({source: np.full(len(v), key, dtype=object), "path_id": path, "cell": np.arange(len(v)), "value": v}))
         return pd.concat(out)
 

@@ -52,6 +52,11 @@ def kept_counts(spark: SparkSession, sf_dir: str, name: str, columns: tuple[str,
     return store
 
 
+def p1_ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of p1_kinds that SQL can say: impossible and stuck rows."""
+    return p1_kinds(spark, sf_dir).where(F.col("kind") != "spike")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns of symbol_qa that depart plainly, in a load, from the loads around it; judged from the kept counts."""
     deltas = kept_counts(spark, sf_dir, "symbol_qa", QA_COLUMNS).by_load()
@@ -141,8 +146,23 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_kinds": p1_kinds, "p3_found": p3_found, "p3_profile": p3_profile, "p3_profile_texts": p3_profile_texts, "p3_withdrawn": p3_withdrawn, "p4_found": p4_found, "p4_trailing": p4_trailing, "p5_found": p5_found, "p5_grid": p5_grid, "p5_read": p5_read}
-
+    return {"p1_found": p1_found, "p1_kinds": p1_kinds, "p1_ruled": p1_ruled, "p3_found": p3_found, "p3_profile": p3_profile, "p3_profile_texts": p3_profile_texts, "p3_withdrawn": p3_withdrawn, "p4_found": p4_found, "p4_trailing": p4_trailing, "p5_found": p5_found, "p5_grid": p5_grid, "p5_read": p5_read}
+
+
+P1_RULED_SQL = r"""
+WITH t AS (SELECT *, regexp_replace(trim(ts), '[Z ]+$', '') AS x FROM raw_1m),
+m AS (SELECT *, CASE WHEN regexp_full_match(x, '[0-9]{13}') THEN CAST(x AS BIGINT) // 60000 WHEN regexp_full_match(x, '[0-9]{10}') THEN CAST(x AS BIGINT) // 60
+    ELSE epoch_us(coalesce(try_strptime(x, '%Y-%m-%d %H:%M:%S'), try_strptime(x, '%Y-%m-%dT%H:%M:%S'), try_strptime(x, '%Y/%m/%d %H:%M'), try_strptime(x, '%Y/%m/%d %H:%M:%S'), try_strptime(x, '%Y-%m-%d %H:%M'))) // 60000000 END AS minute,
+  coalesce(least(open, high, low, close) <= 0, false) OR coalesce(high < open, false) OR coalesce(high < low, false) OR coalesce(high < close, false) OR coalesce(low > open, false) OR coalesce(low > close, false)
+  OR coalesce(volume < 0, false) OR coalesce(taker_buy_base > abs(volume), false) AS bad FROM t),
+f AS (SELECT *, row_number() OVER (PARTITION BY symbol, minute ORDER BY ingested_at NULLS FIRST, row_id) AS k FROM m WHERE minute IS NOT NULL AND symbol IS NOT NULL),
+b AS (SELECT symbol, minute, open, high, low, close, volume, lag(open) OVER w AS o, lag(high) OVER w AS h, lag(low) OVER w AS l, lag(close) OVER w AS c, lag(volume) OVER w AS v FROM f WHERE k = 1
+      WINDOW w AS (PARTITION BY symbol ORDER BY minute)),
+g AS (SELECT *, sum(CASE WHEN open = o AND high = h AND low = l AND close = c THEN 0 ELSE 1 END) OVER w AS gp, sum(CASE WHEN volume = v THEN 0 ELSE 1 END) OVER w AS gv FROM b WINDOW w AS (PARTITION BY symbol ORDER BY minute)),
+n AS (SELECT *, count(*) OVER (PARTITION BY symbol, gp) AS np, count(*) OVER (PARTITION BY symbol, gv) AS nv FROM g)
+SELECT m.row_id, CASE WHEN bad THEN 'impossible' ELSE 'stuck' END AS kind FROM m LEFT JOIN n ON m.symbol = n.symbol AND m.minute = n.minute
+WHERE bad OR (np >= 6 AND m.open = n.open AND m.high = n.high AND m.low = n.low AND m.close = n.close) OR (nv >= 6 AND n.volume > 0 AND m.volume = n.volume)
+"""
 
 P4_FOUND_SQL = """
 WITH d AS (
@@ -250,4 +270,4 @@ def _withdrawn_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_profile": _profile_sql(), "p3_profile_texts": _profile_sql(_TEXT_TYPES), "p3_withdrawn": _withdrawn_sql(), "p4_found": P4_FOUND_SQL, "p4_trailing": P4_TRAILING_SQL, "p5_found": P5_FOUND_SQL, "p5_read": P5_READ_SQL}
+    return {"p1_ruled": P1_RULED_SQL, "p3_profile": _profile_sql(), "p3_profile_texts": _profile_sql(_TEXT_TYPES), "p3_withdrawn": _withdrawn_sql(), "p4_found": P4_FOUND_SQL, "p4_trailing": P4_TRAILING_SQL, "p5_found": P5_FOUND_SQL, "p5_read": P5_READ_SQL}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom import constants as K
 from barloom.functions.columns import canon_symbol, table
-from barloom.operators import analytic, grid, inference, ledger, metrics, ops, report, robustness, rules, runner, signal, surface, verdict
+from barloom.operators import analytic, grid, inference, ledger, metrics, nulls, ops, report, robustness, rules, runner, signal, surface, verdict
 from barloom.operators.analytic import Plan
 from barloom.operators.cleaning import clean_bars, development
 from barloom.operators.panel import build_panel
@@ -269,10 +269,39 @@ def best_of_grid(spark, sf):
     return inference.best_of_grid(d.where(F.col("path_id") >= 0), seen, value="value")
 
 
+def _search_test(spark, sf, scorer, **how) -> DataFrame:
+    d = cut(inference.path_scores(panel(spark, sf), scorer, **how))
+    seen = d.where(F.col("path_id") < 0).groupBy("symbol").agg(F.max("value").alias("value"))
+    return inference.best_of_grid(d.where(F.col("path_id") >= 0), seen, value="value")
+
+
+def best_of_rates(spark, sf):
+    """The search test of accumulation plans by the 5 % quantile of their money-weighted rate."""
+    return _search_test(spark, sf, nulls.rate_scorer(PLANS))
+
+
+def best_of_signals(spark, sf):
+    """The search test of signal rules by the Calmar ratio, with a year of 500 bars so that short histories have one."""
+    return _search_test(spark, sf, nulls.calmar_scorer(SCORED_RULES, ACCOUNT, 500.0), keyed=True)
+
+
+def grid_rates(spark, sf):
+    """The observed side of best_of_rates: the rate's 5 % quantile of every cell."""
+    d = inference.path_scores(panel(spark, sf), nulls.rate_scorer(PLANS), paths=0)
+    return d.select("symbol", "cell", rnd("value", 5, "mwrr_q05"))
+
+
+def rule_calmars(spark, sf):
+    """The observed side of best_of_signals: the Calmar ratio of every cell on closes alone."""
+    d = inference.path_scores(panel(spark, sf), nulls.calmar_scorer(SCORED_RULES, ACCOUNT, 500.0), paths=0, keyed=True)
+    return d.select("symbol", "cell", rnd("value", 6, "calmar"))
+
+
 # Robustness of a signal rule
 
 RULE = Rule("cci_reversion", lookback_days=1, timeframe_hours=1)
 ACCOUNT = Account()
+SCORED_RULES = [replace(RULE, enter_level=x) for x in RULE_LEVELS]
 
 
 def _rule_equity(p: DataFrame, a: Account = ACCOUNT, rule: Rule = RULE) -> DataFrame:
@@ -496,9 +525,15 @@ def _robust_sql() -> dict[str, str]:
     from barloom.plans import tracks
 
     lines = tracks.reversion_signals()
+    flat = lambda level: "WITH RECURSIVE " + PANEL.replace("m.h AS high, m.l AS low", "m.c AS high, m.c AS low").replace("coalesce(m.f, 0.0) AS funding_rate", "0.0 AS funding_rate") + tracks.reversion_signals(level).split(PANEL, 1)[1]
+    rate = lambda i, p: f"""SELECT symbol, {i} AS cell, round(quantile_cont(rate, 0.05), 5) + 0.0 AS mwrr_q05 FROM ({_grid_sql().replace('WITH', 'WITH RECURSIVE', 1)}, o AS (SELECT symbol, start_idx, tm * {p.amount * p.n!r} AS term FROM outcomes WHERE cell = {i}),
+{tracks.rates('term', p.amount, p.n, p.stride / 8760.0, repr(p.horizon / 8760.0), 'o')} SELECT * FROM solved) GROUP BY symbol"""
+    ratio = lambda i, x: f"""SELECT symbol, {i} AS cell, round((CASE WHEN ratio <= 0 THEN -1.0 ELSE ratio ** (500.0 / (bars - 1)) - 1.0 END) / mdd, 6) + 0.0 AS calmar FROM ({tracks.deals(flat(x), ACCOUNT)}, {tracks.CURVE} SELECT * FROM k) WHERE (bars - 1) / 500.0 >= 1.0 AND mdd >= 1e-9"""
     deal = lambda a: f"(SELECT * FROM ({tracks.deals(lines, a)} SELECT symbol, sum(pnl) AS v FROM deal GROUP BY symbol))"
     cells = " UNION ALL ".join(f"SELECT symbol, {i} AS cell, bar_idx AS start_idx, equity FROM ({tracks.deals(tracks.reversion_signals(x), ACCOUNT)} SELECT symbol, bar_idx, equity FROM line)" for i, x in enumerate(RULE_LEVELS))
     return {
+        "grid_rates": " UNION ALL ".join(rate(i, p) for i, p in enumerate(PLANS)),
+        "rule_calmars": " UNION ALL ".join(ratio(i, x) for i, x in enumerate(RULE_LEVELS)),
         "cost_stress": f"""SELECT symbol, round(p.v, 4) + 0.0 AS plain, round(s.v, 4) + 0.0 AS stressed, coalesce(s.v > 0, false) AS survives FROM {deal(ACCOUNT)} p FULL JOIN {deal(robustness.cost_stressed(ACCOUNT))} s USING (symbol)""",
         "regime_consistency": f"""{tracks.deals(lines, ACCOUNT)}, g AS (SELECT symbol, bar_idx, CASE WHEN lag(close, 168) OVER {WIN}) IS NULL THEN 0 WHEN close > lag(close, 168) OVER {WIN}) THEN 1 ELSE -1 END AS g FROM panel),
 x AS (SELECT symbol, bar_idx, ln(greatest(equity, 1e-12)) - lag(ln(greatest(equity, 1e-12))) OVER {WIN}) AS r FROM line),
@@ -571,7 +606,7 @@ def _trial_sql() -> dict[str, str]:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = [
         ledger_first, ledger_union, ledger_new, ledger_attributions, ledger_families, ledger_runs, ledger_best, ledger_revisions, newest_per_cell, pending_pairs, measured_symbols,
-        symbol_sets, uses_closed_form, skip_reasons, grid_expand, surface_best, plateau, common_starts, modal_horizon, split_scores, overfitting, overfitting_best, overfitting_signals, dca_trials, dca_unmeasured, signal_trials, signal_unmeasured, synthetic_paths, best_of_grid,
+        symbol_sets, uses_closed_form, skip_reasons, grid_expand, surface_best, plateau, common_starts, modal_horizon, split_scores, overfitting, overfitting_best, overfitting_signals, dca_trials, dca_unmeasured, signal_trials, signal_unmeasured, synthetic_paths, best_of_grid, best_of_rates, best_of_signals, grid_rates, rule_calmars,
         cost_stress, walk_forward, regime_consistency, clock_drift, disqualifiers, target_candidates, best_within_limit, stop_condition, stop_state, cycle_report, vote_tally, duty_cycle, merged_timeline, findings,
         survivorship, hashed_sample, listed_symbols, merged_settlements, complete_days, missing_days, resumed_ingest, lifecycle, development_rows,
     ]
