@@ -184,11 +184,11 @@ def funding_drag(spark: SparkSession, sf: str) -> DataFrame:
     p = panel(spark, sf)
     has = p.groupBy("symbol").agg(F.bool_or("funding_settled").alias("has")).where("has").select("symbol")
     p = p.join(has, "symbol", "left_semi")
-    f = analytic.evaluate(p, PLAN, funding=True).withColumn("bill", F.col("funding_paid") / F.col("invested"))
+    # One evaluation has both: what is left after the bill, and what would have been left without it.
+    free = F.col("units") * F.col("final_price") * (1.0 - C_OUT) / F.col("invested")
+    f = analytic.evaluate(p, PLAN, funding=True).withColumns({"bill": F.col("funding_paid") / F.col("invested"), "free": F.when(free > 0, free)})
     q = lambda c, x, n: rnd(F.percentile(c, x), 8, n)
-    a = f.groupBy("symbol").agg(F.count(F.lit(1)).alias("starts"), q("bill", 0.5, "bill_q50"), q("bill", 0.95, "bill_q95"), q("terminal_multiple", 0.5, "funded_q50"))
-    free = analytic.evaluate(p, PLAN).groupBy("symbol").agg(q("terminal_multiple", 0.5, "free_q50"))
-    return a.join(free, "symbol")
+    return f.groupBy("symbol").agg(F.count(F.lit(1)).alias("starts"), q("bill", 0.5, "bill_q50"), q("bill", 0.95, "bill_q95"), q("terminal_multiple", 0.5, "funded_q50"), q("free", 0.5, "free_q50"))
 
 
 def universe_drag(spark: SparkSession, sf: str) -> DataFrame:
