@@ -290,20 +290,18 @@ def load_features(counts: DataFrame, load: str) -> DataFrame:
     keys = [load, "column_name", "feature", "bucket"]
     mag = F.floor(F.log2(F.lit(1.0) + F.abs("num")) * 2.0)
     size = F.when(F.col("num") == 0, F.lit(0.0)).otherwise(F.signum("num") * (mag + 1.0)).cast("bigint")
-    # Only forms can share a bucket.
-    part = lambda feature, bin_, bucket=None: F.struct(F.lit(feature).alias("feature"), (bin_ if bucket is None else bucket).cast("bigint").alias("bucket"), bin_.cast("bigint").alias("bin"))
     text = F.col("num").isNull() & F.col("txt").isNotNull()
-    form = F.xxhash64(value_form(F.col("txt")))
-    day = F.round(stamp_days(F.col("__t")))
-    parts = F.array(
-        part("null", null.cast("int")),
-        F.when(F.col("num").isNotNull(), part("size", size)),
-        F.when(text, part("form", form, F.pmod(form, F.lit(FORM_BUCKETS)))),
-        F.when(text & F.col("txt").isin("true", "false"), part("size", (F.col("txt") == "true").cast("int"))),
-        F.when(text, part("stamp", day)),
-    )
+    truth = F.when(text & F.col("txt").isin("true", "false"), (F.col("txt") == "true").cast("bigint"))
     ready = counts.withColumn("__t", F.rtrim(F.col("txt"), F.lit(" Z")))
-    binned = ready.select(load, "column_name", "n", F.explode(F.array_compact(parts)).alias("p")).select(load, "column_name", "p.*", "n")
+    # Values are first counted by all their bins together: few rows are left to be unfolded by feature.
+    flat = ready.select(
+        load, "column_name", "n", null.cast("bigint").alias("__null"), F.when(F.col("num").isNotNull(), size).otherwise(truth).alias("__size"),
+        F.when(text, F.xxhash64(value_form(F.col("txt")))).alias("__form"), F.when(text, F.round(stamp_days(F.col("__t")))).cast("bigint").alias("__stamp"),
+    ).groupBy(load, "column_name", "__null", "__size", "__form", "__stamp").agg(F.sum("n").alias("n"))
+    # Only forms can share a bucket.
+    part = lambda feature, bucket=None: F.struct(F.lit(feature).alias("feature"), (F.col(f"__{feature}") if bucket is None else bucket).alias("bucket"), F.col(f"__{feature}").alias("bin"))
+    parts = F.array(part("null"), part("size"), part("form", F.pmod("__form", F.lit(FORM_BUCKETS).cast("bigint"))), part("stamp"))
+    binned = flat.select(load, "column_name", "n", F.explode(parts).alias("p")).select(load, "column_name", "p.*", "n")
     bins = binned.where(F.col("bin").isNotNull()).groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
     tops = bins.groupBy(*keys).agg(F.sum("n").alias("n"), F.max("n").alias("m"), F.max_by("bin", F.struct("n", "bin")).alias("top"))
     rest = F.when(F.col("n") > F.col("m"), F.struct(F.col("bucket").alias("bin"), (F.col("n") - F.col("m")).alias("n")))
