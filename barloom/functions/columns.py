@@ -48,6 +48,14 @@ def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df, *keys):
+    """df partitioned by its keys into as many parts as there are tasks, for groups whose work is out of proportion to
+    their bytes: adaptive execution would merge them into one task, as it goes by bytes."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def pick(df, keys, order, largest: bool = False):
     """One row per key: the first in `order` (or the last). An aggregation, so copies of a key merge before
     the shuffle and no key is sorted in one task. Null keys are keys; null comes first in an order."""

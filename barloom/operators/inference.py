@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom import constants as K
+from barloom.functions.columns import spread
 
 
 def common_starts(df: DataFrame, cfg: str, start: str, by: Sequence[str] = ()) -> DataFrame:
@@ -189,5 +190,5 @@ def path_scores(
                 out.append(pd.DataFrame({source: np.full(len(v), key, dtype=object), "path_id": path, "cell": np.arange(len(v)), "value": v}))
         return pd.concat(out)
 
-    scored = rows.groupBy(source, "__part").applyInPandas(score, schema=f"`{source}` {kind}, path_id int, cell int, value double")
+    scored = spread(rows, source, "__part").groupBy(source, "__part").applyInPandas(score, schema=f"`{source}` {kind}, path_id int, cell int, value double")
     return scored.where(F.col("value").isNotNull() & ~F.isnan("value"))

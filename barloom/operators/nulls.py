@@ -25,8 +25,11 @@ def rate_scorer(plans: Sequence[Plan], q: float = 0.05, bars_per_year: float = K
     values, and only these are solved for.
     """
 
+    gap = np.array([p.stride / bars_per_year for p in plans])
+    n, amount, t = (np.array([float(f(p)) for p in plans]) for f in (lambda p: p.n, lambda p: p.amount, lambda p: p.horizon / bars_per_year))
+
     def score(close: np.ndarray) -> np.ndarray:
-        out, r = np.full(len(plans), np.nan), 1.0 / close
+        two, part, r = np.full((2, len(plans)), np.nan), np.zeros(len(plans)), 1.0 / close
         for i, p in enumerate(plans):
             m = len(close) - p.horizon
             if p.horizon == 0 or m <= 0:
@@ -34,11 +37,10 @@ def rate_scorer(plans: Sequence[Plan], q: float = 0.05, bars_per_year: float = K
             units = sum(r[j * p.stride : j * p.stride + m] for j in range(p.n))
             value = p.amount / (1.0 + p.c_in) * units * close[p.horizon :] * (1.0 - p.c_out)
             at = q * (m - 1)
-            k = int(np.floor(at))
-            two = np.partition(value, [k, min(k + 1, m - 1)])[[k, min(k + 1, m - 1)]]
-            a, b = mwrr(two, p.amount, p.n, p.stride / bars_per_year, p.horizon / bars_per_year)
-            out[i] = a + (b - a) * (at - k)
-        return out
+            k = [int(np.floor(at)), min(int(np.floor(at)) + 1, m - 1)]
+            two[:, i], part[i] = np.partition(value, k)[k], at - k[0]
+        low, high = mwrr(two, amount, n, gap, t)  # all plans at once
+        return low + (high - low) * part
 
     return score
 
