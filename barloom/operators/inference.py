@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom import constants as K
@@ -97,28 +97,46 @@ def block_starts(n: int, paths: int, block: int = K.BOOTSTRAP_BLOCK, seed: int =
     return np.random.default_rng(seed).integers(0, n, size=(paths, -(-n // block)))
 
 
-def synthetic_paths(spark: SparkSession, panel: DataFrame, *, paths: int = K.BOOTSTRAP_PATHS, block: int = K.BOOTSTRAP_BLOCK, seed: int = K.SEED, source: str = "symbol") -> DataFrame:
-    """(source, path_id, bar_idx, close): log returns resampled in wrapping blocks, cumulated from the first close.
+def _draws(panel: DataFrame, ids: Column, paths: int, block: int, seed: int, source: str, per_task: int) -> DataFrame:
+    """(source, __part, __c, __ids, __starts): a source's closes with the starts of blocks of a range of paths.
 
-    The starts of blocks are drawn by hashing (seed, source, path, block), so every worker draws the same
-    ones and nothing is sent; a path is one window of its own.
+    The starts are drawn by hashing (seed, source, path, block), so every worker draws the same ones. Sources of one
+    bar have no returns and no rows.
     """
-    w = Window.partitionBy(source).orderBy("bar_idx")
-    logc = F.log("close")
-    r = panel.select(source, "bar_idx", "close", (logc - F.lag(logc).over(w)).alias("__r"))
-    n = r.groupBy(source).agg((F.count(F.lit(1)) - 1).alias("__n"), F.min_by("close", "bar_idx").alias("__c0"), F.min("bar_idx").alias("__i0"))
-    slots = n.where(F.col("__n") > 0).withColumn("path_id", F.explode(F.sequence(F.lit(0), F.lit(paths - 1)))).withColumn(
-        "__k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__n") - 1) / block).cast("bigint")))
-    )
-    start = F.pmod(F.xxhash64(F.lit(seed), source, "path_id", "__k"), F.col("__n"))
-    off = F.explode(F.sequence(F.lit(0), F.lit(block - 1)))
-    pick = slots.withColumn("__start", start).withColumn("__off", off)
-    pick = pick.withColumn("__to", F.col("__k") * block + F.col("__off")).where(F.col("__to") < F.col("__n")).withColumn("__from", F.pmod(F.col("__start") + F.col("__off"), F.col("__n")))
-    returns = r.where(F.col("__r").isNotNull()).join(n.select(source, "__i0"), source).select(source, (F.col("bar_idx") - F.col("__i0") - 1).alias("__from"), "__r")
-    steps = pick.join(returns, [source, "__from"]).select(source, "path_id", (F.col("__to") + 1).alias("bar_idx"), "__c0", "__r")
-    zero = n.where(F.col("__n") > 0).withColumn("path_id", F.explode(F.sequence(F.lit(0), F.lit(paths - 1)))).select(source, "path_id", F.lit(0).cast("bigint").alias("bar_idx"), "__c0", F.lit(0.0).alias("__r"))
-    run = Window.partitionBy(source, "path_id").orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0)
-    return steps.unionByName(zero).select(source, "path_id", "bar_idx", (F.col("__c0") * F.exp(F.sum("__r").over(run))).alias("close"))
+    bars = F.array_sort(F.collect_list(F.struct("bar_idx", "close")))
+    series = panel.groupBy(source).agg(bars.alias("__b")).select(source, F.col("__b.close").alias("__c")).where(F.size("__c") > 1)
+    parts = series.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(paths // per_task))))
+    n = F.size("__c") - 1
+    ks = F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / block).cast("bigint"))
+    starts = F.transform(F.col("__ids"), lambda p: F.transform(ks, lambda k: F.pmod(F.xxhash64(F.lit(seed), F.col(source), p, k), n).cast("int")))
+    return spread(parts.withColumn("__ids", ids).where(F.size("__ids") > 0).withColumn("__starts", starts), source, "__part")
+
+
+def _path(close: np.ndarray, returns: np.ndarray, first: np.ndarray, block: int) -> np.ndarray:
+    """Closes from the first one on, by blocks of returns that wrap around the end."""
+    at = (np.asarray(first, dtype=np.int64)[:, None] + np.arange(block)).ravel()[: len(returns)] % len(returns)
+    return np.concatenate([close[:1], close[0] * np.exp(np.cumsum(returns[at]))])
+
+
+def synthetic_paths(spark: SparkSession, panel: DataFrame, *, paths: int = K.BOOTSTRAP_PATHS, block: int = K.BOOTSTRAP_BLOCK, seed: int = K.SEED, source: str = "symbol", per_task: int = 25) -> DataFrame:
+    """(source, path_id, bar_idx, close): log returns resampled in wrapping blocks, cumulated from the first close; bars are numbered from 0.
+
+    Paths are drawn and cumulated inside tasks: only the observed closes are shuffled, once per `per_task` paths.
+    """
+    part = F.col("__part") * per_task
+    ids = F.filter(F.transform(F.sequence(F.lit(0), F.lit(per_task - 1)), lambda k: part + k), lambda p: p < paths)
+    rows = _draws(panel, ids, paths, block, seed, source, per_task)
+    kind = panel.schema[source].dataType.simpleString()
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for key, close, path_ids, drawn in zip(pdf[source], pdf["__c"], pdf["__ids"], pdf["__starts"]):
+                close = np.asarray(close, dtype=float)
+                r = np.diff(np.log(close))
+                for path, first in zip(path_ids, drawn):
+                    yield pd.DataFrame({source: np.full(len(close), key, dtype=object), "path_id": np.int32(path), "bar_idx": np.arange(len(close)), "close": _path(close, r, first, block)})
+
+    return rows.drop("__part").mapInPandas(make, schema=f"`{source}` {kind}, path_id int, bar_idx bigint, close double")
 
 
 def best_of_grid(null_scores: DataFrame, observed: DataFrame, *, value: str, by: Sequence[str] = ("symbol",), paths: int = K.BOOTSTRAP_PATHS, alpha: float = K.ALPHA) -> DataFrame:
@@ -165,15 +183,9 @@ def path_scores(
     inside a task: only the observed closes and the starts of blocks are shuffled, once per `per_task` paths. A
     source's closes are one array in a worker. A source of one bar has no returns and no rows.
     """
-    bars = F.array_sort(F.collect_list(F.struct("bar_idx", "close")))
-    series = panel.groupBy(source).agg(bars.alias("__b")).select(source, F.col("__b.close").alias("__c")).where(F.size("__c") > 1)
-    parts = series.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(paths // per_task))))
-    n = F.size("__c") - 1
     ids = F.sequence(F.greatest(F.col("__part") * per_task - 1, F.lit(-1)), F.least(F.col("__part") * per_task + per_task - 2, F.lit(paths - 1)))
-    ks = F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / block).cast("bigint"))
     # The starts that synthetic_paths draws.
-    starts = F.transform(F.col("__ids"), lambda p: F.transform(ks, lambda k: F.pmod(F.xxhash64(F.lit(seed), F.col(source), p, k), n).cast("int")))
-    rows = parts.withColumn("__ids", ids).withColumn("__starts", starts)
+    rows = _draws(panel, ids, paths, block, seed, source, per_task)
     kind = panel.schema[source].dataType.simpleString()
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -182,13 +194,10 @@ def path_scores(
             close = np.asarray(close, dtype=float)
             r = np.diff(np.log(close))
             for path, first in zip(path_ids, drawn):
-                c = close
-                if path >= 0:
-                    at = (np.asarray(first, dtype=np.int64)[:, None] + np.arange(block)).ravel()[: len(r)] % len(r)
-                    c = np.concatenate([close[:1], close[0] * np.exp(np.cumsum(r[at]))])
+                c = close if path < 0 else _path(close, r, first, block)
                 v = np.asarray(scorer(c, key) if keyed else scorer(c), dtype=float)
                 out.append(pd.DataFrame({source: np.full(len(v), key, dtype=object), "path_id": path, "cell": np.arange(len(v)), "value": v}))
         return pd.concat(out)
 
-    scored = spread(rows, source, "__part").groupBy(source, "__part").applyInPandas(score, schema=f"`{source}` {kind}, path_id int, cell int, value double")
+    scored = rows.groupBy(source, "__part").applyInPandas(score, schema=f"`{source}` {kind}, path_id int, cell int, value double")
     return scored.where(F.col("value").isNotNull() & ~F.isnan("value"))
