@@ -57,6 +57,16 @@ def p1_ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_kinds(spark, sf_dir).where(F.col("kind") != "spike")
 
 
+def _counts(spark: SparkSession, sf_dir: str, name: str, without_newest: bool = False) -> DataFrame:
+    """What a table's store keeps; an empty table has no loads and no counts."""
+    store = kept_counts(spark, sf_dir, name)
+    loads = store.loads()
+    if without_newest and len(loads) > 1:
+        store.withdraw(max(loads))
+    kept = store.counts()
+    return value_counts(table(spark, sf_dir, name)) if kept is None else kept
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns of symbol_qa that depart plainly, in a load, from the loads around it; judged from the kept counts."""
     deltas = kept_counts(spark, sf_dir, "symbol_qa", QA_COLUMNS).by_load()
@@ -77,20 +87,13 @@ def p3_profile_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_withdrawn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The profile of symbol_qa after its newest load is withdrawn from the kept counts."""
-    store = kept_counts(spark, sf_dir, "symbol_qa")
-    loads = store.loads()
-    if len(loads) > 1:
-        store.withdraw(max(loads))
-    return _rounded(profile(store.counts()).select(F.lit("symbol_qa").alias("table_name"), "*"))
+    return _rounded(profile(_counts(spark, sf_dir, "symbol_qa", without_newest=True)).select(F.lit("symbol_qa").alias("table_name"), "*"))
 
 
 def _profiles(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> DataFrame:
     out = None
     for name in names:
-        counts = kept_counts(spark, sf_dir, name).counts()
-        if counts is None:
-            continue
-        part = profile(counts).select(F.lit(name).alias("table_name"), "*")
+        part = profile(_counts(spark, sf_dir, name)).select(F.lit(name).alias("table_name"), "*")
         out = part if out is None else out.unionByName(part)
     return _rounded(out)
 

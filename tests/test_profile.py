@@ -216,3 +216,10 @@ def test_every_column_of_the_large_tables_is_profiled(spark):
     sf = "/root/testdata/sf0.001"
     got = {(r[0], r[1]) for r in prep.p3_profile(spark, sf).union(prep.p3_profile_texts(spark, sf)).select("table_name", "column_name").collect()}
     assert got == {(n, c) for n in names for c in table(spark, sf, n).columns}
+
+
+def test_queries_over_empty_tables(spark, tmp_path):
+    for name in (*prep.PROFILED, *prep.PROFILED_TEXTS):
+        table(spark, "/root/testdata/sf0.001", name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    for q in (prep.p3_found, prep.p3_profile, prep.p3_profile_texts, prep.p3_withdrawn, prep.p1_found, prep.p4_found, prep.p5_found):
+        assert q(spark, f"file://{tmp_path}").collect() == []
