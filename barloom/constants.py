@@ -22,6 +22,7 @@ TARGET_CAGR, TARGET_MAX_DRAWDOWN, TARGET_SYMBOLS = 1.0, 0.25, 3
 POSITIONING_ROWS_PER_DAY, POSITIONING_MAX_MISSING = 288, 0.25
 COST_STRESS, MAX_CLOCK_DRIFT, RETENTION, REGIME_DAYS = 2.0, 0.10, 0.5, 30
 CSCV_BLOCKS = 10
+MIN_BLOCK_BARS = 720
 
 # Margin tiers as (cap, maintenance rate, cumulative amount, largest leverage).
 TIERS = {

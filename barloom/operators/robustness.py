@@ -17,13 +17,22 @@ def cost_stressed(a: Account, times: float = K.COST_STRESS) -> Account:
     return replace(a, fee_bps=a.fee_bps * times, slip_bps=a.slip_bps * times)
 
 
-def block_panels(panel: DataFrame, blocks: int = 4) -> DataFrame:
-    """panel keyed by (symbol, block), bars numbered anew in each block; every column stays in step."""
-    d = panel.withColumn("block", walk_block(blocks))
+def block_panels(panel: DataFrame, blocks: int = 4, least: int = K.MIN_BLOCK_BARS) -> DataFrame:
+    """panel keyed by (symbol, block), bars numbered anew in each block; every column stays in step.
+
+    A source whose blocks would be shorter than `least` bars is left out: a short block judges nothing. `short_blocks` names it.
+    """
+    n = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
+    d = panel.withColumn("__all", n).where(F.floor(F.col("__all") / blocks) >= least).drop("__all").withColumn("block", walk_block(blocks))
     w = Window.partitionBy("symbol", "block").orderBy("bar_idx")
     return d.withColumn("bar_idx", (F.row_number().over(w) - 1).cast("bigint"))
 
 
+def short_blocks(panel: DataFrame, blocks: int = 4, least: int = K.MIN_BLOCK_BARS) -> DataFrame:
+    """(symbol, bars): the sources that block_panels leaves out."""
+    return panel.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars")).where(F.floor(F.col("bars") / blocks) < least)
+
+
 def walk_forward(scores: DataFrame, *, by: str = "symbol", block: str = "block", cfg: str = "cell", value: str = "value", train: int = 2) -> DataFrame:
     """(by, chosen, trained, tested, retention): the best cell of the first blocks, and how it does in the later ones."""
     t = scores.groupBy(by, cfg).agg(F.avg(F.when(F.col(block) < train, F.col(value))).alias("trained"), F.avg(F.when(F.col(block) >= train, F.col(value))).alias("tested"))

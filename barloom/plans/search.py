@@ -314,16 +314,23 @@ def cost_stress(spark, sf):
     return d.select("symbol", rnd("plain", 4), rnd("stressed", 4), "survives")
 
 
+#: Bars of a block at least; the test tables have few symbols with four months of hourly bars.
+BLOCK_BARS = 100
+
+
 def walk_forward(spark, sf):
-    """Four contiguous blocks per symbol; the best entry level of the first two is followed into the others."""
-    b = robustness.block_panels(panel(spark, sf))
+    """Four contiguous blocks per symbol; the best entry level of the first two is followed into the others. Symbols with short blocks say so."""
+    p0 = panel(spark, sf)
+    b = robustness.block_panels(p0, least=BLOCK_BARS)
     p = b.select(F.concat_ws("\u0001", "symbol", F.col("block").cast("string")).alias("symbol"), *[c for c in b.columns if c not in ("symbol", "block")])
     out = None
     for level in RULE_LEVELS:
         m = metrics.summary(_rule_equity(p, rule=replace(RULE, enter_level=level)), bars_per_year=100.0).select("symbol", F.lit(f"{level:g}").alias("cell"), F.col("total_return").alias("value"))
         out = m if out is None else out.unionByName(m)
     k = F.split("symbol", "\u0001")
-    return robustness.walk_forward(out.select(k[0].alias("symbol"), k[1].cast("int").alias("block"), "cell", "value"))
+    d = robustness.walk_forward(out.select(k[0].alias("symbol"), k[1].cast("int").alias("block"), "cell", F.round("value", 12).alias("value")))
+    d = d.select("symbol", "chosen", rnd("trained", 8), rnd("tested", 8), rnd("retention", 5), "holds", F.lit("ok").alias("status"))
+    return d.unionByName(robustness.short_blocks(p0, least=BLOCK_BARS).select("symbol", F.lit("blocks too short").alias("status")), allowMissingColumns=True)
 
 
 def regime_consistency(spark, sf):
@@ -531,7 +538,19 @@ def _robust_sql() -> dict[str, str]:
     ratio = lambda i, x: f"""SELECT symbol, {i} AS cell, round((CASE WHEN ratio <= 0 THEN -1.0 ELSE ratio ** (500.0 / (bars - 1)) - 1.0 END) / mdd, 6) + 0.0 AS calmar FROM ({tracks.deals(flat(x), ACCOUNT)}, {tracks.CURVE} SELECT * FROM k) WHERE (bars - 1) / 500.0 >= 1.0 AND mdd >= 1e-9"""
     deal = lambda a: f"(SELECT * FROM ({tracks.deals(lines, a)} SELECT symbol, sum(pnl) AS v FROM deal GROUP BY symbol))"
     cells = " UNION ALL ".join(f"SELECT symbol, {i} AS cell, bar_idx AS start_idx, equity FROM ({tracks.deals(tracks.reversion_signals(x), ACCOUNT)} SELECT symbol, bar_idx, equity FROM line)" for i, x in enumerate(RULE_LEVELS))
+    blocks = PANEL.replace("panel AS (", "whole AS (") + f""",
+edged AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM whole),
+panel AS (SELECT symbol || chr(1) || b AS symbol, ts, CAST(row_number() OVER (PARTITION BY symbol, b ORDER BY bar_idx) - 1 AS BIGINT) AS bar_idx, open, high, low, close, volume, funding_rate, funding_settled, open_interest
+  FROM (SELECT *, (bar_idx >= n // 4)::INT + (bar_idx >= n * 2 // 4)::INT + (bar_idx >= n * 3 // 4)::INT AS b FROM edged WHERE n // 4 >= {BLOCK_BARS}))"""
+    walked = " UNION ALL ".join(
+        f"SELECT split_part(symbol, chr(1), 1) AS symbol, CAST(split_part(symbol, chr(1), 2) AS INTEGER) AS block, '{x:g}' AS cell, round(ratio - 1.0, 12) AS v FROM ({tracks.deals('WITH RECURSIVE ' + blocks + tracks.reversion_signals(x).split(PANEL, 1)[1], ACCOUNT)}, {tracks.CURVE} SELECT * FROM k)"
+        for x in RULE_LEVELS
+    )
     return {
+        "walk_forward": f"""WITH {PANEL}, x AS ({walked}), t AS (SELECT symbol, cell, avg(v) FILTER (WHERE block < 2) AS trained, avg(v) FILTER (WHERE block >= 2) AS tested FROM x GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trained DESC NULLS LAST, cell) AS k, CASE WHEN trained > 0 THEN tested / trained END AS keep FROM t)
+SELECT symbol, cell AS chosen, round(trained, 8) + 0.0 AS trained, round(tested, 8) + 0.0 AS tested, round(keep, 5) + 0.0 AS retention, coalesce(keep >= 0.5, false) AS holds, 'ok' AS status FROM r WHERE k = 1
+UNION ALL SELECT symbol, NULL, NULL, NULL, NULL, NULL, 'blocks too short' FROM panel GROUP BY symbol HAVING count(*) // 4 < {BLOCK_BARS}""",
         "grid_rates": " UNION ALL ".join(rate(i, p) for i, p in enumerate(PLANS)),
         "rule_calmars": " UNION ALL ".join(ratio(i, x) for i, x in enumerate(RULE_LEVELS)),
         "cost_stress": f"""SELECT symbol, round(p.v, 4) + 0.0 AS plain, round(s.v, 4) + 0.0 AS stressed, coalesce(s.v > 0, false) AS survives FROM {deal(ACCOUNT)} p FULL JOIN {deal(robustness.cost_stressed(ACCOUNT))} s USING (symbol)""",

@@ -277,8 +277,9 @@ def test_votes(spark):
 def test_blocks_walks_and_drift(spark):
     p = spark.createDataFrame([("A", i, float(i)) for i in range(10)], "symbol string, bar_idx bigint, close double")
     edges = [10 * i // 4 for i in range(5)]
-    got = {(r.block, r.bar_idx): r.close for r in robustness.block_panels(p).collect()}
+    got = {(r.block, r.bar_idx): r.close for r in robustness.block_panels(p, least=2).collect()}
     assert got == {(b, k): float(edges[b] + k) for b in range(4) for k in range(edges[b + 1] - edges[b])}
+    assert robustness.block_panels(p).count() == 0 and robustness.short_blocks(p, least=3).first().bars == 10 and robustness.short_blocks(p, least=2).count() == 0
     s = spark.createDataFrame([("A", b, c, v) for c, vs in (("x", (2.0, 2.0, 1.5, 1.5)), ("y", (1.0, 1.0, 9.0, 9.0))) for b, v in enumerate(vs)], "symbol string, block int, cell string, value double")
     w = robustness.walk_forward(s).first()
     assert (w.chosen, w.retention, w.holds) == ("x", 0.75, True)
