@@ -330,7 +330,7 @@ def walk_forward(spark, sf):
     k = F.split("symbol", "\u0001")
     d = robustness.walk_forward(out.select(k[0].alias("symbol"), k[1].cast("int").alias("block"), "cell", F.round("value", 12).alias("value")))
     d = d.select("symbol", "chosen", rnd("trained", 8), rnd("tested", 8), rnd("retention", 5), "holds", F.lit("ok").alias("status"))
-    return d.unionByName(robustness.short_blocks(p0, least=BLOCK_BARS).select("symbol", F.lit("blocks too short").alias("status")), allowMissingColumns=True)
+    return d.unionByName(robustness.short_blocks(p0, least=BLOCK_BARS).select("symbol", F.lit(False).alias("holds"), F.lit("blocks too short").alias("status")), allowMissingColumns=True)
 
 
 def regime_consistency(spark, sf):
@@ -550,7 +550,7 @@ panel AS (SELECT symbol || chr(1) || b AS symbol, ts, CAST(row_number() OVER (PA
         "walk_forward": f"""WITH {PANEL}, x AS ({walked}), t AS (SELECT symbol, cell, avg(v) FILTER (WHERE block < 2) AS trained, avg(v) FILTER (WHERE block >= 2) AS tested FROM x GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trained DESC NULLS LAST, cell) AS k, CASE WHEN trained > 0 THEN tested / trained END AS keep FROM t)
 SELECT symbol, cell AS chosen, round(trained, 8) + 0.0 AS trained, round(tested, 8) + 0.0 AS tested, round(keep, 5) + 0.0 AS retention, coalesce(keep >= 0.5, false) AS holds, 'ok' AS status FROM r WHERE k = 1
-UNION ALL SELECT symbol, NULL, NULL, NULL, NULL, NULL, 'blocks too short' FROM panel GROUP BY symbol HAVING count(*) // 4 < {BLOCK_BARS}""",
+UNION ALL SELECT symbol, NULL, NULL, NULL, NULL, false, 'blocks too short' FROM panel GROUP BY symbol HAVING count(*) // 4 < {BLOCK_BARS}""",
         "grid_rates": " UNION ALL ".join(rate(i, p) for i, p in enumerate(PLANS)),
         "rule_calmars": " UNION ALL ".join(ratio(i, x) for i, x in enumerate(RULE_LEVELS)),
         "cost_stress": f"""SELECT symbol, round(p.v, 4) + 0.0 AS plain, round(s.v, 4) + 0.0 AS stressed, coalesce(s.v > 0, false) AS survives FROM {deal(ACCOUNT)} p FULL JOIN {deal(robustness.cost_stressed(ACCOUNT))} s USING (symbol)""",
